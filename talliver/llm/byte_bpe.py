@@ -57,7 +57,7 @@ def _edges(pattern: str, overlap: int, chunk: int):
                     found = boundaries(text, pattern)
                     heads.append([x for x in found if x <= overlap])
                     tails.append([x - chunk for x in found if chunk < x <= len(text) - MARGIN])
-                yield pa.record_batch([*[batch.column(c) for c in ("id", "fp", "i", "text")], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["id", "fp", "i", "text", "head", "tail"])
+                yield pa.record_batch([*[batch.column(c) for c in ("fp", "i", "text")], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["fp", "i", "text", "head", "tail"])
 
     return run
 
@@ -95,27 +95,27 @@ def _digest(path: str, pattern: str):
 
 
 def pieces(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(id, fp, at, text): the long texts of (id, fp, text) in pieces that can be encoded on their own."""
+    """(fp, at, text): the long texts of (fp, text) in pieces that can be encoded on their own."""
     n_chunks = F.greatest(F.lit(1), F.ceil((F.char_length("text") - overlap) / chunk)).cast("int")
-    cuts = texts.select("id", "fp", F.posexplode(F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: F.substring("text", i * chunk + 1, chunk + overlap))).alias("i", "text"))
-    cuts = cuts.repartition("id", "fp", "i").mapInArrow(_edges(pattern, overlap, chunk), "id long, fp long, i int, text string, head array<int>, tail array<int>")
-    near = Window.partitionBy("id", "fp").orderBy("i")
+    cuts = texts.select("fp", F.posexplode(F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: F.substring("text", i * chunk + 1, chunk + overlap))).alias("i", "text"))
+    cuts = cuts.repartition("fp", "i").mapInArrow(_edges(pattern, overlap, chunk), "fp long, i int, text string, head array<int>, tail array<int>")
+    near = Window.partitionBy("fp").orderBy("i")
     # Only boundary lists and lengths are sorted by text; the chunks' own texts join them again.
     cuts = cut(cuts, "chunks")
-    lists = cuts.select("id", "fp", "i", "head", F.lag("tail").over(near).alias("before"))
+    lists = cuts.select("fp", "i", "head", F.lag("tail").over(near).alias("before"))
     lists = lists.withColumn("sync", F.when(F.col("i") == 0, 0).otherwise(F.array_min(F.array_intersect("head", "before"))))
     # After a chunk that found no common boundary nothing later is trusted: the rest of the text is one piece.
     lists = lists.withColumn("sync", F.when(F.max(F.col("sync").isNull()).over(near), None).otherwise(F.col("sync")))
     lists = lists.withColumn("at", F.count("sync").over(near))
-    parts = cuts.select("id", "fp", "i", "text").join(lists.select("id", "fp", "i", "sync", "at"), ["id", "fp", "i"])
-    last = F.max("i").over(Window.partitionBy("id", "fp"))
+    parts = cuts.select("fp", "i", "text").join(lists.select("fp", "i", "sync", "at"), ["fp", "i"])
+    last = F.max("i").over(Window.partitionBy("fp"))
     own = F.when(F.col("i") == F.col("last"), F.col("text")).otherwise(F.substring("text", 1, chunk))
     parts = parts.withColumn("last", last).withColumn("own", own)
     sync = F.coalesce("sync", F.lit(0))
     head = F.struct((F.col("at") - F.when(F.col("sync").isNull(), 0).otherwise(1)).alias("at"), F.substring("own", F.lit(1), sync).alias("t"))
     rest = F.struct(F.col("at"), F.expr("substring(own, coalesce(sync, 0) + 1)").alias("t"))
-    parts = parts.select("id", "fp", "i", F.explode(F.array(head, rest)).alias("p")).filter("p.t <> ''")
-    return parts.groupBy("id", "fp", F.col("p.at").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p.t"))), lambda x: x["t"]), "").alias("text"))
+    parts = parts.select("fp", "i", F.explode(F.array(head, rest)).alias("p")).filter("p.t <> ''")
+    return parts.groupBy("fp", F.col("p.at").alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p.t"))), lambda x: x["t"]), "").alias("text"))
 
 
 def token_rows(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -128,14 +128,13 @@ def token_rows(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: i
 
 
 def _joined(keyed: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(id, n_tokens, ids, raw) of long texts (id, fp, text); repeated rows stay repeated."""
-    times = keyed.groupBy("id", "fp").agg(F.count("*").alias("times"))
-    done = pieces(keyed.dropDuplicates(["id", "fp"]), pattern, chunk, overlap).mapInArrow(_encode(path, pattern), "id long, fp long, at long, ids binary, raw binary")
-    in_order = F.array_sort(F.collect_list(F.struct("at", "ids", "raw")))
-    done = done.groupBy("id", "fp").agg(in_order.alias("p"))
+    """(id, n_tokens, ids, raw) of long texts (id, fp, text), a row per input row; equal texts are encoded once."""
+    once = keyed.groupBy("fp").agg(F.first("text").alias("text"))
+    done = pieces(once, pattern, chunk, overlap).mapInArrow(_encode(path, pattern), "fp long, at long, ids binary, raw binary")
+    done = done.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("at", "ids", "raw"))).alias("p"))
     glue = lambda c: F.aggregate(F.transform("p", lambda x: x[c]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
-    done = done.select("id", "fp", glue("ids").alias("ids"), glue("raw").alias("raw")).join(times, (F.coalesce(done["id"], F.lit(-1)) == F.coalesce(times["id"], F.lit(-1))) & (done["fp"] == times["fp"])).select(done["id"], "ids", "raw", "times")
-    return done.select("id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "raw", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
+    done = cut(done.select("fp", glue("ids").alias("ids"), glue("raw").alias("raw")), "encoded")
+    return keyed.select("id", "fp").join(done, "fp").select("id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "raw")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -121,7 +121,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
     labels = sorted(set(langs))
     n = len(labels)
     words = Words(pa.array(texts, pa.large_string()), ALNUM, lower=True)
-    y_doc = np.array([labels.index(x) for x in langs])
+    y_doc = np.array([labels.index(x) for x in langs], np.int64)
     keep = np.flatnonzero(_lettered(words, words.start, words.end))
     y = y_doc[words.doc[keep]]
     unique, where, number = np.unique(words.hash[keep], return_index=True, return_inverse=True)

@@ -94,9 +94,9 @@ def _blocks(k: int):
                 words = Words(batch.column("text"), SPACE, lower=False)
                 h, at, small = _minimizers(words, k)
                 doc = words.doc[at]
-                ids = np.asarray(batch.column("id"))
+                ids, fps = np.asarray(batch.column("id")), np.asarray(batch.column("fp"))
                 edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                cols: dict[str, list] = {c: [] for c in ("m", "bh", "chk", "id", "s", "nw", "nb", "hs")}
+                cols: dict[str, list] = {c: [] for c in ("m", "bh", "chk", "id", "fp", "s", "nw", "nb", "hs")}
                 for i in range(batch.num_rows):
                     lo, hi = edges[i], edges[i + 1]
                     ms = np.sort(np.frombuffer(batch.column("ms")[i].values.buffers()[1], np.int64)[batch.column("ms")[i].values.offset :][: len(batch.column("ms")[i])].view(np.uint64))
@@ -120,6 +120,7 @@ def _blocks(k: int):
                     cols["bh"].append(bh[use].view(np.int64))
                     cols["chk"].append((chk[use] >> np.uint64(33)).astype(np.int32))
                     cols["id"].append(np.full(len(use), ids[i], np.int64))
+                    cols["fp"].append(np.full(len(use), fps[i], np.int64))
                     cols["s"].append((at[lo + first[use]] - words.first[i]).astype(np.int32))
                     cols["nw"].append(length[use].astype(np.int32))
                     cols["nb"].append(follow[use].view(np.int64))
@@ -138,7 +139,7 @@ def _windows_of():
                 continue
             n = [len(x) for x in hs]
             pos = np.concatenate([np.arange(x, dtype=np.int32) for x in n]) + np.repeat(np.asarray(batch.column("s")), n)
-            yield pa.record_batch([pa.array(np.concatenate(hs)), pa.array(np.repeat(np.asarray(batch.column("id")), n)), pa.array(pos.astype(np.int32))], ["h", "id", "s"])
+            yield pa.record_batch([pa.array(np.concatenate(hs)), pa.array(np.repeat(np.asarray(batch.column("id")), n)), pa.array(np.repeat(np.asarray(batch.column("fp")), n)), pa.array(pos.astype(np.int32))], ["h", "id", "fp", "s"])
 
     return run
 
@@ -165,7 +166,7 @@ def _kept():
 
 
 def repeated_spans(texts: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(id, s, e, source, source_s): word spans of distinct texts whose windows all start in a smaller document.
+    """(id, fp, s, e, source, source_s, inner): word spans of distinct texts whose windows all start in a smaller document.
 
     ``texts`` has id, fp, text; ``reps`` the smallest id of each fp.
     """
@@ -174,7 +175,7 @@ def repeated_spans(texts: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     hits = cut(hits.join(reps, "fp"), "hits")
     some = texts.mapInArrow(only(node_filter(hits.select("fp"), "fp"), "fp"), texts.schema)
     found = some.join(hits, ["fp", "id"]).select("id", "fp", "text", "ms")
-    blocks = cut(found.mapInArrow(_blocks(k), "m long, bh long, chk int, id long, s int, nw int, nb long, hs binary"), "blocks")
+    blocks = cut(found.mapInArrow(_blocks(k), "m long, bh long, chk int, id long, fp long, s int, nw int, nb long, hs binary"), "blocks")
 
     graph = blocks.groupBy("bh").agg(F.min(F.struct("id", "s", "chk")).alias("src"), F.count("*").alias("c"), F.min("nb").alias("n0"), F.max("nb").alias("n1"), F.min("m").alias("m"))
     graph = cut(graph, "graph")
@@ -186,12 +187,12 @@ def repeated_spans(texts: DataFrame, reps: DataFrame, k: int) -> DataFrame:
 
     judged = blocks.drop("nb").join(graph, "bh", "left")
     judged = judged.withColumn("again", F.coalesce((F.col("src.id") < F.col("id")) & (F.col("src.chk") == F.col("chk")), F.lit(False)))
-    judged = cut(judged.select("id", "s", "nw", "m", "again", "inner", F.col("src.id").alias("source"), F.col("src.s").alias("source_s"), F.when(~F.col("again"), F.col("hs")).alias("hs")), "judged")
-    whole = judged.filter("again").select("id", "s", (F.col("s") + F.col("nw") + k - 1).alias("e"), "source", "source_s", "inner")
-    single = judged.filter("not again").join(forks, "m").select("hs", "id", "s").mapInArrow(_windows_of(), "h long, id long, s int")
+    judged = cut(judged.select("id", "fp", "s", "nw", "m", "again", "inner", F.col("src.id").alias("source"), F.col("src.s").alias("source_s"), F.when(~F.col("again"), F.col("hs")).alias("hs")), "judged")
+    whole = judged.filter("again").select("id", "fp", "s", (F.col("s") + F.col("nw") + k - 1).alias("e"), "source", "source_s", "inner")
+    single = judged.filter("not again").join(forks, "m").select("hs", "id", "fp", "s").mapInArrow(_windows_of(), "h long, id long, fp long, s int")
     single = cut(single, "single")
     least = cut(single.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("hi")).filter("source < hi").drop("hi"), "least")
-    single = single.join(least, "h").filter("source < id").select("id", "s", (F.col("s") + k).alias("e"), "source", F.lit(None).cast("int").alias("source_s"), F.lit(False).alias("inner"))
+    single = single.join(least, "h").filter("source < id").select("id", "fp", "s", (F.col("s") + k).alias("e"), "source", F.lit(None).cast("int").alias("source_s"), F.lit(False).alias("inner"))
     return whole.union(single)
 
 
@@ -205,9 +206,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
     info = cut(texts.mapInArrow(_info(), "id long, fp long, n_words long, sha string"), "info")
     reps = cut(info.filter(F.col("n_words") >= k).groupBy("fp").agg(F.min("id").alias("id")).dropna(), "reps")
-    spans = repeated_spans(texts, reps, k).groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    # An id may have several texts; the spans are those of the text that is its class's first.
-    spans = cut(spans.join(reps, "id"), "spans")
+    spans = cut(repeated_spans(texts, reps, k).groupBy("id", "fp").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
     some = texts.mapInArrow(only(node_filter(spans.select("fp"), "fp"), "fp"), texts.schema)
     done = some.join(spans, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "fp", "text", "spans").mapInArrow(_kept(), "id long, fp long, cut_words long, cut_sha string, kept string")
     out = info.join(reps.withColumnRenamed("id", "rep"), "fp", "left").join(done, ["fp", "id"], "left")
