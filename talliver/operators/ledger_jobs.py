@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talliver.functions.rules import classify_event, spend_metadata
+from talliver.functions.rules import PAYMENT_WORDS, classify_event, has_any, spend_metadata
 from talliver.functions.text import source_hash
 
 MONEY = "decimal(38,2)"
@@ -162,3 +162,19 @@ def stale_accounts(accounts: DataFrame, txns: DataFrame, as_of: str, days: int =
 def learn_rules(corrections: DataFrame) -> DataFrame:
     """One rule per (pattern, user): the latest category and how often it was given."""
     return corrections.filter("pattern <> ''").groupBy("pattern", "user_id").agg(F.max_by("category_id", F.struct("ts", "txn_id")).alias("category_id"), F.count("*").alias("hits"))
+
+
+def flag_payment_rows(txns: DataFrame, accounts: DataFrame, words: tuple[str, ...] = PAYMENT_WORDS) -> DataFrame:
+    """(txn_id, account_id, is_transfer): money that arrives on a liability under a payment word counts as a transfer."""
+    rows = txns.join(accounts.select("account_id", "is_asset"), "account_id")
+    paid = (F.col("amount") > 0) & ~F.col("is_asset") & has_any(F.lower(F.coalesce("description", F.lit(""))), words)
+    return rows.select("txn_id", "account_id", (F.col("is_transfer") | paid).alias("is_transfer"))
+
+
+def index_growth(values: DataFrame, key: str, day: str, value: str, years: int = 10, least_years: int = 3) -> DataFrame:
+    """Compound yearly growth of each series over its last ``years`` years; shorter series than ``least_years`` are left out."""
+    last = values.agg(F.max(day).alias("_end"))
+    rows = values.crossJoin(F.broadcast(last)).filter(F.col(day) > F.date_sub("_end", 365 * years))  # one row
+    ends = rows.groupBy(key).agg(F.min(day).alias("first"), F.max(day).alias("last"), F.min_by(value, day).cast("double").alias("a"), F.max_by(value, day).cast("double").alias("b"))
+    span = F.datediff("last", "first")
+    return ends.filter(span >= 365 * least_years).select(key, "first", "last", F.round(F.pow(F.col("b") / F.col("a"), 365.25 / span) - 1, 9).alias("growth"))

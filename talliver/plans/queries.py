@@ -632,3 +632,37 @@ SELECT pattern, user_id, category_id, hits FROM (SELECT *, count(*) OVER (PARTIT
 def c2_learn_rules(led):
     rows = led.transactions.join(led.accounts.select("account_id", "user_id"), "account_id").withColumn("pattern", text.grouping_key(F.col("description")))
     return jobs.learn_rules(rows)
+
+
+_BLANK = "SELECT txn_id, account_id, CASE WHEN category_id = 3 THEN NULL ELSE category_id END AS category_id FROM transactions"
+
+
+@query(f"WITH t AS ({_BLANK}) SELECT txn_id, account_id FROM t WHERE category_id IS NULL AND txn_id NOT IN (SELECT txn_id FROM splits WHERE category_id = 2)", "transactions splits")
+def f3_uncategorised(led):
+    txns = led.transactions.withColumn("category_id", F.when(F.col("category_id") != 3, F.col("category_id")))
+    labelled = led.splits.withColumn("category_id", F.when(F.col("category_id") == 2, F.col("category_id")))
+    return spend.uncategorised(txns, labelled).select("txn_id", "account_id")
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month FROM transactions WHERE amount < 0 UNION SELECT strftime(ts, '%Y-%m') FROM transactions WHERE amount > 100000", "transactions")
+def u4_months_union(led):
+    month = F.date_format("ts", "yyyy-MM").alias("month")
+    return led.transactions.filter("amount < 0").select(month).union(led.transactions.filter("amount > 100000").select(month)).distinct()
+
+
+@query(
+    "SELECT txn_id, t.account_id, is_transfer OR (amount > 0 AND NOT is_asset AND regexp_matches(lower(description), '1|payment')) AS is_transfer FROM transactions t JOIN accounts USING (account_id)",
+    "transactions accounts",
+)
+def f7_flag_payment_rows(led):
+    # The synthetic texts hold no payment word, so a digit stands for one.
+    return jobs.flag_payment_rows(led.transactions, led.accounts, ("1", "payment"))
+
+
+@query(
+    """WITH r AS (SELECT * FROM rates WHERE rate_date > (SELECT max(rate_date) FROM rates) - 3650), g AS (SELECT base_currency, min(rate_date) AS first, max(rate_date) AS last, CAST(arg_min(rate, rate_date) AS DOUBLE) AS a, CAST(arg_max(rate, rate_date) AS DOUBLE) AS b FROM r GROUP BY 1)
+SELECT base_currency, first, last, round(pow(b / a, 365.25 / date_diff('day', first, last)) - 1, 9) AS growth FROM g WHERE date_diff('day', first, last) >= 1095""",
+    "rates",
+)
+def a36_index_growth(led):
+    return jobs.index_growth(led.rates, "base_currency", "rate_date", "rate")
