@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talliver.functions.text import ratio_by_edits
@@ -72,20 +74,33 @@ def detect_transfers(rows: DataFrame, owner: str, days: int = 3, tolerance: floa
     return pairs.select(F.col("o_txn_id").alias("out_id"), F.col("txn_id").alias("in_id"), gap.alias("gap"), F.round(F.least(score, F.lit(1.0)), 3).alias("score"))
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, rounds: int = 4) -> DataFrame:
-    """Mutual-best matching by (score desc, gap, ids); after each round the matched rows leave.
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the folder that the session names; a folder of our own only where it names none."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Mutual-best matching by (score desc, gap, ids) until no pair is open; after each round the matched rows leave.
 
-    ``pairs`` must be cheap to read again (a written table or a checkpoint).
+    The best open pair is always taken, so every round makes progress and the
+    result is that of taking pairs in this order.
     """
-    best = [F.desc("score"), "gap", left, right]
-    rest, taken = pairs, None
-    for _ in range(rounds):
-        mine = F.row_number().over(Window.partitionBy(left).orderBy(*best))
-        yours = F.row_number().over(Window.partitionBy(right).orderBy(*best))
-        won = rest.withColumn("m", mine).withColumn("y", yours).filter("m = 1 and y = 1").drop("m", "y")
-        taken = won if taken is None else taken.unionByName(won)
-        rest = rest.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti")
-    return taken
+    best = F.struct((-F.col("score")).alias("s"), "gap", left, right)
+    rest = stored(pairs.select(*pairs.columns, best.alias("_best")))
+    taken = rest.limit(0)
+    while not rest.isEmpty():
+        mine = rest.groupBy(left).agg(F.min("_best").alias("_best"))
+        yours = rest.groupBy(right).agg(F.min("_best").alias("_best"))
+        won = rest.dropDuplicates([left, right, "_best"]).join(mine, [left, "_best"], "left_semi").join(yours, [right, "_best"], "left_semi")
+        won = stored(won.select(*rest.columns))
+        taken = taken.unionByName(won)
+        rest = stored(rest.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti").select(*rest.columns))
+    return taken.drop("_best")
 
 
 def transfer_flows(links: DataFrame, rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talliver.functions import rules, text
 from talliver.operators import balances as B
-from talliver.operators import fx, pairs, schedules, spend
+from talliver.operators import change, fx, links, pairs, schedules, spend, updates
 from talliver.operators import ledger_jobs as jobs
 from talliver.sources.views import Ledger, oracle
 
@@ -666,3 +666,229 @@ SELECT base_currency, first, last, round(pow(b / a, 365.25 / date_diff('day', fi
 )
 def a36_index_growth(led):
     return jobs.index_growth(led.rates, "base_currency", "rate_date", "rate")
+
+
+def _candidates(led):
+    return pairs.detect_transfers(led.feed, "household_id")
+
+
+@query()
+def j8_resolve_links(led):
+    return links.resolve_links(_candidates(led))
+
+
+@query()
+def j7_suggest_reconciliation(led):
+    return links.suggest_reconciliation(_candidates(led), led.feed.filter("txn_id % 11 = 0"))
+
+
+@query()
+def j11_reconcile_placeholders(led):
+    return links.reconcile_placeholders(led.feed.filter("txn_id % 9 = 0"), led.feed.filter("txn_id % 9 <> 0"))
+
+
+@query(
+    """WITH n AS (SELECT account_id, CAST(ts AS DATE) AS day, amount, txn_id, txn_id % 3 AS part FROM feed WHERE txn_id % 3 = 1 OR (txn_id % 3 = 2 AND txn_id % 2 = 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY part, account_id, day, amount ORDER BY txn_id) AS n FROM n)
+SELECT k.txn_id, g.txn_id AS from_id, g.amount AS balance_after FROM r k JOIN r g ON k.account_id = g.account_id AND k.day = g.day AND k.amount = g.amount AND k.n = g.n WHERE k.part = 2 AND g.part = 1""",
+    "feed",
+)
+def j12_carry_balance(led):
+    held = led.feed.withColumn("balance_after", F.when((F.col("txn_id") % 3 == 1) | (F.col("txn_id") % 2 == 0), F.col("amount")))
+    return links.carry_balance(held.filter("txn_id % 3 = 1"), held.filter("txn_id % 3 = 2"))
+
+
+@query(f"WITH g AS ({_GROUPS}) SELECT * FROM g WHERE EXISTS (SELECT 1 FROM feed f WHERE f.txn_id % 10 = 0 AND f.account_id = g.account_id AND CAST(f.ts AS DATE) = g.day AND f.amount = g.amount)", "feed")
+def j17_dismissed_groups(led):
+    return links.dismissed_groups(led.feed, _dismissed(led))
+
+
+@query(
+    """WITH f AS (SELECT txn_id, account_id, CAST(ts AS DATE) AS day, amount FROM feed), l AS (SELECT * FROM f WHERE txn_id % 4 <> 2), x AS (SELECT DISTINCT account_id, day, amount FROM f WHERE txn_id % 10 = 0),
+t AS (SELECT account_id, day, amount, min(txn_id) AS b FROM l GROUP BY 1, 2, 3)
+SELECT f.txn_id AS a, t.b, TRUE AS same FROM f JOIN t USING (account_id, day, amount) WHERE f.txn_id % 4 = 2 UNION ALL SELECT min(txn_id), max(txn_id), FALSE FROM l JOIN x USING (account_id, day, amount) GROUP BY account_id, day, amount HAVING count(*) >= 2""",
+    "feed",
+)
+def j18_training_pairs(led):
+    return links.training_pairs(led.feed.filter("txn_id % 4 = 2"), led.feed.filter("txn_id % 4 <> 2"), _dismissed(led))
+
+
+_COMPONENTS = f"""py AS (SELECT txn_id, account_id, ts, amount FROM transactions JOIN accounts USING (account_id) WHERE NOT is_asset AND amount > 0),
+cp AS (SELECT txn_id, spend_type, -amount_native AS part FROM splits), pc AS (SELECT py.txn_id, account_id, ts, amount, CAST(coalesce(sum(part) FILTER (spend_type = 'fixed_core'), 0) AS {M}) AS principal,
+ CAST(coalesce(sum(part) FILTER (spend_type = 'debt_cost'), 0) AS {M}) AS interest, CAST(coalesce(sum(part) FILTER (spend_type = 'lifestyle'), 0) AS {M}) AS escrow, count(part) AS n_components FROM py LEFT JOIN cp ON cp.txn_id = py.txn_id GROUP BY 1, 2, 3, 4)"""
+
+
+def _payments(led):
+    component = F.when(F.col("spend_type") == "fixed_core", "principal").when(F.col("spend_type") == "debt_cost", "interest").otherwise("escrow")
+    parts = led.splits.select("txn_id", component.alias("component"), (-F.col("amount_native")).alias("part"))
+    paid = led.transactions.filter("amount > 0").join(led.accounts.filter("not is_asset").select("account_id"), "account_id")
+    return links.payments_with_components(paid, parts)
+
+
+@query(f"WITH {_COMPONENTS} SELECT * FROM pc", "transactions accounts splits")
+def j19_payments_with_components(led):
+    return _payments(led)
+
+
+@query(f"WITH {_COMPONENTS} SELECT txn_id, CAST(principal + interest + escrow AS {M}) AS parts, abs(abs(principal + interest + escrow) - abs(amount)) <= 0.01 AS valid FROM pc WHERE n_components > 0", "transactions accounts splits")
+def a23_validate_decomposition(led):
+    return links.validate_decomposition(_payments(led))
+
+
+@query(f"WITH {_COMPONENTS} SELECT account_id, count(*) AS n, CAST(sum(principal) AS {M}) AS principal, CAST(sum(interest) AS {M}) AS interest, CAST(sum(escrow) AS {M}) AS escrow FROM pc WHERE CAST(ts AS DATE) >= DATE '2000-01-01' GROUP BY 1", "transactions accounts splits")
+def a34_payment_breakdown(led):
+    return links.payment_breakdown(_payments(led), "2000-01-01")
+
+
+@query(f"SELECT outcome, count(*) AS n FROM ({ORACLES['j10_dedupe_against_ledger']}) GROUP BY 1")
+def i12_import_counts(led):
+    return updates.import_counts(j10_dedupe_against_ledger(led))
+
+
+@query("SELECT instrument_id, symbol_name, price FROM prices", "prices")
+def i16_upsert_dimension(led):
+    # Known instruments lack some names and prices, which the rows seen fill.
+    gaps = {"symbol_name": F.when(F.col("instrument_id") % 5 != 0, F.col("symbol_name")), "price": F.when(F.col("instrument_id") % 4 != 0, F.col("price"))}
+    return updates.upsert_dimension(led.prices.filter("instrument_id % 3 <> 0").withColumns(gaps), led.prices, "instrument_id", ["symbol_name", "price"])
+
+
+_NEWEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY val_date DESC, valuation_id DESC) AS n FROM {0}) WHERE n = 1"
+
+
+@query(f"WITH v AS ({_NEWEST.format('valuations')}) SELECT a.account_id, coalesce(v.value, a.current_value) AS current_value, v.val_date AS value_as_of FROM accounts a LEFT JOIN v ON v.account_id = a.account_id", "accounts valuations")
+def b10_sync_current_value(led):
+    return updates.sync_current_value(led.accounts, led.valuations)
+
+
+@query(
+    """SELECT txn_id, CASE WHEN contains(lower(description), 'purchase') AND amount < 0 THEN 'shopping' WHEN contains(lower(description), 'signup') AND amount > 0 THEN 'income'
+ WHEN contains(lower(description), 'ref 1000') THEN 'transfer' WHEN contains(lower(description), 'view') THEN 'browsing' END AS category FROM feed""",
+    "feed",
+)
+def x13_keyword_category(led):
+    known = [("ref 1000", "any", "transfer"), ("purchase", "out", "shopping"), ("signup", "in", "income"), ("view", "any", "browsing")]
+    return led.feed.select("txn_id", updates.keyword_category(F.col("description"), F.col("amount"), known).alias("category"))
+
+
+_PATTERN = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(description, '\d+', '', 'g'), '[^a-zA-Z\s]', ' ', 'g'), '\s+', ' ', 'g')))"
+
+
+@query(
+    f"""WITH r AS ({ORACLES['c2_learn_rules']}), m AS (SELECT {_PATTERN} AS pattern, user_id, count(*) AS n FROM transactions JOIN accounts USING (account_id) WHERE CAST(ts AS DATE) >= DATE '2001-01-01' GROUP BY 1, 2)
+SELECT r.pattern, r.user_id, r.category_id, r.hits + coalesce(m.n, 0) AS hits FROM r LEFT JOIN m ON m.pattern = r.pattern AND m.user_id = r.user_id""",
+    "transactions accounts",
+)
+def c4_rule_hits(led):
+    matched = led.transactions.filter("to_date(ts) >= '2001-01-01'").join(led.accounts.select("account_id", "user_id"), "account_id").withColumn("pattern", text.grouping_key(F.col("description")))
+    return updates.rule_hits(c2_learn_rules(led), matched, ["pattern", "user_id"])
+
+
+@query(f"WITH {_PROJECTED} SELECT * FROM pd WHERE NOT (payment_id % 3 = 0 AND due < DATE '2001-12-31')", "schedules")
+def c6_post_occurrences(led):
+    due = schedules.project_schedule(led.schedules, "2002-07-31")
+    return updates.post_occurrences(due, due.filter("payment_id % 3 = 0 and due < '2001-12-31'").select("payment_id", "due")).select("payment_id", "account_id", "due", "amount")
+
+
+@query(
+    f"""WITH {_PROJECTED}, l AS (SELECT payment_id, max(due) AS d FROM pd WHERE due <= DATE '2001-12-31' GROUP BY 1)
+SELECT payment_id, CAST(greatest(next_due, CASE frequency WHEN 'weekly' THEN d + to_days(7) WHEN 'biweekly' THEN d + to_days(14) WHEN 'monthly' THEN d + to_months(1) WHEN 'quarterly' THEN d + to_months(3) ELSE d + to_months(12) END) AS DATE) AS next_due FROM schedules LEFT JOIN l USING (payment_id)""",
+    "schedules",
+)
+def c6_advance(led):
+    return updates.advance(led.schedules, schedules.project_schedule(led.schedules, "2001-12-31"))
+
+
+@query(f"SELECT a, b, CASE WHEN a % 3 = 0 THEN 'accepted' ELSE 'open' END AS state FROM ({ORACLES['j9_near_duplicates']}) WHERE a % 3 <> 0 OR a % 2 = 0")
+def c7_resolve_proposals(led):
+    offered = j9_near_duplicates(led).select("a", "b")
+    decided = offered.filter("a % 3 = 0").withColumn("accepted", F.col("a") % 2 == 0)
+    taken, still = updates.resolve_proposals(offered, decided, ["a", "b"])
+    return taken.withColumn("state", F.lit("accepted")).unionByName(still.withColumn("state", F.lit("open")))
+
+
+@query(f"WITH v AS ({_NEWEST.format('valuations')}) SELECT account_id, -value AS amount, val_date AS next_due FROM v WHERE account_id % 4 <> 0", "valuations")
+def c8_statement_schedules(led):
+    statements = led.valuations.select("account_id", F.col("valuation_id").alias("statement_id"), F.col("val_date").alias("due"), (-F.col("value")).alias("amount"))
+    return updates.statement_schedules(statements, led.accounts.filter("account_id % 4 = 0"))
+
+
+@query(
+    f"""WITH {_CLASSED}, c AS (SELECT txn_id, {_META} AS kind FROM k WHERE txn_id % 5 = 0)
+SELECT s.txn_id, split_no, CASE WHEN split_no <> 1 AND kind IS NOT NULL THEN kind ELSE spend_type END AS spend_type, CASE WHEN split_no <> 1 AND kind IS NOT NULL THEN kind <> 'non_spend_cash_use' ELSE counts_as_true_spend END AS counts FROM splits s LEFT JOIN c ON c.txn_id = s.txn_id""",
+    "transactions accounts splits",
+)
+def x23_cascade_event(led):
+    changed = jobs.classify_all(led.transactions, led.accounts).filter("txn_id % 5 = 0")
+    out = updates.cascade_event(led.splits.withColumn("linked", F.col("split_no") == 1), changed)
+    return out.select("txn_id", "split_no", "spend_type", F.col("counts_as_true_spend").alias("counts"))
+
+
+@query(
+    "SELECT txn_id, split_no, category_id, amount_native, split_no = 1 AS linked FROM splits WHERE split_no = 1 OR txn_id NOT IN (SELECT txn_id FROM transactions WHERE txn_id % 50 = 0) UNION ALL SELECT txn_id, 100, category_id, amount, FALSE FROM transactions WHERE txn_id % 50 = 0",
+    "transactions splits",
+)
+def x24_replace_splits(led):
+    manual = led.transactions.filter("txn_id % 50 = 0").select("txn_id", F.lit(100).alias("split_no"), "category_id", F.col("amount").alias("amount_native"))
+    return updates.replace_splits(led.splits.select("txn_id", "split_no", "category_id", "amount_native", (F.col("split_no") == 1).alias("linked")), manual)
+
+
+@query("SELECT payment_id, account_id % 7 <> 0 AS active, CASE WHEN account_id % 7 <> 0 THEN next_due END AS next_due FROM schedules", "schedules")
+def x25_flag_closed(led):
+    return updates.flag_closed(led.schedules, led.accounts.filter("account_id % 7 = 0")).select("payment_id", "active", "next_due")
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT account_id, val_date AS day FROM valuations), p AS (SELECT account_id, CAST(ts AS DATE) AS day, amount FROM feed WHERE description LIKE 'signup%')
+SELECT c.account_id, c.day, CAST(coalesce(sum(p.amount), 0) AS {M}) AS received FROM c LEFT JOIN p ON p.account_id = c.account_id AND p.day <= c.day GROUP BY 1, 2""",
+    "valuations feed",
+)
+def w5_dividends_to_date(led):
+    pays = led.feed.filter("description like 'signup%'").select("account_id", F.to_date("ts").alias("day"), "amount")
+    return updates.dividends_to_date(pays, led.valuations.select("account_id", F.col("val_date").alias("day")))
+
+
+# The valuations are younger than all rates; 23 years earlier they meet them.
+_EARLIER = "ev AS (SELECT valuation_id, account_id, CAST(val_date - to_months(276) AS DATE) AS val_date, value FROM valuations)"
+
+
+def _earlier(led):
+    return led.valuations.withColumn("val_date", F.add_months("val_date", -276))
+
+
+# The nearest rate of each (currency, day) in q.
+_NEAR = """nr AS (SELECT * FROM (SELECT q.*, CAST(r.rate AS DOUBLE) AS rate, row_number() OVER (PARTITION BY q.currency, q.day ORDER BY abs(date_diff('day', r.rate_date, q.day)), r.rate_date DESC) AS k
+ FROM q JOIN rates r ON r.base_currency = q.currency AND abs(date_diff('day', r.rate_date, q.day)) <= 30) WHERE k = 1)"""
+
+
+@query(
+    f"""WITH {_EARLIER}, v AS ({_NEWEST.format('ev')}), w AS (SELECT a.account_id, a.currency, v.value, v.val_date AS day FROM accounts a JOIN v ON v.account_id = a.account_id), q AS (SELECT DISTINCT currency, day FROM w WHERE currency <> 'USD'), {_NEAR},
+z AS (SELECT w.*, CASE WHEN w.currency = 'USD' THEN 1.0::DOUBLE ELSE nr.rate END AS fx_rate FROM w LEFT JOIN nr ON nr.currency = w.currency AND nr.day = w.day)
+SELECT account_id, value, day AS val_date, fx_rate, CAST(round(CAST(value AS DOUBLE) * coalesce(fx_rate, 1.0::DOUBLE) * 100) AS BIGINT) AS cents FROM z""",
+    "accounts valuations rates",
+)
+def b11_valuation_in_base(led):
+    return change.valuation_in_base(led.accounts, _earlier(led), led.rates)
+
+
+@query(
+    f"""WITH {_EARLIER}, dd AS (SELECT unnest([DATE '2001-01-05', DATE '2001-01-25']) AS day), q AS (SELECT DISTINCT currency, day FROM accounts CROSS JOIN dd WHERE currency <> 'USD'), {_NEAR},
+mk AS (SELECT * FROM (SELECT v.account_id, dd.day, v.value, row_number() OVER (PARTITION BY v.account_id, dd.day ORDER BY v.val_date DESC, v.valuation_id DESC) AS n FROM ev v JOIN dd ON v.val_date <= dd.day) WHERE n = 1),
+z AS (SELECT a.account_id, a.user_id, dd.day, CAST(round(CAST(mk.value AS DOUBLE) * CASE WHEN a.currency = 'USD' THEN 1.0::DOUBLE ELSE nr.rate END * 100) AS BIGINT) AS c FROM accounts a CROSS JOIN dd
+ LEFT JOIN mk ON mk.account_id = a.account_id AND mk.day = dd.day LEFT JOIN nr ON nr.currency = a.currency AND nr.day = dd.day WHERE a.is_asset),
+w AS (SELECT account_id, user_id, max(c) FILTER (day = DATE '2001-01-25') - max(c) FILTER (day = DATE '2001-01-05') AS moved FROM z GROUP BY 1, 2)
+SELECT user_id, CAST(coalesce(sum(moved), 0) AS BIGINT) AS moved, count(moved) AS n_used, count(*) FILTER (moved IS NULL) AS n_skipped, CAST(CASE WHEN count(*) FILTER (moved IS NULL) > count(moved) THEN 0.6 ELSE 0.75 END AS DOUBLE) AS confidence FROM w GROUP BY 1""",
+    "accounts valuations rates",
+)
+def a17_market_movement(led):
+    return change.market_movement(led.accounts, _earlier(led), led.rates, "2001-01-05", "2001-01-25")
+
+
+@query(
+    f"""WITH dd AS (SELECT unnest([DATE '2000-06-30', DATE '{AS_OF}']) AS day), q AS (SELECT DISTINCT currency, day FROM accounts CROSS JOIN dd WHERE currency <> 'USD'), {_NEAR},
+t AS (SELECT account_id, CAST(sum(amount) AS {M}) AS total FROM transactions WHERE CAST(ts AS DATE) <= DATE '{AS_OF}' GROUP BY 1)
+SELECT user_id, CAST(sum(CAST(round(CAST(total AS DOUBLE) * (e.rate - s.rate) * 100) AS BIGINT)) AS BIGINT) AS moved, count(*) AS n_used, CAST(least(85, 45 + 5 * count(*)) AS INTEGER) AS confidence_pct
+FROM accounts a JOIN t ON t.account_id = a.account_id JOIN nr s ON s.currency = a.currency AND s.day = DATE '2000-06-30' JOIN nr e ON e.currency = a.currency AND e.day = DATE '{AS_OF}' GROUP BY 1""",
+    "accounts transactions rates",
+)
+def a18_fx_translation(led):
+    return change.fx_translation(led.accounts, led.transactions, led.rates, "2000-06-30", AS_OF)

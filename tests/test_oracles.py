@@ -17,7 +17,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
