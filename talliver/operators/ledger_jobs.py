@@ -55,10 +55,10 @@ def liability_sign_flip(rows: DataFrame) -> DataFrame:
 
 
 def parse_amount(text):
-    """Amount of a statement cell: symbols and commas go, parentheses turn the sign."""
-    bare = F.regexp_replace(text, r"[^0-9.\-]", "")
-    value = bare.try_cast("decimal(18,2)")
-    return F.when(F.trim(text).rlike(r"^\(.*\)$"), -F.abs(value)).otherwise(value)
+    """Amount of a statement cell: currency symbols and commas go, parentheses turn the sign; other text makes it null."""
+    bare = F.trim(F.regexp_replace(text, r"\p{Sc}|kr|Fr|zł|,", ""))
+    value = F.trim(F.regexp_replace(bare, r"^\((.*)\)$", "$1")).try_cast("decimal(18,2)")
+    return F.when(bare.rlike(r"^\(.*\)$"), -value).otherwise(value)
 
 
 def classify_all(txns: DataFrame, accounts: DataFrame) -> DataFrame:

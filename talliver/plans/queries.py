@@ -11,6 +11,7 @@ from talliver.functions import rules, text
 from talliver.operators import balances as B
 from talliver.operators import change, fx, links, pairs, schedules, spend, updates
 from talliver.operators import ledger_jobs as jobs
+from talliver.sources import statements
 from talliver.sources.views import Ledger, oracle
 
 #: The day that stands for today.
@@ -892,3 +893,13 @@ FROM accounts a JOIN t ON t.account_id = a.account_id JOIN nr s ON s.currency =
 )
 def a18_fx_translation(led):
     return change.fx_translation(led.accounts, led.transactions, led.rates, "2000-06-30", AS_OF)
+
+
+@query("SELECT txn_id, CAST(ts AS DATE) AS day, amount, description FROM feed", "feed")
+def i5_normalise_rows(led):
+    # The feed as a bank prints it: days and amounts as text, outflows in parentheses.
+    printed = F.format_number(F.abs("amount"), 2)
+    cell = F.when(F.col("amount") < 0, F.concat(F.lit("($"), printed, F.lit(")"))).otherwise(F.concat(F.lit("$"), printed))
+    rows = led.feed.select("txn_id", F.date_format("ts", "dd/MM/yyyy").alias("Date"), "description", cell.alias("Amount"))
+    found = statements.normalise_rows(rows, {"date": "Date", "description": "description", "amount": "Amount"})
+    return found.select("txn_id", "day", F.col("parsed").alias("amount"), F.col("text").alias("description"))
