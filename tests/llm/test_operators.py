@@ -63,7 +63,9 @@ def test_ngram_join(docs, none):
     assert ngram_join.jaccard_components(none).collect() == []
 
 
-def test_ngram_join_tiles_find_what_leaders_miss(docs, monkeypatch):
+@pytest.mark.parametrize("wide", [1, 16])
+def test_ngram_join_tiles_find_what_leaders_miss(docs, monkeypatch, wide):
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
     monkeypatch.setattr(ngram_join, "LEADERS", 0)
     monkeypatch.setattr(ngram_join, "TILE", 3)
     got = ngram_join.jaccard_components(docs).collect()
