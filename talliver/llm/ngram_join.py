@@ -12,7 +12,9 @@
 4. What the bound leaves is verified by intersecting the sorted arrays.
 
 The links kept connect exactly the nodes that all links connect, since a pair
-is skipped only if its two ends are already in one component.
+is skipped only if its two ends are already in one component.  They are no
+count of links: for that, all nodes of one component (no link leaves it) meet
+once in tiles of their own, which add up the exact links of each node.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ TILE = 512
 WIDE = 16
 #: Tiles of at most so many pairs are compared one by one, larger ones as matrices.
 FEW = 24
+#: Where links are counted: shingles on one side of a tile, columns of a matrix, and how much cheaper one of its cells is than one pair.
+TILE_TOKENS, COLUMNS, CELLS = 1 << 20, 2048, 50
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -312,6 +316,18 @@ def _intersect(num: int, den: int):
     return run
 
 
+def _limits(num: int, den: int) -> list[int]:
+    """Size bands by integer limits: a set's partners, up to den/num times as large, are in its own band or the next."""
+    limits = [1]
+    while limits[-1] < 1 << 31:
+        limits.append(den * limits[-1] // num + 1)
+    return limits
+
+
+def _band(limits: list[int]):
+    return F.size(F.filter(F.lit(limits), lambda x: x <= F.col("n")))
+
+
 def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs of nodes that reach the threshold, by intersecting sorted arrays; ``heads`` has one id of each node."""
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node"), "wanted")
@@ -323,6 +339,120 @@ def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, num:
     return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_intersect(num, den), "a long, b long").distinct()
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of each left and each right set."""
+    rows, cols = len(left), len(right)
+    size = [len(x) for x in left] + [len(x) for x in right]
+    _, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner, low = np.repeat(np.arange(rows + cols), size), sum(size[:rows])
+    n = int(at.max()) + 1 if len(at) else 0
+    by_left, by_right = np.bincount(at[:low], minlength=n), np.bincount(at[low:], minlength=n)
+    met = (by_left > 0) & (by_right > 0)
+    place = np.cumsum(met) - 1
+    use = met[at]
+    x, y = place[at[:low][use[:low]]], place[at[low:][use[low:]]]
+    x_row, y_row = owner[:low][use[:low]], owner[low:][use[low:]] - rows
+    by_x, by_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    x, x_row, y, y_row = x[by_x], x_row[by_x], y[by_y], y_row[by_y]
+    width = int(met.sum())
+    out = np.zeros((rows, cols), np.float32)
+    if CELLS * int((by_left * by_right).sum()) < rows * cols * width:
+        # Few sets share a value: each left entry with all right entries of its value.
+        first, last = np.searchsorted(y, x), np.searchsorted(y, x, side="right")
+        for i in range(0, len(x), 1 << 14):
+            a, n_of = first[i : i + (1 << 14)], (last - first)[i : i + (1 << 14)]
+            to = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of) + np.repeat(a, n_of)
+            np.add.at(out, (np.repeat(x_row[i : i + (1 << 14)], n_of), y_row[to]), 1)
+        return out.astype(np.int64)
+    for c in range(0, width, COLUMNS):
+        wide = min(COLUMNS, width - c)
+        p, q = slice(*np.searchsorted(x, [c, c + wide])), slice(*np.searchsorted(y, [c, c + wide]))
+        a, b = np.zeros((rows, wide), np.float32), np.zeros((cols, wide), np.float32)
+        a[x_row[p], x[p] - c] = 1
+        b[y_row[q], y[q] - c] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def _link_sums(num: int, den: int):
+    """Rows sorted by cell and block; for each tile the rows that each of its nodes is linked with.  ``lower`` is null for both sides."""
+    names = ["node", "weight", "lower", "tokens"]
+
+    def count(rows: dict[str, list]):
+        left = [r for r, x in enumerate(rows["lower"]) if x is not False]
+        right = [r for r, x in enumerate(rows["lower"]) if not x]
+        if not left or not right:
+            return []
+        node, weight = np.array(rows["node"], np.int64), np.array(rows["weight"], np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+        n = np.array([len(x) for x in sets], np.int64)
+        both = overlaps([sets[r] for r in left], [sets[r] for r in right])
+        x, y = n[left][:, None], n[right][None, :]
+        ok = den * both >= num * (x + y - both)
+        ok &= (x < y) | ((x == y) & (node[left][:, None] < node[right][None, :]))
+        sums = np.zeros(len(node), np.int64)
+        np.add.at(sums, left, ok @ weight[right])
+        np.add.at(sums, right, weight[left] @ ok)
+        return [(node[sums > 0], sums[sums > 0])]
+
+    def batch_of(found):
+        return pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], ["node", "c"])
+
+    def run(batches):
+        key, rows = None, {c: [] for c in names}
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("comp", "band", "i", "j")], strict=True))
+            cols = {c: batch.column(c).to_pylist() for c in names}
+            found, start = [], 0
+            for r in range(1, len(keys) + 1):
+                if r < len(keys) and keys[r] == keys[start]:
+                    continue
+                if keys[start] != key:
+                    if key is not None:
+                        found += count(rows)
+                    key, rows = keys[start], {c: [] for c in names}
+                for c in names:
+                    rows[c] += cols[c][start:r]
+                start = r
+            if found:
+                yield batch_of(found)
+        if key is not None and (found := count(rows)):
+            yield batch_of(found)
+
+    return run
+
+
+def _link_counts(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(node, c): how many rows of other nodes reach the threshold with each node; nodes without such rows may be missing.
+
+    ``heads`` has node, n, weight (its rows), low (an id of it) and comp.  A
+    component of at most TILE nodes and TILE_TOKENS shingles is one tile; a
+    larger one is dealt by size bands and blocks, so each pair meets once.
+    """
+    limits = _limits(num, den)
+    total = heads.groupBy("comp").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens")).filter("nodes > 1")
+    total = cut(total.select("comp", ((F.col("nodes") <= TILE) & (F.col("tokens") <= TILE_TOKENS)).alias("whole")), "groups")
+    near = cut(heads.join(total, "comp").withColumn("own", _band(limits)), "near")
+    nodes = near.select("node", F.col("low").alias("id"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted, ids = node_filter(nodes, "node"), node_filter(nodes.dropna(), "id")
+    sets = texts.mapInArrow(_exact_sets(k, ids, wanted), "node long, tokens binary").join(nodes.select("node"), "node", "left_semi")
+    sets = cut(sets.dropDuplicates(["node"]), "near_sets")
+
+    base = ["comp", "node", "weight"]
+    once = near.filter("whole").select(*base, F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("boolean").alias("lower"))
+    roles = F.array(F.struct(F.lit(True).alias("lower"), F.col("own").alias("band")), *[F.struct(F.lit(False).alias("lower"), (F.col("own") - d).alias("band")) for d in range(2)])
+    rest = near.filter("not whole").select(*base, "n", F.explode(roles).alias("role")).select(*base, "n", "role.*")
+    blocks = lambda side: F.ceil(F.greatest(F.count_if(side) / TILE, F.sum(F.when(side, F.col("n")).otherwise(0)) / TILE_TOKENS)).cast("int")
+    dealt = rest.groupBy("comp", "band").agg(blocks(F.col("lower")).alias("n_low"), blocks(~F.col("lower")).alias("n_high"))
+    spread = rest.join(cut(dealt.filter("n_low > 0 and n_high > 0"), "blocks"), ["comp", "band"])
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("lower"), F.col("n_low")).otherwise(F.col("n_high"))).cast("int")
+    spread = spread.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("lower"), F.col("n_high")).otherwise(F.col("n_low")) - 1)))
+    spread = spread.select(*base, "band", F.when(F.col("lower"), F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("lower"), F.col("other")).otherwise(F.col("mine")).alias("j"), "lower")
+    tiles = once.unionByName(spread).join(sets, "node").repartition("comp", "band", "i", "j").sortWithinPartitions("comp", "band", "i", "j")
+    return tiles.mapInArrow(_link_sums(num, den), "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+
+
 def _star(members: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """(a, b): each node b with up to LEADERS nodes a of other components that lead a posted shingle in b's size band."""
     key = ["token", "own"]
@@ -356,13 +486,10 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = spark.sparkContext.broadcast((tokens[by], often["c"].to_numpy(np.int64)[by]))
 
     posted = texts.mapInArrow(_postings(k, num, den, order), "token long, node long, n int, small boolean")
-    # Size bands by integer limits: a set's partners, up to den/num times as large, are in its own band or the next.
-    limits = [1]
-    while limits[-1] < 1 << 31:
-        limits.append(den * limits[-1] // num + 1)
+    limits = _limits(num, den)
     counted = texts.mapInArrow(_postings(k, num, den, order, count=True), "token long")
     shared = cut(counted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
-    members = posted.join(shared, "token").distinct().withColumn("own", F.size(F.filter(F.lit(limits), lambda x: x <= F.col("n"))))
+    members = posted.join(shared, "token").distinct().withColumn("own", _band(limits))
     members = cut(members, "members")
     sigs = cut(profile, "signatures")
     heads = sigs.select("node", "id")
@@ -399,18 +526,27 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.filter("kind = 0").select("id", "node", "n"), cut(links, "all_links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links) and n_links of its class."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(profile, classes): the profile's rows, and for each node n, weight (its rows), low (its smallest id), comp and component_id."""
     profile, links = similarity_classes(docs, id_col, text_col, k, num, den)
-    comps = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    heads = profile.filter("n > 0").groupBy("node").agg(F.min("id").alias("low")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    heads = cut(heads, "heads")
+    heads = profile.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("weight"), F.min("id").alias("low"))
+    heads = cut(heads.join(connected_components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "heads")
     roots = heads.groupBy("comp").agg(F.min("low").alias("component_id"))
-    classes = cut(heads.join(roots, "comp").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    out = profile.join(classes, "node", "left")
+    return profile, cut(heads.join(roots, "comp"), "classes")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable by links) and n_links.
+
+    ``n_links`` is the number of other rows that reach the threshold with this
+    one, rows of equal text among them.
+    """
+    profile, classes = near_groups(docs, id_col, text_col, k, num, den)
+    counts = cut(_link_counts(docs, classes, id_col, text_col, k, num, den), "link_counts")
+    linked = F.col("weight") - 1 + F.coalesce("c", F.lit(0))
+    out = profile.join(classes.join(counts, "node", "left").select("node", "component_id", linked.alias("n_links")), "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

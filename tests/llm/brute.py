@@ -84,3 +84,12 @@ def contaminated(rows, items):
         n = sum(hit)
         out.append((len(w), n, len(found), sha(",".join(sorted(found))), n > 0 and 20 * n >= len(w)))
     return out
+
+
+def n_links(rows):
+    """For each row the number of other rows that reach the threshold with it."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOW))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return [sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]

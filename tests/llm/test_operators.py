@@ -72,6 +72,23 @@ def test_ngram_join_tiles_find_what_leaders_miss(docs, monkeypatch, wide):
     same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], [(d, *c) for (d, _), c in zip(ROWS, brute.components(ROWS), strict=True)])
 
 
+@pytest.mark.parametrize("tile", [512, 3])
+def test_ngram_join_counts_every_link(docs, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    got = ngram_join.jaccard_components(docs).collect()
+    same([(r["doc_id"], r["n_shingles"], r["n_links"]) for r in got], [(d, c[0], n) for (d, _), c, n in zip(ROWS, brute.components(ROWS), brute.n_links(ROWS), strict=True)])
+
+
+@pytest.mark.parametrize("cells", [0, 50, 10**9])
+def test_overlaps_by_pairs_and_by_matrices(monkeypatch, cells):
+    monkeypatch.setattr(ngram_join, "CELLS", cells)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    sets = [set(R.sample(range(90), R.randrange(1, 60))) for _ in range(30)] + [{1000}]
+    left, right = sets[:12], sets[10:]
+    got = ngram_join.overlaps(*[[np.array(sorted(x), np.uint64) for x in side] for side in (left, right)])
+    assert got.tolist() == [[len(x & y) for y in right] for x in left]
+
+
 def test_bit_counts_bound_the_overlap():
     r = np.random.default_rng(1)
     for n in (1, 5, 200, 900):
