@@ -522,6 +522,31 @@ def j21_new_suggestions(led):
     return schedules.new_suggestions(found, held).drop("stream")
 
 
+def _history(led):
+    """All rows of both ledgers; feed accounts are another number range."""
+    part = lambda df, sign: df.select((sign * F.col("account_id")).cast("long").alias("account_id"), "ts", "description", "amount")
+    return part(led.transactions, 1).unionByName(part(led.feed, -1))
+
+
+# The oracle of the streams of all rows; as_of is 2001-08-01.
+_RECURRING = r"""h AS (SELECT CAST(account_id AS BIGINT) AS account_id, ts, description, amount FROM transactions UNION ALL SELECT CAST(-account_id AS BIGINT), ts, description, amount FROM feed),
+k AS (SELECT account_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(description, ''), '\d+', '', 'g'), '[^a-zA-Z\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS stream, CAST(ts AS DATE) AS day, CAST(amount AS DOUBLE) AS amount FROM h),
+r AS (SELECT *, date_diff('day', lag(day) OVER (PARTITION BY account_id, stream ORDER BY day), day) AS gap FROM k WHERE stream <> ''),
+m AS (SELECT account_id, stream, quantile_cont(gap, 0.5) AS median, count(*) AS n, max(day) AS last, avg(amount) AS mean, stddev_samp(amount) AS sd, count(DISTINCT amount) AS kinds FROM r GROUP BY 1, 2 HAVING count(*) >= 3),
+f AS (SELECT *, CASE WHEN abs(median - 7) <= 3 THEN 'weekly' WHEN abs(median - 14) <= 4 THEN 'biweekly' WHEN abs(median - 30) <= 8 THEN 'monthly' WHEN abs(median - 91) <= 12 THEN 'quarterly' WHEN abs(median - 365) <= 20 THEN 'annually' END AS frequency,
+ CASE WHEN abs(median - 7) <= 3 THEN 3 WHEN abs(median - 14) <= 4 THEN 4 WHEN abs(median - 30) <= 8 THEN 8 WHEN abs(median - 91) <= 12 THEN 12 ELSE 20 END AS tol FROM m),
+g AS (SELECT f.account_id, f.stream, CAST(count(*) FILTER (abs(gap - median) <= tol) AS DOUBLE) / count(*) AS regularity FROM f JOIN r USING (account_id, stream) WHERE frequency IS NOT NULL AND gap IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, round(CASE WHEN kinds = 1 THEN 1.0 WHEN mean = 0 THEN 0.5 ELSE greatest(0.0, 1 - sd / abs(mean)) END, 6) AS k FROM f JOIN g USING (account_id, stream)),
+o AS (SELECT *, round(regularity * CASE WHEN k >= 0.85 THEN k ELSE 0.85 END, 3) AS confidence FROM c),
+found AS (SELECT account_id, stream, n, frequency, CASE WHEN k >= 0.85 THEN 'fixed' ELSE 'variable' END AS amount_type, confidence, last AS last_seen FROM o
+ WHERE k >= 0.30 AND confidence >= 0.50 AND date_diff('day', last, DATE '2001-08-01') <= 120)"""
+
+
+@query(f"WITH {_RECURRING} SELECT * FROM found", "transactions feed")
+def w2_detect_recurring_all(led):
+    return schedules.detect_recurring(_history(led), "2001-08-01").drop("next_due")
+
+
 _PROJECTED = """pr AS (SELECT payment_id, account_id, amount, CAST(CASE frequency WHEN 'weekly' THEN next_due + CAST(7 * i AS INTEGER) WHEN 'biweekly' THEN next_due + CAST(14 * i AS INTEGER) WHEN 'monthly' THEN next_due + to_months(CAST(i AS INTEGER))
  WHEN 'quarterly' THEN next_due + to_months(CAST(3 * i AS INTEGER)) ELSE next_due + to_months(CAST(12 * i AS INTEGER)) END AS DATE) AS due FROM schedules, range(60) x(i)), pd AS (SELECT payment_id, account_id, due, amount FROM pr WHERE due <= DATE '2002-07-31')"""
 
