@@ -547,6 +547,16 @@ def w2_detect_recurring_all(led):
     return schedules.detect_recurring(_history(led), "2001-08-01").drop("next_due")
 
 
+@query(
+    rf"""WITH {_RECURRING} SELECT * FROM found WHERE NOT EXISTS (SELECT 1 FROM schedules s WHERE s.account_id = found.account_id
+ AND lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(s.description, ''), '\d+', '', 'g'), '[^a-zA-Z\s]', ' ', 'g'), '\s+', ' ', 'g'))) = found.stream)""",
+    "transactions feed schedules",
+)
+def j21_new_suggestions_all(led):
+    found = schedules.detect_recurring(_history(led), "2001-08-01").drop("next_due")
+    return schedules.new_suggestions(found, led.schedules.select("account_id", text.grouping_key(F.col("description")).alias("stream")))
+
+
 _PROJECTED = """pr AS (SELECT payment_id, account_id, amount, CAST(CASE frequency WHEN 'weekly' THEN next_due + CAST(7 * i AS INTEGER) WHEN 'biweekly' THEN next_due + CAST(14 * i AS INTEGER) WHEN 'monthly' THEN next_due + to_months(CAST(i AS INTEGER))
  WHEN 'quarterly' THEN next_due + to_months(CAST(3 * i AS INTEGER)) ELSE next_due + to_months(CAST(12 * i AS INTEGER)) END AS DATE) AS due FROM schedules, range(60) x(i)), pd AS (SELECT payment_id, account_id, due, amount FROM pr WHERE due <= DATE '2002-07-31')"""
 
