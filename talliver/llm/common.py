@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,45 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests)."""
+    """The folder that all executors share; a local one only where none is set and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found or os.path.join(tempfile.gettempdir(), "talliver-checkpoints")
 
 
+#: Shuffle files of a write go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/talliver/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors cost nothing.
+
+    The write's own shuffle files are removed at its end; ``df`` should not be
+    run again, or its shuffles are made anew.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/talliver/{uuid.uuid4().hex}/{name}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, True)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.written = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these tables; nothing may read them any more."""
+    for df in kept:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +77,9 @@ def node_filter(nodes: DataFrame, column: str):
     always joined exactly afterwards.
     """
     slot = F.col(column).bitwiseAND(FILTER_WORDS * 64 - 1)
-    packed = nodes.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63L as int))")).alias("bits")).toPandas()
+    packed = nodes.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63L as int))")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_WORDS, np.uint64)
-    bits[packed["w"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[packed["w"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
     return nodes.sparkSession.sparkContext.broadcast(bits)
 
 

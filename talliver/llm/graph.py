@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talliver.llm.common import cut
+from talliver.llm.common import cut, discard
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -20,12 +20,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     both = cut(both.union(both.select("b", "a")).distinct().toDF("a", "b"), "cc_edges")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "cc_labels")
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("comp", "m").alias("next"), F.col("comp").alias("old"))
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
+        step = labels.select("node", "comp").join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("comp", "m").alias("next"), F.col("comp").alias("old"))
         step = cut(step, "cc_step")
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("root"))
         new = cut(step.join(jump, "next").select("node", F.col("root").alias("comp"), (F.col("root") != F.col("old")).alias("moved")), "cc_labels")
-        labels = new.select("node", "comp")
+        discard(step, labels)
+        labels = new
         if not new.filter("moved").take(1):
-            return labels
+            discard(both)
+            return labels.select("node", "comp")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

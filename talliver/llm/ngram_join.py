@@ -5,16 +5,17 @@
 2. A node posts its rarest shingles (prefix filter): two sets that reach the
    threshold share a posted one.  Rare means: not among the frequent shingles
    that some task saw often; the order changes the cost only, never the result.
-3. First each node of a posted shingle is compared with one leader.  That
-   joins groups of copies in linear time.  Then the nodes of a shingle that
-   are still in different components meet in size-banded tiles of bounded
-   size, where the parity bitmaps of two sets bound their overlap from above.
-4. What the bound leaves is verified by intersecting the sorted arrays.
-
-The links kept connect exactly the nodes that all links connect, since a pair
-is skipped only if its two ends are already in one component.  They are no
-count of links: for that, all nodes of one component (no link leaves it) meet
-once in tiles of their own, which add up the exact links of each node.
+3. Candidates.  Nodes of a shingle that few post are paired, each pair once.
+   Nodes of a wide shingle are paired with a leader of their size band; those
+   that are still apart then meet in size-banded tiles of bounded size.  A pair
+   stays if the bit counts of its parity bitmaps, which bound its overlap from
+   above, allow the threshold.  Only the groups that candidates connect go on,
+   and a tile reports no more edges than it has nodes.
+4. Groups.  Every link lies within a group.  The nodes of a group meet once, in
+   a tile of their own or, if there are many, in size-banded tiles of blocks.
+   What the bitmaps leave there is verified by intersecting the sorted arrays.
+   A tile adds up the links of each node and reports edges that connect what
+   its links connect, so its output is linear in its nodes.
 """
 
 from __future__ import annotations
@@ -27,27 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talliver.llm.common import cut, node_filter, passes, table
+from talliver.llm.common import cut, discard, node_filter, passes, table
 from talliver.llm.graph import connected_components
 from talliver.llm.textkernels import SPACE, Words, sequence_hash, slices, windows
 
 #: Order of posted shingles only: at most so many frequent shingles are ranked, and so often a task must see one.
-FREQUENT, SEEN = 500_000, 4
+FREQUENT, SEEN = 500_000, 3
 #: Tokens that a task counts at once when it looks for frequent shingles.
-COUNTED = 4_000_000
-#: Leaders with which a node is compared before the tiles.
-LEADERS = 3
-#: How often this is done; each round joins what the one before left apart.
-ROUNDS = 2
-#: Nodes on one side of a tile.
-TILE = 512
-#: A shingle that more nodes post is wide; two nodes that share several wide shingles meet at each, but are reported at one.
+COUNTED = 1_000_000
+#: Nodes that a task remembers, so as not to send exact copies twice.
+REMEMBERED = 1 << 20
+#: A shingle that more nodes post is wide.
 WIDE = 16
-#: Tiles of at most so many pairs are compared one by one, larger ones as matrices.
-FEW = 24
-#: Where links are counted: shingles on one side of a tile, columns of a matrix, and how much cheaper one of its cells is than one pair.
-TILE_TOKENS, COLUMNS, CELLS = 1 << 20, 2048, 50
-
+#: How often (at least once) the nodes of a wide shingle are paired with a leader; each round joins what the one before left apart.
+ROUNDS = 2
+#: Nodes and shingles on one side of a tile.
+TILE, TILE_TOKENS = 1024, 1 << 20
+#: Bits of a signature: four a shingle up to this many.
+MOST_BITS = 1 << 13
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes); fewer words than k are one shingle, none give an empty set."""
@@ -68,9 +66,14 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """Parity bitmap: bit h mod m flips for each h; m is a power of two, at least twice the set's size."""
-    m = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+def bits_of(n: int) -> int:
+    """Bits of the signature of n values: a power of two, at least four a value, but no more than MOST_BITS."""
+    return min(MOST_BITS, max(64, 1 << max(4 * n - 1, 0).bit_length()))
+
+
+def signature(tokens: np.ndarray, m: int | None = None) -> bytes:
+    """Parity bitmap: bit h mod m flips for each h."""
+    m = m or bits_of(len(tokens))
     odd = np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -95,7 +98,7 @@ def _profile(k: int):
             often = counts >= SEEN
             n = int(often.sum())
             zeros = np.zeros(n, np.int64)
-            return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(zeros), pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array([b""] * n, pa.binary())], PROFILE.names)
+            return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(zeros), pa.array(zeros), pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array([b""] * n, pa.binary())], PROFILE.names)
 
         for whole in batches:
             for batch in slices(whole):
@@ -105,11 +108,13 @@ def _profile(k: int):
                     sizes.append(len(tokens))
                     bits.append(signature(tokens))
                     if len(tokens) and node not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         seen.add(node)
                         waiting.append(tokens)
                         total += len(tokens)
                 n = len(nodes)
-                yield pa.record_batch([pa.array(np.zeros(n, np.int32)), batch.column("id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], PROFILE.names)
+                yield pa.record_batch([pa.array(np.zeros(n, np.int32)), batch.column("id").cast(pa.int64()), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], PROFILE.names)
                 if total >= COUNTED:
                     yield frequent()
                     waiting, total = [], 0
@@ -119,7 +124,7 @@ def _profile(k: int):
     return run
 
 
-PROFILE = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+PROFILE = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
 
 def _rarest(tokens: np.ndarray, probe: int, weights) -> np.ndarray:
@@ -149,134 +154,137 @@ def _weights(known: np.ndarray, counts: np.ndarray):
     return of
 
 
-def _postings(k: int, num: int, den: int, order, count: bool = False):
-    """The posted shingles of each node; for a count, the shingles alone."""
+def _posted_by(batches, k: int, num: int, den: int, weights) -> Iterator[list[tuple[np.ndarray, int, int, int]]]:
+    """(posted shingles, node, n, length of the index prefix) of the nodes of each slice."""
+    seen: set[int] = set()
+    for whole in batches:
+        for batch in slices(whole):
+            parts = []
+            for _, tokens in shingle_sets(batch, k):
+                n = len(tokens)
+                if not n or (node := node_of(tokens)) in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(node)
+                probe = n - -(-num * n // den) + 1
+                index = n - -(-2 * num * n // (num + den)) + 1
+                parts.append((_rarest(tokens, probe, weights), node, n, index))
+            if parts:
+                yield parts
+
+
+def _tokens(k: int, num: int, den: int, order):
+    """The posted shingles alone."""
 
     def run(batches):
-        weights = _weights(*order.value)
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in slices(whole):
-                parts = []
-                for _, tokens in shingle_sets(batch, k):
-                    n = len(tokens)
-                    if not n or (node := node_of(tokens)) in seen:
-                        continue
-                    seen.add(node)
-                    probe = n - -(-num * n // den) + 1
-                    index = n - -(-2 * num * n // (num + den)) + 1
-                    parts.append((_rarest(tokens, probe, weights), node, n, index))
-                if parts and count:
-                    yield pa.record_batch([pa.array(np.concatenate([p[0] for p in parts]).view(np.int64))], ["token"])
-                elif parts:
-                    lens = [len(p[0]) for p in parts]
-                    small = np.concatenate([np.arange(len(p[0])) < p[3] for p in parts])
-                    yield pa.record_batch(
-                        [pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), lens)), pa.array(np.repeat(np.array([p[2] for p in parts], np.int32), lens)), pa.array(small)],
-                        ["token", "node", "n", "small"],
-                    )
+        for parts in _posted_by(batches, k, num, den, _weights(*order.value)):
+            yield pa.record_batch([pa.array(np.concatenate([p[0] for p in parts]).view(np.int64))], ["token"])
 
     return run
 
 
-def _bounded(num: int, den: int):
-    """Keep the pairs whose overlap may reach the threshold by their bit counts."""
+def _postings(k: int, num: int, den: int, order, shared):
+    """The posted shingles of each node that pass the filter ``shared``; ``small``: in the prefix that meets larger sets."""
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y, n, m in zip(batch.column("bits_a"), batch.column("bits_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True):
-                x, y = x.as_py(), y.as_py()
-                size = min(len(x), len(y))
-                pair = folded([x, y], size)
-                apart = int(np.bitwise_count(pair[0] ^ pair[1]).sum())
-                keep.append((num + den) * ((n + m - apart) // 2) >= num * (n + m))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        bits = shared.value
+        for parts in _posted_by(batches, k, num, den, _weights(*order.value)):
+            lens = [len(p[0]) for p in parts]
+            token = np.concatenate([p[0] for p in parts]).view(np.int64)
+            use = passes(bits, token)
+            small = np.concatenate([np.arange(len(p[0])) < p[3] for p in parts])
+            node, n = (np.repeat(np.array([p[c] for p in parts], np.int64), lens) for c in (1, 2))
+            yield pa.record_batch([pa.array(token[use]), pa.array(node[use]), pa.array(n[use].astype(np.int32)), pa.array(small[use])], ["token", "node", "n", "small"])
 
     return run
 
 
-def first_shared(x: np.ndarray, y: np.ndarray) -> int | None:
-    """The smallest value of two sorted arrays."""
-    at = np.searchsorted(y, x)
-    same = np.flatnonzero(y[np.minimum(at, len(y) - 1)] == x) if len(y) else ()
-    return int(x[same[0]]) if len(same) else None
-
-
-def _tiles(num: int, den: int):
-    """Rows sorted by cell and block; each run of equal (token, band, i, j) is one tile, at most 2 * TILE nodes."""
-
-    def few(lows: list[int], highs: list[int], rows: dict[str, list]):
-        comp, n, node, small, bits = (rows[c] for c in ("comp", "n", "node", "small", "bits"))
-        pairs = []
-        for i in lows:
-            for j in highs:
-                x, y = n[i], n[j]
-                if comp[i] != comp[j] and small[i] and (x < y or x == y and node[i] < node[j]) and den * x >= num * y:
-                    p, q = bits[i], bits[j]
-                    if len(p) != len(q):
-                        p, q = (r.tobytes() for r in folded([p, q], min(len(p), len(q))))
-                    apart = (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count()
-                    if (num + den) * ((x + y - apart) // 2) >= num * (x + y):
-                        pairs.append((node[i], node[j]))
-        return tuple(np.array(pairs, np.int64).T) if pairs else None
-
-    def compare(token: int, rows: dict[str, list]):
-        highs = [r for r, x in enumerate(rows["lower"]) if not x]
-        if len(highs) * (len(rows["lower"]) - len(highs)) <= FEW and rows["wide"][highs[0] if highs else 0] is None:
-            return few([r for r, x in enumerate(rows["lower"]) if x], highs, rows)
-        lower = np.array(rows["lower"], bool)
-        if lower.all() or not lower.any():
-            return None
-        comp, n, node, small = (np.array(rows[c]) for c in ("comp", "n", "node", "small"))
-        size = min(len(x) for x in rows["bits"])
-        sig = folded(rows["bits"], size)
-        left, right = np.flatnonzero(lower), np.flatnonzero(~lower)
-        apart = np.bitwise_count(sig[left][:, None, :] ^ sig[right][None, :, :]).sum(axis=2, dtype=np.int64) if size <= 256 else np.array([np.bitwise_count(sig[i] ^ sig[right]).sum(axis=1, dtype=np.int64) for i in left])
-        x, y = n[left][:, None], n[right][None, :]
-        ok = (num + den) * ((x + y - apart) // 2) >= num * (x + y)
-        ok &= (x <= y) & small[left][:, None] & (den * x >= num * y) & (comp[left][:, None] != comp[right][None, :])
-        ok &= (x < y) | (node[left][:, None] < node[right][None, :])
-        i, j = np.nonzero(ok)
-        i, j = left[i], right[j]
-        if len(i) and rows["wide"][0] is not None:
-            low = {r: np.frombuffer(rows["low"][r], np.int64) for r in set(i.tolist())}
-            wide = {r: np.frombuffer(rows["wide"][r], np.int64) for r in set(j.tolist())}
-            first = [first_shared(low[p], wide[q]) == token for p, q in zip(i.tolist(), j.tolist(), strict=True)]
-            i, j = i[first], j[first]
-        return node[i], node[j]
+def may_reach(n, m, apart, num: int, den: int):
+    """Whether sets of n and m values whose signatures differ in ``apart`` bits can reach the threshold."""
+    return (num + den) * ((n + m - apart) // 2) >= num * (n + m)
+
+
+def _bounded(num: int, den: int):
+    """Keep the pairs whose overlap may reach the threshold by their bit counts."""
 
     def run(batches):
-        names = ["comp", "n", "node", "small", "lower", "bits", "low", "wide"]
-        key, rows = None, {c: [] for c in names}
         for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in ("token", "band", "i", "j")], strict=True))
-            cols = {c: batch.column(c).to_pylist() for c in names}
-            out_a, out_b, start = [], [], 0
-            for r in range(1, len(keys) + 1):
-                if r < len(keys) and keys[r] == keys[start]:
-                    continue
-                if keys[start] != key:
-                    if key is not None and (got := compare(key[0], rows)):
-                        out_a.append(got[0])
-                        out_b.append(got[1])
-                    key, rows = keys[start], {c: [] for c in names}
-                for c in names:
-                    rows[c] += cols[c][start:r]
-                start = r
-            if out_a:
-                yield pa.record_batch([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], ["a", "b"])
-        if key is not None and (got := compare(key[0], rows)):
-            yield pa.record_batch([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], ["a", "b"])
+            n, m = (np.asarray(batch.column(c)).astype(np.int64) for c in ("n_a", "n_b"))
+            apart = np.zeros(len(n), np.int64)
+            for r, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)):
+                x, y = folded([x, y], min(len(x), len(y)))
+                apart[r] = np.bitwise_count(x ^ y).sum()
+            yield batch.filter(pa.array(may_reach(n, m, apart, num, den))).select(["a", "b"])
 
     return run
 
 
-def _as_bytes(batches):
-    """Arrays of longs as binary values."""
+def _runs(batches, key: list[str], names: list[str]):
+    """Sorted rows as columns (lists) of each run of equal keys, and whether its batch ends there."""
+    at, rows = None, {c: [] for c in names}
     for batch in batches:
-        cols = [[np.asarray(x.values, np.int64).tobytes() for x in batch.column(c)] for c in ("wide", "low")]
-        yield pa.record_batch([batch.column("node"), *[pa.array(c, pa.binary()) for c in cols]], ["node", "wide", "low"])
+        keys = list(zip(*[batch.column(c).to_pylist() for c in key], strict=True))
+        cols = {c: batch.column(c).to_pylist() for c in names}
+        start = 0
+        for r in range(1, len(keys) + 1):
+            if r < len(keys) and keys[r] == keys[start]:
+                continue
+            if keys[start] != at:
+                if at is not None:
+                    yield rows
+                at, rows = keys[start], {c: [] for c in names}
+            for c in names:
+                rows[c] += cols[c][start:r]
+            start = r
+    if at is not None:
+        yield rows
+
+
+class Labels:
+    """Components of the nodes of one tile; ``link`` notes one edge for each component that it adds."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = label.copy()
+        self.edges: list[tuple[int, int]] = []
+
+    def link(self, i: int, others: np.ndarray) -> None:
+        found, first = np.unique(self.label[others], return_index=True)
+        own = self.label[i]
+        add = found != own
+        if add.any():
+            self.edges += [(i, int(j)) for j in others[first[add]]]
+            self.label[np.isin(self.label, found[add])] = own
+
+
+def _smaller(n: np.ndarray, node: np.ndarray, i: int, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rows of ``right`` that are larger than row i (by n, then node), but not too large."""
+    x, y = n[i], n[right]
+    return ((x < y) | ((x == y) & (node[i] < node[right]))) & (den * x >= num * y)
+
+
+def _token_tiles(num: int, den: int):
+    """Each run of equal (token, band, i, j) is one tile; edges by which bit counts may connect its components."""
+
+    def run(batches):
+        for rows in _runs(batches, ["token", "band", "i", "j"], ["comp", "n", "node", "small", "lower", "bits"]):
+            comp, n, node = (np.array(rows[c], np.int64) for c in ("comp", "n", "node"))
+            lower = np.array(rows["lower"], bool)
+            left, right = np.flatnonzero(lower & np.array(rows["small"], bool)), np.flatnonzero(~lower)
+            if not len(left) or not len(right) or (comp == comp[0]).all():
+                continue
+            sig = folded(rows["bits"], min(len(x) for x in rows["bits"]))
+            tile = Labels(np.unique(comp, return_inverse=True)[1])
+            for i in left.tolist():
+                js = right[_smaller(n, node, i, right, num, den) & (tile.label[right] != tile.label[i])]
+                if len(js):
+                    apart = np.bitwise_count(sig[js] ^ sig[i]).sum(axis=1, dtype=np.int64)
+                    tile.link(i, js[may_reach(n[i], n[js], apart, num, den)])
+            if tile.edges:
+                a, b = node[np.array(tile.edges)].T
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
 
 
 def _exact_sets(k: int, ids, wanted):
@@ -294,6 +302,8 @@ def _exact_sets(k: int, ids, wanted):
                     if node is None or node in seen:
                         continue
                     if passes(bits, np.array([node]))[0]:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         seen.add(node)
                         nodes.append(node)
                         sets.append(tokens.tobytes())
@@ -303,19 +313,6 @@ def _exact_sets(k: int, ids, wanted):
     return run
 
 
-def _intersect(num: int, den: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return run
-
-
 def _limits(num: int, den: int) -> list[int]:
     """Size bands by integer limits: a set's partners, up to den/num times as large, are in its own band or the next."""
     limits = [1]
@@ -328,225 +325,193 @@ def _band(limits: list[int]):
     return F.size(F.filter(F.lit(limits), lambda x: x <= F.col("n")))
 
 
-def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs of nodes that reach the threshold, by intersecting sorted arrays; ``heads`` has one id of each node."""
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node"), "wanted")
-    wanted, ids = node_filter(nodes, "node"), node_filter(nodes.dropna(), "id")
-    sets = texts.mapInArrow(_exact_sets(k, ids, wanted), "node long, tokens binary").join(nodes.select("node"), "node", "left_semi")
-    sets = cut(sets.dropDuplicates(["node"]), "sets")
-    right = pairs.join(sets.withColumnsRenamed({"node": "b", "tokens": "tokens_b"}), "b")
-    both = right.join(sets.withColumnsRenamed({"node": "a", "tokens": "tokens_a"}), "a")
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_intersect(num, den), "a long, b long").distinct()
-
-
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The number of common values of each left and each right set."""
-    rows, cols = len(left), len(right)
-    size = [len(x) for x in left] + [len(x) for x in right]
-    _, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    owner, low = np.repeat(np.arange(rows + cols), size), sum(size[:rows])
-    n = int(at.max()) + 1 if len(at) else 0
-    by_left, by_right = np.bincount(at[:low], minlength=n), np.bincount(at[low:], minlength=n)
-    met = (by_left > 0) & (by_right > 0)
-    place = np.cumsum(met) - 1
-    use = met[at]
-    x, y = place[at[:low][use[:low]]], place[at[low:][use[low:]]]
-    x_row, y_row = owner[:low][use[:low]], owner[low:][use[low:]] - rows
-    by_x, by_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
-    x, x_row, y, y_row = x[by_x], x_row[by_x], y[by_y], y_row[by_y]
-    width = int(met.sum())
-    out = np.zeros((rows, cols), np.float32)
-    if CELLS * int((by_left * by_right).sum()) < rows * cols * width:
-        # Few sets share a value: each left entry with all right entries of its value.
-        first, last = np.searchsorted(y, x), np.searchsorted(y, x, side="right")
-        for i in range(0, len(x), 1 << 14):
-            a, n_of = first[i : i + (1 << 14)], (last - first)[i : i + (1 << 14)]
-            to = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of) + np.repeat(a, n_of)
-            np.add.at(out, (np.repeat(x_row[i : i + (1 << 14)], n_of), y_row[to]), 1)
-        return out.astype(np.int64)
-    for c in range(0, width, COLUMNS):
-        wide = min(COLUMNS, width - c)
-        p, q = slice(*np.searchsorted(x, [c, c + wide])), slice(*np.searchsorted(y, [c, c + wide]))
-        a, b = np.zeros((rows, wide), np.float32), np.zeros((cols, wide), np.float32)
-        a[x_row[p], x[p] - c] = 1
-        b[y_row[q], y[q] - c] = 1
-        out += a @ b.T
-    return out.astype(np.int64)
-
-
-def _link_sums(num: int, den: int):
-    """Rows sorted by cell and block; for each tile the rows that each of its nodes is linked with.  ``lower`` is null for both sides."""
-    names = ["node", "weight", "lower", "tokens"]
-
-    def count(rows: dict[str, list]):
-        left = [r for r, x in enumerate(rows["lower"]) if x is not False]
-        right = [r for r, x in enumerate(rows["lower"]) if not x]
-        if not left or not right:
-            return []
-        node, weight = np.array(rows["node"], np.int64), np.array(rows["weight"], np.int64)
-        sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
-        n = np.array([len(x) for x in sets], np.int64)
-        both = overlaps([sets[r] for r in left], [sets[r] for r in right])
-        x, y = n[left][:, None], n[right][None, :]
-        ok = den * both >= num * (x + y - both)
-        ok &= (x < y) | ((x == y) & (node[left][:, None] < node[right][None, :]))
-        sums = np.zeros(len(node), np.int64)
-        np.add.at(sums, left, ok @ weight[right])
-        np.add.at(sums, right, weight[left] @ ok)
-        return [(node[sums > 0], sums[sums > 0])]
-
-    def batch_of(found):
-        return pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], ["node", "c"])
+def _dealt(rows: DataFrame, key: str, wide: bool) -> DataFrame:
+    """Rows of (key, own, node, n, ...) as sides of tiles (key, band, i, j), each pair of near bands and blocks once.
+
+    A row is on the lower side of its own band, and on the higher side of its
+    own band and the one below.  Sides of at most TILE nodes (and, if ``wide``,
+    TILE_TOKENS shingles) are one block.
+    """
+    roles = F.array(F.struct(F.lit(True).alias("lower"), F.col("own").alias("band")), *[F.struct(F.lit(False).alias("lower"), (F.col("own") - d).alias("band")) for d in range(2)])
+    sides = rows.select("*", F.explode(roles).alias("role")).select("*", "role.*").drop("role")
+
+    def blocks(side):
+        nodes, tokens = F.count_if(side) / TILE, F.sum(F.when(side, F.col("n")).otherwise(0)) / TILE_TOKENS
+        return F.ceil(F.greatest(nodes, tokens) if wide else nodes).cast("int")
+
+    dealt = sides.groupBy(key, "band").agg(blocks(F.col("lower")).alias("n_low"), blocks(~F.col("lower")).alias("n_high")).filter("n_low > 0 and n_high > 0")
+    low, high = (F.when(F.col("lower"), F.col(a)).otherwise(F.col(b)) for a, b in (("n_low", "n_high"), ("n_high", "n_low")))
+    sides = sides.join(cut(dealt, "blocks"), [key, "band"]).withColumn("mine", F.pmod(F.xxhash64("node"), low).cast("int"))
+    sides = sides.withColumn("other", F.explode(F.sequence(F.lit(0), high - 1)))
+    i, j = (F.when(F.col("lower"), F.col(a)).otherwise(F.col(b)) for a, b in (("mine", "other"), ("other", "mine")))
+    return sides.withColumns({"i": i, "j": j}).drop("mine", "other", "n_low", "n_high")
+
+
+def common_counts(sets: list[np.ndarray]):
+    """A function (i, rows) to the number of values that set i has in common with each of ``rows``."""
+    size = np.array([len(x) for x in sets], np.int64)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    end = np.cumsum(size)
+    mark = np.zeros(len(values), bool)
+
+    def of(i: int, rows: np.ndarray) -> np.ndarray:
+        own = at[end[i] - size[i] : end[i]]
+        mark[own] = True
+        total = size[rows].sum()
+        where = np.arange(total) + np.repeat(end[rows] - size[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows])
+        both = np.add.reduceat(mark[at[where]].astype(np.int64), np.cumsum(size[rows]) - size[rows])
+        mark[own] = False
+        return both
+
+    return of
+
+
+def _group_tiles(num: int, den: int, count: bool):
+    """Each run of equal (comp, band, i, j) is one tile: (node a, links c) and edges (a, b) of what its links connect.
+
+    ``lower`` is null for rows of both sides.  Without ``count``, pairs that
+    are already connected are not looked at.
+    """
 
     def run(batches):
-        key, rows = None, {c: [] for c in names}
-        for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in ("comp", "band", "i", "j")], strict=True))
-            cols = {c: batch.column(c).to_pylist() for c in names}
-            found, start = [], 0
-            for r in range(1, len(keys) + 1):
-                if r < len(keys) and keys[r] == keys[start]:
-                    continue
-                if keys[start] != key:
-                    if key is not None:
-                        found += count(rows)
-                    key, rows = keys[start], {c: [] for c in names}
-                for c in names:
-                    rows[c] += cols[c][start:r]
-                start = r
-            if found:
-                yield batch_of(found)
-        if key is not None and (found := count(rows)):
-            yield batch_of(found)
+        for rows in _runs(batches, ["comp", "band", "i", "j"], ["node", "weight", "lower", "tokens"]):
+            left = np.array([r for r, x in enumerate(rows["lower"]) if x is not False])
+            right = np.array([r for r, x in enumerate(rows["lower"]) if not x])
+            if not len(left) or not len(right):
+                continue
+            node, weight = np.array(rows["node"], np.int64), np.array(rows["weight"], np.int64)
+            sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+            n = np.array([len(x) for x in sets], np.int64)
+            bits = bits_of(int(n.max()))
+            sig = np.array([np.frombuffer(signature(x, bits), np.uint64) for x in sets])
+            common, sums, tile = common_counts(sets), np.zeros(len(node), np.int64), Labels(np.arange(len(node)))
+            same = rows["lower"][0] is not None  # a node may be on both sides; it is one row a side then
+            if same:
+                tile.label = np.unique(node, return_inverse=True)[1]
+            for i in left.tolist():
+                js = right[_smaller(n, node, i, right, num, den)]
+                if not count:
+                    js = js[tile.label[js] != tile.label[i]]
+                if len(js):
+                    apart = np.bitwise_count(sig[js] ^ sig[i]).sum(axis=1, dtype=np.int64)
+                    js = js[may_reach(n[i], n[js], apart, num, den)]
+                if len(js):
+                    both = common(i, js)
+                    js = js[den * both >= num * (n[i] + n[js] - both)]
+                if len(js):
+                    sums[i] += weight[js].sum()
+                    sums[js] += weight[i]
+                    tile.link(i, js)
+            has = np.flatnonzero(sums)
+            if len(has):
+                a, b = node[np.array(tile.edges)].T
+                none = pa.nulls(len(has), pa.int64())
+                yield pa.record_batch([pa.array(node[has]), none, pa.array(sums[has])], ["a", "b", "c"])
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "c"])
 
     return run
 
 
-def _link_counts(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(node, c): how many rows of other nodes reach the threshold with each node; nodes without such rows may be missing.
+def _candidates(members: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose bit counts allow the threshold, which connect all nodes that links connect."""
+    near = lambda x, y: f"{den}L * least({x}.n, {y}.n) >= {num}L * greatest({x}.n, {y}.n)"
+    used = cut(members.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", (F.col("c") > WIDE).alias("wide")), "used")
+    mine = members.join(used, "token")
+    few, many = mine.filter("not wide").drop("wide"), cut(mine.filter("wide").drop("wide"), "wide")
+    pairs = few.filter("small").alias("l").join(few.alias("r"), F.expr(f"l.token = r.token and (l.n < r.n or l.n = r.n and l.node < r.node) and {near('l', 'r')}"))
+    pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
-    ``heads`` has node, n, weight (its rows), low (an id of it) and comp.  A
-    component of at most TILE nodes and TILE_TOKENS shingles is one tile; a
-    larger one is dealt by size bands and blocks, so each pair meets once.
-    """
-    limits = _limits(num, den)
-    total = heads.groupBy("comp").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens")).filter("nodes > 1")
-    total = cut(total.select("comp", ((F.col("nodes") <= TILE) & (F.col("tokens") <= TILE_TOKENS)).alias("whole")), "groups")
-    near = cut(heads.join(total, "comp").withColumn("own", _band(limits)), "near")
-    nodes = near.select("node", F.col("low").alias("id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted, ids = node_filter(nodes, "node"), node_filter(nodes.dropna(), "id")
-    sets = texts.mapInArrow(_exact_sets(k, ids, wanted), "node long, tokens binary").join(nodes.select("node"), "node", "left_semi")
-    sets = cut(sets.dropDuplicates(["node"]), "near_sets")
+    def bounded(pairs: DataFrame) -> DataFrame:
+        ends = [sigs.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
+        both = pairs.join(ends[0], "a").join(ends[1], "b")
+        return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(num, den), "a long, b long")
 
-    base = ["comp", "node", "weight"]
-    once = near.filter("whole").select(*base, F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("boolean").alias("lower"))
-    roles = F.array(F.struct(F.lit(True).alias("lower"), F.col("own").alias("band")), *[F.struct(F.lit(False).alias("lower"), (F.col("own") - d).alias("band")) for d in range(2)])
-    rest = near.filter("not whole").select(*base, "n", F.explode(roles).alias("role")).select(*base, "n", "role.*")
-    blocks = lambda side: F.ceil(F.greatest(F.count_if(side) / TILE, F.sum(F.when(side, F.col("n")).otherwise(0)) / TILE_TOKENS)).cast("int")
-    dealt = rest.groupBy("comp", "band").agg(blocks(F.col("lower")).alias("n_low"), blocks(~F.col("lower")).alias("n_high"))
-    spread = rest.join(cut(dealt.filter("n_low > 0 and n_high > 0"), "blocks"), ["comp", "band"])
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("lower"), F.col("n_low")).otherwise(F.col("n_high"))).cast("int")
-    spread = spread.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("lower"), F.col("n_high")).otherwise(F.col("n_low")) - 1)))
-    spread = spread.select(*base, "band", F.when(F.col("lower"), F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("lower"), F.col("other")).otherwise(F.col("mine")).alias("j"), "lower")
-    tiles = once.unionByName(spread).join(sets, "node").repartition("comp", "band", "i", "j").sortWithinPartitions("comp", "band", "i", "j")
-    return tiles.mapInArrow(_link_sums(num, den), "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
-
-
-def _star(members: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """(a, b): each node b with up to LEADERS nodes a of other components that lead a posted shingle in b's size band."""
-    key = ["token", "own"]
-    # Components in an order of this turn's own: a component that led last time, and was alike to few, gives way.
-    order = F.xxhash64(F.lit(turn), "comp")
-    leads = members.groupBy(*key).agg(F.min(F.struct(order.alias("order"), "comp", "node", "n")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    leads = cut(leads.filter("lo < hi").drop("lo", "hi"), "leads")
-    pairs = members.join(leads, key).filter(f"comp != lead.comp and least(n, lead.n) * {den}L >= greatest(n, lead.n) * {num}L")
-    pairs = pairs.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"))
-    # The leaders with most shingles in common will do here: the tiles see to every pair that this leaves apart.
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "a"))), 1, LEADERS)
-    return pairs.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
-
-
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(profile, links).
-
-    ``profile`` has one row per input row: id, node (class of equal sets), n.
-    ``links`` holds pairs (a, b) of nodes with den * overlap >= num * union that
-    connect all nodes which any such pair connects.
+    edges, here = None, many.withColumn("comp", F.col("node"))
+    for turn in range(ROUNDS):
+        # Leaders in an order of this turn's own: one that led last time, and was alike to few, gives way.
+        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "comp").alias("order"), "comp", "node", "n")).alias("lead")
+        leads = here.groupBy("token", "own").agg(lead)
+        led = here.alias("l").join(leads, ["token", "own"]).filter(f"comp != lead.comp and {near('l', 'lead')}")
+        pairs = pairs.union(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()) if edges is None else led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+        found = bounded(pairs)
+        edges = cut(found if edges is None else edges.union(found), "edges")
+        comps = connected_components(edges)
+        here = many.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_keys = here.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token")
+        here = cut(here.join(open_keys, "token"), "open")
+    tiles = _dealt(here, "token", False).join(sigs.select("node", "bits"), "node").repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
+    tiles = tiles.select("token", "band", "i", "j", "comp", "n", "node", "small", "lower", "bits")
+    more = cut(tiles.mapInArrow(_token_tiles(num, den), "a long, b long"), "tile_edges")
+    groups = connected_components(edges.union(more)) if more.take(1) else comps
+    discard(used, many, edges, here, more)
+    return groups
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(profile, classes).
+
+    ``profile`` has one row per input row: id, text_key (hash of the text),
+    node (class of equal sets), n.  ``classes`` has one row for each node with
+    shingles: node, n, weight (its rows), low (its smallest id), comp (smallest
+    node reachable by links), component_id and, if ``count``, links (rows of
+    other nodes that reach the threshold with it).
     Nulls and texts without words have an empty set and are in no link.  Rows
     with equal text fall into one node; a repeated id keeps all its rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    found = cut(texts.mapInArrow(_profile(k), "kind int, id long, node long, n long, bits binary"), "profile")
-    profile = found.filter("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("id"))
-    often = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "node").limit(FREQUENT).toPandas()
-    tokens = often["node"].to_numpy(np.int64).view(np.uint64)
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    found = cut(keyed.mapInArrow(_profile(k), "kind int, id long, text_key long, node long, n long, bits binary"), "profile")
+    profile = found.filter("kind = 0").select("id", "text_key", "node", "n")
+    sigs = cut(found.filter("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("weight"), F.min("id").alias("low")), "signatures")
+    often = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "node").limit(FREQUENT).toArrow()
+    tokens = often["node"].to_numpy().view(np.uint64)
     by = np.argsort(tokens)
-    order = spark.sparkContext.broadcast((tokens[by], often["c"].to_numpy(np.int64)[by]))
-
-    posted = texts.mapInArrow(_postings(k, num, den, order), "token long, node long, n int, small boolean")
-    limits = _limits(num, den)
-    counted = texts.mapInArrow(_postings(k, num, den, order, count=True), "token long")
-    shared = cut(counted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
-    members = posted.join(shared, "token").distinct().withColumn("own", _band(limits))
-    members = cut(members, "members")
-    sigs = cut(profile, "signatures")
-    heads = sigs.select("node", "id")
-    first, here = None, members.withColumn("comp", F.col("node"))
-    for turn in range(ROUNDS):
-        star = _star(here, turn, num, den)
-        star = star.join(sigs.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-        star = star.join(sigs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
-        star = cut(star.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(num, den), "a long, b long"), "star")
-        links = _verified(texts, heads, star, k, num, den)
-        first = cut(links if first is None else first.union(links), "links")
-        here = members.join(connected_components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        here = cut(here, "members_comp")
-
-    open_keys = here.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), (F.count("*") > WIDE).alias("wide"))
-    open_keys = cut(open_keys.filter("c0 < c1").select("token", "wide"), "open")
-    rest = here.join(open_keys, "token")
-    wide = rest.filter("wide").groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("wide"), F.array_sort(F.collect_list(F.when(F.col("small"), F.col("token")))).alias("low"))
-    wide = cut(wide.mapInArrow(_as_bytes, "node long, wide binary, low binary"), "wide")
-    roles = F.array(F.struct(F.lit(True).alias("lower"), F.col("own").alias("band")), *[F.struct(F.lit(False).alias("lower"), (F.col("own") - d).alias("band")) for d in range(2)])
-    rest = rest.select("token", "node", "n", "small", "comp", F.col("wide").alias("is_wide"), F.explode(roles).alias("role")).select("*", "role.*").drop("role")
-    rest = rest.filter("small or not lower")
-    blocks = rest.groupBy("token", "band").agg(F.ceil(F.count_if("lower") / TILE).cast("int").alias("n_low"), F.ceil(F.count_if(~F.col("lower")) / TILE).cast("int").alias("n_high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    blocks = cut(blocks.filter("n_low > 0 and n_high > 0 and c0 < c1").drop("c0", "c1"), "tiles")
-    spread = rest.join(blocks, ["token", "band"])
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("lower"), F.col("n_low")).otherwise(F.col("n_high"))).cast("int")
-    spread = spread.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("lower"), F.col("n_high")).otherwise(F.col("n_low")) - 1)))
-    spread = spread.select("token", "band", F.when(F.col("lower"), F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("lower"), F.col("other")).otherwise(F.col("mine")).alias("j"), "node", "n", "small", "comp", "lower", "is_wide")
-    spread = spread.join(sigs.select("node", "bits").join(wide, "node", "left"), "node").withColumns({c: F.when(F.col("is_wide"), F.col(c)) for c in ("low", "wide")})
-    tiles = spread.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
-    tiles = tiles.select("token", "band", "i", "j", "comp", "n", "node", "small", "lower", "bits", F.when(F.col("lower"), F.col("low")).alias("low"), F.coalesce("wide", F.when(F.col("is_wide"), F.lit(b""))).alias("wide"))
-    near = cut(tiles.mapInArrow(_tiles(num, den), "a long, b long").distinct(), "tile_pairs")
-    links = first.union(_verified(texts, heads, near, k, num, den)) if near.take(1) else first
-    return found.filter("kind = 0").select("id", "node", "n"), cut(links, "all_links")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(profile, classes): the profile's rows, and for each node n, weight (its rows), low (its smallest id), comp and component_id."""
-    profile, links = similarity_classes(docs, id_col, text_col, k, num, den)
-    heads = profile.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("weight"), F.min("id").alias("low"))
-    heads = cut(heads.join(connected_components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "heads")
-    roots = heads.groupBy("comp").agg(F.min("low").alias("component_id"))
-    return profile, cut(heads.join(roots, "comp"), "classes")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links) and n_links.
-
-    ``n_links`` is the number of other rows that reach the threshold with this
-    one, rows of equal text among them.
+    order = spark.sparkContext.broadcast((tokens[by], often["c"].to_numpy()[by]))
+
+    posted = texts.mapInArrow(_tokens(k, num, den, order), "token long")
+    shared = cut(posted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
+    members = texts.mapInArrow(_postings(k, num, den, order, node_filter(shared, "token")), "token long, node long, n int, small boolean").join(shared, "token").distinct()
+    members = cut(members.withColumn("own", _band(_limits(num, den))), "members")
+    discard(shared)
+    groups = _candidates(members, sigs, num, den)
+    discard(members)
+
+    many = groups.groupBy("comp").agg(F.count("*").alias("nodes"))
+    near = cut(groups.join(many.filter("nodes > 1"), "comp").join(sigs.drop("bits"), "node"), "near")
+    wanted, ids = node_filter(near, "node"), node_filter(near.select(F.col("low").alias("id")).dropna(), "id")
+    sets = texts.mapInArrow(_exact_sets(k, ids, wanted), "node long, tokens binary").join(near.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = cut(sets, "sets")
+    total = cut(near.groupBy("comp").agg(((F.count("*") <= TILE) & (F.sum("n") <= TILE_TOKENS)).alias("whole")), "groups")
+    near = near.join(total, "comp").select("comp", "node", "weight", "n", "whole")
+    once = near.filter("whole").drop("whole").withColumns({"band": F.lit(0), "lower": F.lit(None).cast("boolean"), "i": F.lit(0), "j": F.lit(0)})
+    spread = _dealt(near.filter("not whole").drop("whole").withColumn("own", _band(_limits(num, den))), "comp", True)
+    tiles = once.unionByName(spread.select(once.columns)).join(sets, "node").repartition("comp", "band", "i", "j").sortWithinPartitions("comp", "band", "i", "j")
+    linked = cut(tiles.select("comp", "band", "i", "j", "node", "weight", "lower", "tokens").mapInArrow(_group_tiles(num, den, count), "a long, b long, c long"), "linked")
+    discard(sets)
+    heads = sigs.drop("bits").join(connected_components(linked.select("a", "b")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if count:
+        sums = linked.filter("c is not null").groupBy(F.col("a").alias("node")).agg(F.sum("c").alias("links"))
+        heads = heads.join(sums, "node", "left").fillna(0, ["links"])
+    heads = cut(heads, "heads")
+    classes = cut(heads.join(heads.groupBy("comp").agg(F.min("low").alias("component_id")), "comp"), "classes")
+    discard(sigs, linked, heads)
+    return profile, classes
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, count: bool = True) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable by links), text_key, group and n_links.
+
+    ``text_key`` is a hash of the text; ``group`` is the same for the rows of
+    one component and null without shingles.  ``n_links`` (if ``count``) is the
+    number of other rows that reach the threshold with this one, rows of equal
+    text among them; it takes all pairs of a group, the components don't.
     """
-    profile, classes = near_groups(docs, id_col, text_col, k, num, den)
-    counts = cut(_link_counts(docs, classes, id_col, text_col, k, num, den), "link_counts")
-    linked = F.col("weight") - 1 + F.coalesce("c", F.lit(0))
-    out = profile.join(classes.join(counts, "node", "left").select("node", "component_id", linked.alias("n_links")), "node", "left")
+    profile, classes = near_groups(docs, id_col, text_col, k, num, den, count)
+    out = profile.join(classes.select("node", "comp", "component_id", *[(F.col("weight") - 1 + F.col("links")).alias("n_links")] * count), "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+    links = [F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links")] * count
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "text_key", F.when(F.col("n") > 0, F.col("comp")).alias("group"), *links)
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

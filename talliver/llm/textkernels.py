@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is handled on its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _STEPS = [(0xD6E8FEB86659FD93 * (2 * j + 1) ^ (0xA0761D6478BD642E * j << 1)) & (2**64 - 1) | 1 for j in range(64)]

@@ -63,30 +63,41 @@ def test_ngram_join(docs, none):
     assert ngram_join.jaccard_components(none).collect() == []
 
 
-@pytest.mark.parametrize("wide", [1, 16])
-def test_ngram_join_tiles_find_what_leaders_miss(docs, monkeypatch, wide):
+@pytest.mark.parametrize("wide,rounds,tile", [(1, 1, 3), (2, 2, 2)])
+def test_ngram_join_by_every_path(docs, monkeypatch, wide, rounds, tile):
+    """Narrow pairs, leaders, token tiles and dealt groups: the same components and counts."""
     monkeypatch.setattr(ngram_join, "WIDE", wide)
-    monkeypatch.setattr(ngram_join, "LEADERS", 0)
-    monkeypatch.setattr(ngram_join, "TILE", 3)
-    got = ngram_join.jaccard_components(docs).collect()
-    same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], [(d, *c) for (d, _), c in zip(ROWS, brute.components(ROWS), strict=True)])
-
-
-@pytest.mark.parametrize("tile", [512, 3])
-def test_ngram_join_counts_every_link(docs, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     got = ngram_join.jaccard_components(docs).collect()
-    same([(r["doc_id"], r["n_shingles"], r["n_links"]) for r in got], [(d, c[0], n) for (d, _), c, n in zip(ROWS, brute.components(ROWS), brute.n_links(ROWS), strict=True)])
-
-
-@pytest.mark.parametrize("cells", [0, 50, 10**9])
-def test_overlaps_by_pairs_and_by_matrices(monkeypatch, cells):
-    monkeypatch.setattr(ngram_join, "CELLS", cells)
-    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
-    sets = [set(R.sample(range(90), R.randrange(1, 60))) for _ in range(30)] + [{1000}]
-    left, right = sets[:12], sets[10:]
-    got = ngram_join.overlaps(*[[np.array(sorted(x), np.uint64) for x in side] for side in (left, right)])
-    assert got.tolist() == [[len(x & y) for y in right] for x in left]
+    same([(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got], [(d, *c, n) for (d, _), c, n in zip(ROWS, brute.components(ROWS), brute.n_links(ROWS), strict=True)])
+    once = ngram_join.jaccard_components(docs, count=False)
+    assert "n_links" not in once.columns
+    same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in once.collect()], [(d, *c) for (d, _), c in zip(ROWS, brute.components(ROWS), strict=True)])
+
+
+def test_ngram_join_of_a_large_group_about_the_threshold(spark, monkeypatch):
+    """Copies of one text with so many edits that pairs lie on both sides of 0.75."""
+    monkeypatch.setattr(ngram_join, "TILE", 64)
+    base, r = words(300, 9), random.Random(4)
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(r.randrange(3, 10)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute.n_links(rows)
+    assert 0.05 < sum(want) / 250**2 < 0.95
+    same([(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got], [(d, *c, n) for (d, _), c, n in zip(rows, brute.components(rows), want, strict=True)])
+
+
+def test_common_counts():
+    sets = [np.array(sorted(R.sample(range(90), R.randrange(1, 60))), np.uint64) for _ in range(30)] + [np.array([1000], np.uint64)]
+    of = ngram_join.common_counts(sets)
+    for i in (0, 7, 30):
+        rows = np.array(R.sample(range(31), 12))
+        assert of(i, rows).tolist() == [len(set(sets[i].tolist()) & set(sets[j].tolist())) for j in rows]
 
 
 def test_bit_counts_bound_the_overlap():
