@@ -6,9 +6,11 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,12 +63,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, carry: bool, extra: str) -> tuple[DataFrame, StructType]:
-    """(doc_id, text and, if ``carry``, the whole input row as ``row``), and the schema of these without text plus ``extra``."""
-    own = [F.struct("*").alias("row")] if carry else []
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *own)
+    """(doc_id and text or, if ``carry``, the whole input row as ``row``), and the schema of doc_id, row and ``extra``.
+
+    A carried row holds the text already; ``with_text`` takes it from there.
+    """
+    own = F.struct("*").alias("row") if carry else F.col(text_col).alias("text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), own)
     return texts, StructType([f for f in texts.schema if f.name != "text"] + StructType.fromDDL(extra).fields)
 
 
+def with_text(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches of ``texts_of`` with a column ``text``."""
+    for batch in batches:
+        if "text" not in batch.schema.names:
+            batch = pa.record_batch([*batch.columns, pc.struct_field(batch.column("row"), text_col)], [*batch.schema.names, "text"])
+        yield batch
+
+
 FILTER_WORDS = 1 << 20
 
 

@@ -7,7 +7,7 @@ code-switched texts get a label per word; a document's language is the one
 with the largest mean posterior over its words with letters.
 
 The model is fitted on a bounded sample of labelled rows (``per_label`` texts
-of each label at most in expectation, ``MAX_SAMPLE`` in all); training
+of each label at most in expectation, ``MAX_SAMPLE`` and ``SAMPLE_BYTES`` in all); training
 sequences splice runs of words of different texts, so switches occur in them.
 Everything else runs over all rows.
 """
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talliver.llm.common import table, texts_of
+from talliver.llm.common import table, texts_of, with_text
 from talliver.llm.textkernels import ALNUM, Words, mix, slices
 
-#: Texts of the sample: of each label, and in all.
-PER_LABEL, MAX_SAMPLE = 250, 4000
+#: Texts of the sample: of each label, and in all; bytes of their texts in all (a text of over a 64th of that is not taken).
+PER_LABEL, MAX_SAMPLE, SAMPLE_BYTES = 250, 4000, 64 << 20
 #: Hashed features, and steps of the fit.
 FEATURES, STEPS, BATCH, LENGTH = 1 << 16, 250, 256, 24
 #: A word is in a label's lexicon if it was seen so often, and with this label in such a share.
@@ -200,11 +200,11 @@ def word_posteriors(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]
     return post / post.sum(axis=1, keepdims=True), lettered[number]
 
 
-def _predict(shared):
+def _predict(shared, text_col: str):
     def run(batches):
         model: Model = shared.value
         n = len(model.labels)
-        for whole in batches:
+        for whole in with_text(batches, text_col):
             for batch in slices(whole):
                 words = Words(batch.column("text"), ALNUM, lower=True)
                 label, score = [None] * batch.num_rows, np.zeros(batch.num_rows)
@@ -236,7 +236,11 @@ def _predict(shared):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL) -> Model:
-    """Fit on labelled rows whose crc32(id) mod 3 is not 1; rows are sampled by a hash of id and text."""
+    """Fit on labelled rows whose crc32(id) mod 3 is not 1.
+
+    Rows are sampled by a hash of their id: ``per_label`` a label in
+    expectation, MAX_SAMPLE rows and SAMPLE_BYTES of text in all.
+    """
     side = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
     rows = docs.filter((side != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -244,8 +248,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     wanted = min(per_label, max(1, MAX_SAMPLE // max(len(sizes), 1)))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     share = F.coalesce(*[F.when(F.col("lang") == c, F.lit(min(1.0, wanted / n))) for c, n in sizes.items()]) if sizes else F.lit(0.0)
-    sample = rows.filter(draw < share).orderBy(F.xxhash64("id"), "id").limit(MAX_SAMPLE).collect()
-    sample.sort(key=lambda r: (r["lang"], r["id"]))
+    # Lengths first, so that what is fetched is bounded by rows and by bytes.
+    drawn = rows.filter((draw < share) & (F.octet_length("text") <= SAMPLE_BYTES // 64)).withColumn("draw", F.xxhash64("id"))
+    sizes = drawn.select("draw", F.octet_length("text").alias("n")).orderBy("draw", "n").limit(MAX_SAMPLE).toArrow()
+    draws = sizes["draw"].to_numpy()
+    over = np.flatnonzero(np.cumsum(sizes["n"].to_numpy()) > SAMPLE_BYTES)
+    fits = draws[draws < draws[over[0]]] if len(over) else draws
+    sample = drawn.filter(F.col("draw") <= int(fits[-1])).orderBy("draw", F.octet_length("text")).select("id", "text", "lang").limit(MAX_SAMPLE).collect() if len(fits) else []
+    sample.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
@@ -257,7 +267,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows are judged each; other columns are never read.
     """
     texts, schema = texts_of(docs, id_col, text_col, carry, "lang_pred string, score double")
-    return texts.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return texts.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col), schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

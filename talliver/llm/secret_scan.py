@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talliver.llm.common import table, texts_of
+from talliver.llm.common import table, texts_of, with_text
 from talliver.llm.textkernels import slices, text_buffer
 
 
@@ -176,7 +176,7 @@ def _runs(raw: np.ndarray, offsets: np.ndarray, members: np.ndarray, least: int)
     return out
 
 
-def _scan(rules: tuple[Rule, ...], mask: str | None):
+def _scan(rules: tuple[Rule, ...], mask: str | None, text_col: str):
     def run(batches):
         compiled = [re.compile(r.pattern, re.ASCII) for r in rules]
         queries = [trigram_query(r.pattern) for r in rules]
@@ -185,7 +185,7 @@ def _scan(rules: tuple[Rule, ...], mask: str | None):
             m = re.fullmatch(r"(\[[^\]]+\])\+", r.pattern)
             classes.append(np.array([b < 128 and re.match(m[1], chr(b)) is not None for b in range(256)]) if m else None)
         index = Index(sorted({g for q in queries if q for grams in q for g in grams}))
-        for whole in batches:
+        for whole in with_text(batches, text_col):
             for batch in slices(whole):
                 raw, offsets = text_buffer(batch.column("text"))
                 postings = index.post(raw, offsets)
@@ -207,7 +207,7 @@ def _scan(rules: tuple[Rule, ...], mask: str | None):
                     out["base"].append(hashlib.sha256(",".join(map(name, base)).encode()).hexdigest())
                     out["all"].append(",".join(map(name, spans)))
                     out["kinds"].append(",".join(sorted({rules[s[1]].name for s in spans})))
-                    text = texts[i].as_py()
+                    text = texts[i].as_py() if mask is not None else None
                     if mask is not None and spans:
                         parts, done = [], 0
                         for a, _, b in spans:
@@ -215,7 +215,7 @@ def _scan(rules: tuple[Rule, ...], mask: str | None):
                                 parts += [text[done:a], mask] if a >= done else []
                                 done = b
                         text = "".join(parts) + text[done:]
-                    out["masked"].append(text if mask is not None else None)
+                    out["masked"].append(text)
                 yield pa.record_batch(
                     [*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(out["n"], pa.list_(pa.int64())), pa.array(out["base"]), pa.array(out["all"]), pa.array(out["kinds"]), pa.array(out["masked"], pa.string())],
                     [*[c for c in batch.schema.names if c != "text"], "counts", "base_sha256", "spans", "kinds", "masked"],
@@ -234,7 +234,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty text has no spans.  Repeated rows give repeated results.
     """
     texts, schema = texts_of(docs, id_col, text_col, carry, "counts array<long>, base_sha256 string, spans string, kinds string, masked string")
-    return texts.mapInArrow(_scan(rules, mask), schema)
+    return texts.mapInArrow(_scan(rules, mask, text_col), schema)
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -93,3 +93,17 @@ def n_links(rows):
         w = WORD.findall((t or "").translate(LOW))
         sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
     return [sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def near_items(rows, items, k, span):
+    """{id: items with a window all of whose words lie within ``span`` consecutive words}."""
+    out = {}
+    for d, t in rows:
+        w, found = t.split(), set()
+        for name, x in items:
+            x = x.split()
+            windows = [set(x[j : j + k]) for j in range(max(0, len(x) - k) + 1 if x else 0)]
+            if any(n <= set(w[i : i + span]) for n in windows for i in range(max(1, len(w) - span + 1))):
+                found.add(str(name))
+        out[d] = found
+    return out

@@ -136,7 +136,7 @@ def test_decontamination(spark, docs, none, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontaminate.contamination(docs, items).collect()
-    same([tuple(r) for r in got], [(d, *x) for (d, _), x in zip(ROWS, brute.contaminated(ROWS, ITEMS), strict=True)])
+    same([tuple(r)[:6] for r in got], [(d, *x) for (d, _), x in zip(ROWS, brute.contaminated(ROWS, ITEMS), strict=True)])
     assert decontaminate.contamination(none, items).collect() == []
     assert all(r["n_hit"] == 0 for r in decontaminate.contamination(docs, items.limit(0)).collect())
 
@@ -144,7 +144,23 @@ def test_decontamination(spark, docs, none, block, monkeypatch):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x y blue"), (2, "red a b c d e f blue"), (3, "blue red")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red blue")], "item_id long, text string")
-    assert {r["doc_id"]: r["n_near"] for r in decontaminate.phrase_matches(docs, items, slop=3).collect()} == {1: 1, 2: 0, 3: 1}
+    assert {r["doc_id"]: r["near_items"] for r in decontaminate.phrase_matches(docs, items, k=2, slop=2).collect()} == {1: ["1"], 2: [], 3: ["1"]}
+
+
+def test_proximity_against_brute_force(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 40)))) for i in range(300)]
+    items = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 8)))) for i in range(30)]
+    got = decontaminate.phrase_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), k=5, slop=3).collect()
+    want = brute.near_items(rows, items, 5, 8)
+    assert {x["doc_id"]: set(x["near_items"]) for x in got} == want and 0.02 < sum(map(len, want.values())) / 9000 < 0.9
+
+
+def test_items_without_id_hit(spark):
+    docs = spark.createDataFrame([(1, "say alpha beta now")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta"), (7, "now"), (None, "beta")], "item_id long, text string")
+    got = decontaminate.phrase_matches(docs, items).first()
+    assert got["n_hit"] == 3 and sorted(got["items"]) == ["", "7"]
 
 
 def test_topk(spark):
