@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import cache
 
 import numpy as np
@@ -33,12 +34,21 @@ CHUNK, OVERLAP = 1 << 16, 1 << 10
 MARGIN = 8
 
 
+#: Characters without a change between blank and other ones from which on a text is pre-tokenised here.
+RUN = 1 << 14
+LONG_RUN = regex.compile(rf"\s{{{RUN}}}|\S{{{RUN}}}")
+
+
 @cache
-def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoding of a rank file; ``path`` must be readable on every executor."""
+def ranks_of(path: str) -> dict[bytes, int]:
+    """A rank file's tokens; ``path`` must be readable on every executor."""
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+
+
+@cache
+def encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
 def boundaries(text: str, pattern: str) -> list[int]:
@@ -46,6 +56,42 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in regex.finditer(pattern, text)]
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token: the adjacent pair of the lowest rank is joined, leftmost first, until none has a rank."""
+    n = len(piece)
+    end, prev, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if not live[i] or end[i] >= n or end[end[i]] != stop:
+            continue
+        live[end[i]] = False
+        end[i] = stop
+        if stop < n:
+            prev[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if prev[i] >= 0 and (r := ranks.get(piece[prev[i] : stop])) is not None:
+            heapq.heappush(heap, (r, prev[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def ids_of(text: str, path: str, pattern: str) -> list[int]:
+    """Ids of a text.  The library's matcher fails on runs of very many blanks; texts with long runs are pre-tokenised here."""
+    enc = encoding(path, pattern)
+    if len(text) <= RUN or not LONG_RUN.search(text):
+        return enc.encode_ordinary(text)
+    out: list[int] = []
+    for m in regex.finditer(pattern, text):
+        out += enc.encode_ordinary(m[0]) if len(m[0]) <= RUN else merged(m[0].encode(), ranks_of(path))
+    return out
+
+
 def _edges(pattern: str, overlap: int, chunk: int):
     """Boundaries of a chunk inside the part shared with the previous (head) and with the next one (tail)."""
 
@@ -69,7 +115,7 @@ def _encode(path: str, pattern: str):
             for batch in slices(whole):
                 ids, raw = [], []
                 for text in batch.column("text").to_pylist():
-                    got = enc.encode_ordinary(text or "")
+                    got = ids_of(text or "", path, pattern)
                     ids.append(np.array(got, "<u4").tobytes())
                     raw.append(enc.decode_bytes(got))
                 keep = [c for c in batch.schema.names if c != "text"]
@@ -85,7 +131,7 @@ def _digest(path: str, pattern: str):
             for batch in slices(whole):
                 n, a, b = [], [], []
                 for text in batch.column("text").to_pylist():
-                    got = enc.encode_ordinary(text or "")
+                    got = ids_of(text or "", path, pattern)
                     n.append(len(got))
                     a.append(hashlib.sha256(np.array(got, "<u4").tobytes()).hexdigest())
                     b.append(hashlib.sha256(enc.decode_bytes(got)).hexdigest())

@@ -41,15 +41,41 @@ def communication_matrix(block_sizes: list[int], shard_sizes: list[int], seed: i
     return out
 
 
+def _log_factorial(n: int) -> np.longdouble:
+    """log(n!) by Stirling's series in extended precision."""
+    if n < 256:
+        return np.log(np.arange(1, n + 1, dtype=np.longdouble)).sum()
+    x = np.longdouble(n)
+    return x * np.log(x) - x + np.log(2 * np.longdouble(np.pi) * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
 def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` rows out of good + bad are good; the same law at every size."""
+    n = good + bad
     if good == 0 or draws == 0:
         return 0
-    if good + bad < 10**9:
+    if n < 10**9:
         return int(rng.hypergeometric(good, bad, draws))
-    # Beyond the generator's range: the normal law with the same mean and variance; all sums stay exact.
-    n = good + bad
-    sd = (draws * (good / n) * (bad / n) * ((n - draws) / max(n - 1, 1))) ** 0.5
-    return int(min(max(round(rng.normal(draws * good / n, sd)), draws - bad, 0), good, draws))
+    # Beyond the generator's range: rejection under a hat by the ratio of uniforms, over the rarer kind and the smaller draw.
+    if good > bad:
+        return draws - _hypergeometric(rng, bad, good, draws)
+    if draws > n - draws:
+        return good - _hypergeometric(rng, good, bad, n - draws)
+    p = good / n
+    deviation = ((n - draws) / (n - 1) * draws * p * (1 - p) + 0.5) ** 0.5
+    mode = (draws + 1) * (good + 1) // (n + 2)
+    # Fixed values of the hat: 2 * sqrt(2 / e) and 3 - 2 * sqrt(3 / e).
+    centre, width = draws * p + 0.5, 1.7155277699214135 * deviation + 0.8989161620588988
+
+    def weight(k: int) -> np.longdouble:
+        return -sum(_log_factorial(x) for x in (k, good - k, draws - k, bad - draws + k))
+
+    top = weight(mode)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = int(np.floor(centre + width * (v - 0.5) / u))
+        if 0 <= k <= min(good, draws) and 2 * np.log(u) <= weight(k) - top:
+            return k
 
 
 def _rank(rows: DataFrame, group: str, key: Column, ranges: int) -> DataFrame:

@@ -11,93 +11,92 @@ selections are merged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talliver.llm.common import table
+from talliver.llm.common import cut, table
 
 #: Queries in a broadcast block, queries and candidates of one dense score array.
 BLOCK, TILE_QUERIES, TILE_ROWS = 4096, 256, 512
+#: No score: less than every score that is allowed.
+NONE = np.iinfo(np.int64).min
 
 
-def weights(vectors: list[list[float] | None], scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their weights); shorter rows are padded by zeros."""
-    good = [i for i, v in enumerate(vectors) if v is not None and all(x is not None for x in v)]
-    width = max((len(vectors[i]) for i in good), default=0)
-    out = np.zeros((len(good), width))
-    for r, i in enumerate(good):
-        out[r, : len(vectors[i])] = vectors[i]
-    fine = np.isfinite(out).all(axis=1)
-    return np.array(good, np.int64)[fine], np.floor(scale * out[fine]).astype(np.int64)
+def weights(vectors: pa.Array, scale: int) -> np.ndarray:
+    """Integer weights of vectors without nulls; shorter ones are padded by zeros."""
+    size = np.asarray(pc.list_value_length(vectors))
+    flat = np.floor(scale * np.asarray(vectors.flatten()))
+    if len(flat) and np.abs(flat).max() >= 2.0**62:
+        raise ArithmeticError("a component exceeds 62 bits")
+    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1])[None, :] < size[:, None]] = flat.astype(np.int64)
+    return out
 
 
-def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores of all queries (n, terms) against all rows (m, terms), term at a time."""
+def accumulate(queries: np.ndarray, rows: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Scores of all queries (n, terms) against all rows (m, terms), term at a time; NONE where ``skip`` holds."""
     terms = min(queries.shape[1], rows.shape[1])
     peak = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(terms, 1)
-    if peak >= 2**63:
-        raise ArithmeticError("a score may not fit 64 bits")
-    kind = np.int32 if peak < 2**31 else np.int64
+    # Where a sum might leave 64 bits, Python's integers take over, and only scores that do leave them are an error.
+    kind = np.int32 if peak < 2**31 else np.int64 if peak < 2**63 else object
     scores = np.zeros((len(queries), len(rows)), kind)
-    add = np.empty_like(scores)
-    q, r = queries.astype(kind).T.copy(), rows.astype(kind).T.copy()
+    q, r = queries[:, :terms].astype(kind).T.copy(), rows[:, :terms].astype(kind).T.copy()
     for t in range(terms):
         posting = np.flatnonzero(r[t])
         if 2 * len(posting) > len(rows):
-            np.multiply(q[t][:, None], r[t][None, :], out=add)
-            scores += add
+            scores += q[t][:, None] * r[t][None, :]
         elif len(posting):
             scores[:, posting] += q[t][:, None] * r[t][posting][None, :]
+    if kind is object:
+        scores[skip] = 0
+        if any(abs(x) >= 2**63 for x in scores.ravel()):
+            raise ArithmeticError("a score exceeds 64 bits")
+    scores = scores.astype(np.int64)
+    scores[skip] = NONE
     return scores
 
 
 def select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best columns of each row (ties to the smaller id) as (scores, ids); ids must ascend."""
-    m = scores.shape[1]
-    if m > k:
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k] if m <= 4 * k else None
-        if order is None:
-            # Score and place in one number, so that a partition breaks ties by id.
-            key = scores * np.int64(m) + (m - 1 - np.arange(m))
-            order = np.argpartition(key, m - k, axis=1)[:, m - k :]
-    else:
-        order = np.broadcast_to(np.arange(m), scores.shape)
+    n, m = scores.shape
+    if m <= k:
+        return scores, np.broadcast_to(ids, scores.shape)
+    least = np.partition(scores, m - k, axis=1)[:, m - k, None]
+    above, ties = scores > least, scores == least
+    # Of those that tie at the end as many as there is room for, smallest ids first.
+    chosen = above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    order = np.nonzero(chosen)[1].reshape(n, k)
     return np.take_along_axis(scores, order, 1), ids[order]
 
 
 def _search(block, k: int, scale: int):
-    none = np.iinfo(np.int64).min
-
     def run(batches):
         q_ids, q = block.value
-        best = np.full((len(q_ids), 0), none)
+        best = np.full((len(q_ids), 0), NONE)
         best_id = np.zeros((len(q_ids), 0), np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, TILE_ROWS):
                 part = batch.slice(start, TILE_ROWS)
-                good, rows = weights(part.column("vector").to_pylist(), scale)
-                if not len(good) or not len(q_ids):
+                if not len(q_ids):
                     continue
-                ids = np.asarray(part.column("id"))[good]
+                ids, rows = np.asarray(part.column("id")), weights(part.column("vector"), scale)
                 by = np.argsort(ids, kind="stable")
                 ids, rows = ids[by], rows[by]
                 new, new_id = [], []
                 for a in range(0, len(q_ids), TILE_QUERIES):
                     mine = q_ids[a : a + TILE_QUERIES]
-                    scores = accumulate(q[a : a + TILE_QUERIES], rows).astype(np.int64)
-                    own = np.flatnonzero(np.isin(ids, mine))
-                    if len(own):
-                        scores[:, own] = np.where(mine[:, None] == ids[own][None, :], none // (2 * TILE_ROWS), scores[:, own])
-                    s, i = select(scores, ids, k)
-                    s = np.where(s == none // (2 * TILE_ROWS), none, s)
+                    s, i = select(accumulate(q[a : a + TILE_QUERIES], rows, mine[:, None] == ids[None, :]), ids, k)
                     new.append(s)
                     new_id.append(i)
                 s, i = np.hstack([best, np.vstack(new)]), np.hstack([best_id, np.vstack(new_id)])
-                order = np.lexsort((i, -s), axis=1)[:, :k]
+                order = np.lexsort((i, ~s), axis=1)[:, :k]
                 best, best_id = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        r, c = np.nonzero(best > none)
+        r, c = np.nonzero(best > NONE)
         yield pa.record_batch([pa.array(q_ids[r]), pa.array(best_id[r, c]), pa.array(best[r, c])], ["query_id", "id", "score"])
 
     return run
@@ -110,20 +109,24 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     without id, take no part.  Vectors of different lengths are padded by
     zeros.  Rows that share an id are never each other's results; a repeated
     query id is one query (its smallest vector).  A repeated candidate keeps
-    its rows.  No rows give no results; a score beyond 64 bits is an error.
+    its rows.  No rows give no results.  A score beyond 64 bits and a scaled
+    component of 62 bits or more are errors.
     """
     spark = rows.sparkSession
     vectors = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("id is not null and vector is not null")
     usable = vectors.filter(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     queries = usable.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vector").alias("vector"))
     n_blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
+    found = []
     for b in range(n_blocks):
-        rows_b = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).orderBy("id").collect()
-        _, w = weights([r[1] for r in rows_b], scale)
-        block = spark.sparkContext.broadcast((np.array([r[0] for r in rows_b], np.int64), w))
+        rows_b = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).orderBy("id").toArrow().combine_chunks()
+        block = spark.sparkContext.broadcast((rows_b["id"].to_numpy(), weights(rows_b["vector"].combine_chunks(), scale)))
         part = usable.mapInArrow(_search(block, k, scale), "query_id long, id long, score long")
-        found = part if found is None else found.union(part)
+        if n_blocks > 1:  # one block at a time
+            part = cut(part, f"block_{b}")
+            block.destroy()
+        found.append(part)
+    found = reduce(DataFrame.union, found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

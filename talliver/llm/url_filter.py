@@ -1,7 +1,8 @@
 """URL filters by a cascade of Bloom filters.
 
-The keys of a url are its host and parent domains, each with the prefixes of
-its path that have the length of some rule's path.  All keys of the corpus are
+The keys of a url are its host and parent domains that have as many labels as
+some rule's host, each with the prefixes of its path that have the length of
+some rule's path.  All keys of the corpus are
 the universe.  Level 0 of a cascade encodes the listed keys; level 1 encodes
 the other keys of the universe that level 0 lets through; level 2 the listed
 keys that level 1 lets through; and so on until a level has no false positive.
@@ -40,11 +41,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, upper, lower), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a url: domain suffixes at label boundaries times path prefixes of these lengths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
+def keys_of(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Keys of a url: domain suffixes of these label counts times path prefixes of these lengths.
+
+    Only counts and lengths that some rule has can fit, so a host of any
+    length has few keys.
+    """
+    n_labels = F.size(F.split(host, r"\."))
+    suffixes = F.array_compact(F.array(*[F.when(n_labels >= n, F.substring_index(host, ".", -n)) for n in labels]).cast("array<string>"))
+    heads = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]).cast("array<string>"))
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda h: F.concat(s, h)))))
 
 
@@ -87,9 +92,9 @@ def _level(keys: DataFrame, n: int, depth: int) -> np.ndarray:
             slots = _slots(np.asarray(batch.column("h")), depth, n_bits).ravel().astype(np.int64)
             yield pa.record_batch([pa.array(slots >> 6), pa.array(np.left_shift(np.uint64(1), (slots & 63).astype(np.uint64)).view(np.int64))], ["w", "b"])
 
-    words = keys.select("h").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = keys.select("h").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(n_bits // 64, np.uint64)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return bits
 
 
@@ -144,14 +149,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     The longest fitting rule wins (ties: the larger key); a url without one
     gets ``default``.  Null urls and urls without ``://`` have empty host and
     path.  Null rules are ignored; a key listed with two verdicts counts with
-    the larger one.  Repeated rows are judged each.
+    the larger one; a key without ``/`` fits every path of its hosts.  Repeated
+    rows are judged each.
     """
     spark = pages.sparkSession
     listed = rules.select("verdict", "key").dropna().groupBy("key").agg(F.max("verdict").alias("verdict"))
-    lengths = sorted(r[0] for r in listed.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().collect())
+    slash = F.instr("key", "/")
+    rule_host = F.when(slash > 0, F.substring("key", F.lit(1), slash - 1)).otherwise(F.col("key"))
+    lengths = sorted(r[0] for r in listed.select(F.length("key") - F.length(rule_host)).distinct().collect())
+    labels = sorted(r[0] for r in listed.select(F.size(F.split(rule_host, r"\."))).distinct().collect())
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), labels, lengths))
     universe = urls.select("host", "path", "keys").select(F.explode("keys").alias("key")).distinct()
     universe = universe.join(listed, "key", "left").select(F.xxhash64("key").alias("h"), "verdict")
     universe = cut(universe, "universe")

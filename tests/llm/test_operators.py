@@ -179,6 +179,26 @@ def test_topk(spark):
     assert topk_search.top_k(df.limit(0)).collect() == []
 
 
+def test_topk_of_large_values(spark):
+    """Scores beyond 32 and close to 64 bits, with ties; one that leaves 64 bits fails the job."""
+    r = random.Random(3)
+    big = float(2**22)
+    rows = [(i, [r.choice([-big, 0.0, 1.0, big]), r.choice([0.0, big])]) for i in range(130)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    want = []
+    for q in (0, 50, 100):
+        scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(rows[q][1], v, strict=True)), i) for i, v in rows if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    same([tuple(r) for r in got], want)
+    scores = np.array([[0] * 41 + [2**60, 2**60 - 1]], np.int64)
+    assert topk_search.select(scores, np.arange(43), 2)[1].tolist() == [[41, 42]]
+    for bad in ([(0, [1e20]), (1, [1.0])], [(0, [float(2**30)] * 2), (1, [float(2**30)] * 2)]):
+        with pytest.raises(Exception, match="bits"):
+            topk_search.top_k(spark.createDataFrame(bad, "vec_id long, embedding array<double>")).collect()
+    # An own score beyond 64 bits does no harm.
+    assert topk_search.top_k(spark.createDataFrame([(0, [float(2**30)]), (1, [1.0])], "vec_id long, embedding array<double>")).first()["score"] == 2**46
+
+
 def test_sharding(docs, none):
     got = sharding.shard_rows(docs, n_shards=7).collect()
     same([(r["doc_id"], r["size"], r["text_crc32"]) for r in got], [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in ROWS])
@@ -194,6 +214,25 @@ def test_communication_matrix_has_exact_margins():
     assert abs(np.mean(draws) - 5) < 0.3 and 1.2 < np.var(draws) < 2.8  # hypergeometric: mean 5, variance 1.92
 
 
+def test_draws_beyond_the_generators_range_keep_the_law():
+    rng = np.random.default_rng(3)
+    good, bad, draws = 3 * 10**8, 9 * 10**8, 4000
+    x = np.array([sharding._hypergeometric(rng, good, bad, draws) for _ in range(3000)])
+    assert abs(x.mean() - 1000) < 2.5 and 690 < x.var() < 820  # mean 1000, variance 750
+    y = np.array([sharding._hypergeometric(rng, bad, good, good + bad - 5) for _ in range(300)])
+    assert set(bad - y) <= set(range(6)) and abs((bad - y).mean() - 3.75) < 0.3
+    m = sharding.communication_matrix([10**9, 2 * 10**9], [10**9] * 3, seed=1)
+    assert m.sum(axis=1).tolist() == [10**9, 2 * 10**9] and m.sum(axis=0).tolist() == [10**9] * 3
+
+
+def test_url_filter_of_long_hosts_and_rules_without_path(spark):
+    host = ".".join(["a"] * 12000) + ".example.org"
+    df = spark.createDataFrame([(1, f"http://{host}/es/1"), (2, "http://x.net/any"), (3, "http://y.x.net"), (4, "http://xx.net/")], "page_id long, url string")
+    rules = spark.createDataFrame([*url_filter.RULES, ("block", "x.net")], "verdict string, key string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, rules).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("x.net", "block"), 3: ("x.net", "block"), 4: (None, "allow")}
+
+
 def test_url_filter(spark):
     urls = ["http://A.example.ORG/es/1?q", "https://example.org/en/17", "http://org/", "http://x.org", "http://news.com/fr/a", "http://news.com/de/a", "http://com/de", "nothing", None, "", "http://", "http://badexample.org/es/", "http://x.net/#/de/", "http://example.org/EN/1"]
     df = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls + urls[:2])], "page_id long, url string, verdict string")
@@ -253,6 +292,36 @@ def test_byte_bpe(docs, none, chunk, overlap):
     assert byte_bpe.token_digests(none).collect() == []
 
 
+def test_byte_bpe_merges_by_rank():
+    """The plain rule (lowest rank of all adjacent pairs, leftmost first) against the heap and the library."""
+    ranks, enc = byte_bpe.ranks_of(byte_bpe.RANKS), byte_bpe.encoding(byte_bpe.RANKS, byte_bpe.public_tokenizers.PATTERN)
+
+    def plain(piece):
+        parts = [bytes([b]) for b in piece]
+        while len(parts) > 1:
+            best = min((ranks.get(a + b, 10**9), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if best[0] == 10**9:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return [ranks[p] for p in parts]
+
+    for piece in ("a", " internationalisation", "ababababab" * 9, " " * 300, "über" * 20, "日本語" * 30):
+        assert byte_bpe.merged(piece.encode(), ranks) == plain(piece.encode())
+    for piece in (" internationalisation", " " * 1000):
+        assert byte_bpe.merged(piece.encode(), ranks) == enc.encode_ordinary(piece)
+
+
+def test_byte_bpe_of_very_long_runs(spark):
+    run = byte_bpe.RUN
+    enc = byte_bpe.encoding(byte_bpe.RANKS, byte_bpe.public_tokenizers.PATTERN)
+    texts = [" " * 1_000_000 + "x", "y" + "\n" * 300_000, "a" * 400_000, "-" * (run + 5) + " end", " " * (run + 1) + "w it's"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in byte_bpe.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(bytes(got[i]["raw"]).decode() == t for i, t in rows)
+    for i in (3, 4):  # short enough for the library
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == enc.encode_ordinary(texts[i])
+
+
 def test_byte_bpe_round_trip(docs):
     back = byte_bpe.decode(byte_bpe.encode(docs, chunk=300, overlap=40)).collect()
     same([tuple(r) for r in back], [(d, t or "") for d, t in ROWS])
