@@ -111,13 +111,3 @@ def only(bits, column: str, passing: bool = True):
             yield batch.filter(pa.array(ok if passing else ~ok))
 
     return run
-
-
-def shared_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key occurs in two rows or more.
-
-    The count is pre-aggregated before its shuffle and written out, so the
-    join back is a plain sort-merge join whose hot partitions Spark can split.
-    """
-    often = cut(rows.groupBy(key).agg(F.count("*").alias("c")).filter("c > 1").select(key), f"shared_{key}")
-    return rows.join(often, key)

@@ -6,15 +6,18 @@ hash among their ``M``-word parts) form one block, a path that is stored once.
 
 1. Minimizers that occur in two texts or more are found by a pre-aggregated
    count; other windows cannot repeat.  Equal texts are one text throughout.
-2. Texts with such minimizers give their blocks: hash, second check hash,
-   source coordinates, next block.  Blocks are grouped; each learns the
-   smallest document that has it, with the coordinates there.
-3. A block that always follows one and the same block is joined to it: a
-   self-join of the block table finds these nonbranching paths, so a document
-   gets one span per path.
+2. Texts with such minimizers give their blocks: hash, source coordinates,
+   next block.  Blocks are grouped; each learns the smallest document that has
+   it, with the coordinates there.
+3. A block that always follows one and the same block, which is always followed
+   by it, is inside a nonbranching path.  A self-join of the block table finds
+   these links, and joins by pointer doubling compact each path to its first
+   block.  Only that block gives spans, as long as its path.
 4. Blocks that differ but share a minimizer may share single windows.  Those
-   windows, of one text per distinct block, are compared on their own.
-5. Spans are cut from the texts.
+   windows, of one text per distinct block, are compared on their own, and
+   neighbours with neighbouring sources are compacted to one span.
+5. Every span names a place in its source document.  The words there are read
+   and digested; a span is cut only if the text's own words give that digest.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talliver.llm.common import cut, node_filter, only, shared_keys, table
+from talliver.llm.common import cut, discard, node_filter, only, passes, table
 from talliver.llm.textkernels import SPACE, Words, mix, slices, windows
 
 #: Words of a minimizer.
 M = 5
+#: Texts that a task remembers, so as not to send exact copies twice.
+REMEMBERED = 1 << 20
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -60,12 +65,16 @@ def _info():
     return run
 
 
-def _posted(k: int):
+def _posted(k: int, shared=None):
+    """The minimizers of each text; with a filter, those that pass it."""
+
     def run(batches):
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole):
                 fps = batch.column("fp").to_pylist()
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 fresh = [i for i, fp in enumerate(fps) if fp not in seen and not seen.add(fp)]
                 batch = batch.take(pa.array(fresh, pa.int64()))
                 words = Words(batch.column("text"), SPACE, lower=False)
@@ -80,7 +89,11 @@ def _posted(k: int):
                 small, doc = small[by], doc[by]
                 new = np.ones(len(doc), bool)
                 new[1:] = (small[1:] != small[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.record_batch([pa.array(small[new].view(np.int64)), pa.array(np.asarray(batch.column("fp"))[doc[new]])], ["m", "fp"])
+                small, doc = small[new].view(np.int64), doc[new]
+                if shared is not None:
+                    use = passes(shared.value, small)
+                    small, doc = small[use], doc[use]
+                yield pa.record_batch([pa.array(small), pa.array(np.asarray(batch.column("fp"))[doc])], ["m", "fp"])
 
     return run
 
@@ -96,7 +109,7 @@ def _blocks(k: int):
                 doc = words.doc[at]
                 ids, fps = np.asarray(batch.column("id")), np.asarray(batch.column("fp"))
                 edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                cols: dict[str, list] = {c: [] for c in ("m", "bh", "chk", "id", "fp", "s", "nw", "nb", "hs")}
+                cols: dict[str, list] = {c: [] for c in ("m", "bh", "id", "fp", "s", "nw", "nb", "hs")}
                 for i in range(batch.num_rows):
                     lo, hi = edges[i], edges[i + 1]
                     ms = np.sort(np.frombuffer(batch.column("ms")[i].values.buffers()[1], np.int64)[batch.column("ms")[i].values.offset :][: len(batch.column("ms")[i])].view(np.uint64))
@@ -112,13 +125,11 @@ def _blocks(k: int):
                     up = np.arange(hi - lo, dtype=np.uint64) - np.repeat(first, length).astype(np.uint64)
                     with np.errstate(over="ignore"):
                         bh = mix(np.add.reduceat(own * (up * np.uint64(2) + np.uint64(1)), first) + length.astype(np.uint64))
-                        chk = np.add.reduceat(mix(own ^ (up * np.uint64(0x9E3779B97F4A7C15))), first)
                     follow = np.zeros(len(first), np.uint64)
                     follow[:-1] = np.where(hit[first[1:]], bh[1:], 0)
                     use = np.flatnonzero(hit[first])
                     cols["m"].append(mine[first[use]].view(np.int64))
                     cols["bh"].append(bh[use].view(np.int64))
-                    cols["chk"].append((chk[use] >> np.uint64(33)).astype(np.int32))
                     cols["id"].append(np.full(len(use), ids[i], np.int64))
                     cols["fp"].append(np.full(len(use), fps[i], np.int64))
                     cols["s"].append((at[lo + first[use]] - words.first[i]).astype(np.int32))
@@ -144,6 +155,29 @@ def _windows_of():
     return run
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _source_words():
+    """(src_fp, src_s, n, digest) of the places that the row's list ``wants``."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                fps, starts, sizes, digests = [], [], [], []
+                for fp, text, wants in zip(batch.column("fp").to_pylist(), batch.column("text"), batch.column("wants").to_pylist(), strict=True):
+                    words = text.as_py().encode().split()
+                    for w in wants:
+                        fps.append(fp)
+                        starts.append(w["s"])
+                        sizes.append(w["n"])
+                        digests.append(_digest(words[w["s"] : w["s"] + w["n"]]))
+                yield pa.record_batch([pa.array(fps, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], ["src_fp", "src_s", "n", "digest"])
+
+    return run
+
+
 def _kept():
     def run(batches):
         for whole in batches:
@@ -153,8 +187,9 @@ def _kept():
                     words = text.as_py().encode().split()
                     gone = np.zeros(len(words) + 1, np.int64)
                     for s in spans:
-                        gone[s["s"]] += 1
-                        gone[s["e"]] -= 1
+                        if _digest(words[s["s"] : s["s"] + s["n"]]) == s["digest"]:
+                            gone[s["s"]] += 1
+                            gone[s["s"] + s["n"]] -= 1
                     keep = np.cumsum(gone)[:-1] == 0
                     left = b" ".join([w for w, ok in zip(words, keep.tolist(), strict=True) if ok])
                     removed.append(len(words) - int(keep.sum()))
@@ -165,35 +200,73 @@ def _kept():
     return run
 
 
+def compact_paths(blocks: DataFrame) -> DataFrame:
+    """(bh, src, path): blocks that occur twice or more, their first occurrence (id, fp, s), and the windows of
+    the nonbranching path that begins with them; null inside a path.
+
+    Along a path every occurrence of a block is followed by the next block and
+    counts are equal, so all occurrences of the first block begin whole paths.
+    The source must run on as well, which also breaks cycles.
+    """
+    graph = blocks.groupBy("bh").agg(F.min(F.struct("id", "fp", "s")).alias("src"), F.count("*").alias("c"), F.min("nb").alias("n0"), F.max("nb").alias("n1"), F.first("nw").alias("nw"))
+    graph = cut(graph.filter("c > 1"), "graph")
+    before = graph.filter("n0 = n1 and n0 <> 0").select(F.col("n0").alias("bh"), "c", F.col("bh").alias("up"), F.col("src").alias("up_src"), F.col("nw").alias("off"))
+    runs_on = "up_src.id = src.id and up_src.fp = src.fp and up_src.s + off = src.s"
+    inner = graph.select("bh", "c", "src", "nw").join(before, ["bh", "c"]).filter(runs_on)
+    links = cut(inner.select("bh", "up", "off", "nw"), "links")
+    while True:
+        above = links.select(F.col("bh").alias("up"), F.col("up").alias("top"), F.col("off").alias("more"))
+        step = links.join(above, "up", "left").select("bh", F.coalesce("top", "up").alias("up"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), "nw", F.col("top").isNotNull().alias("moved"))
+        step = cut(step, "links")
+        discard(links)
+        links = step
+        if not links.filter("moved").take(1):
+            break
+    reach = links.groupBy(F.col("up").alias("bh")).agg(F.max(F.col("off") + F.col("nw")).cast("int").alias("reach"))
+    inside = links.select("bh", F.lit(True).alias("inside"))
+    paths = graph.select("bh", "src", "nw").join(reach, "bh", "left").join(inside, "bh", "left")
+    paths = cut(paths.select("bh", "src", F.when(F.col("inside").isNull(), F.coalesce("reach", "nw")).alias("path")), "paths")
+    discard(graph, links)
+    return paths
+
+
 def repeated_spans(texts: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(id, fp, s, e, source, source_s, inner): word spans of distinct texts whose windows all start in a smaller document.
+    """(id, fp, s, n, src_fp, src_s): runs of n words of distinct texts whose windows all start in a smaller document, and a place where they do.
 
     ``texts`` has id, fp, text; ``reps`` the smallest id of each fp.
     """
-    rows = texts.select("fp", "text").mapInArrow(_posted(k), "m long, fp long")
-    hits = shared_keys(rows, "m").distinct().groupBy("fp").agg(F.collect_set("m").alias("ms"))
+    counted = texts.select("fp", "text").mapInArrow(_posted(k), "m long, fp long")
+    shared = cut(counted.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "shared")
+    rows = texts.select("fp", "text").mapInArrow(_posted(k, node_filter(shared, "m")), "m long, fp long")
+    hits = rows.join(shared, "m").distinct().groupBy("fp").agg(F.collect_set("m").alias("ms"))
     hits = cut(hits.join(reps, "fp"), "hits")
-    some = texts.mapInArrow(only(node_filter(hits.select("fp"), "fp"), "fp"), texts.schema)
-    found = some.join(hits, ["fp", "id"]).select("id", "fp", "text", "ms")
-    blocks = cut(found.mapInArrow(_blocks(k), "m long, bh long, chk int, id long, fp long, s int, nw int, nb long, hs binary"), "blocks")
-
-    graph = blocks.groupBy("bh").agg(F.min(F.struct("id", "s", "chk")).alias("src"), F.count("*").alias("c"), F.min("nb").alias("n0"), F.max("nb").alias("n1"), F.min("m").alias("m"))
-    graph = cut(graph, "graph")
-    forks = cut(graph.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "forks")
-    nexts = graph.filter("n0 = n1 and n0 <> 0").select(F.col("n0").alias("bh"), F.col("c").alias("c_before"), F.col("src.id").alias("id_before"))
-    graph = graph.join(nexts.groupBy("bh").agg(F.max(F.struct("c_before", "id_before")).alias("p"), F.count("*").alias("ways")), "bh", "left")
-    inner = F.coalesce((F.col("ways") == 1) & (F.col("p.c_before") == F.col("c")) & (F.col("p.id_before") == F.col("src.id")), F.lit(False))
-    graph = cut(graph.filter("c > 1").select("bh", "src", inner.alias("inner")), "paths")
-
-    judged = blocks.drop("nb").join(graph, "bh", "left")
-    judged = judged.withColumn("again", F.coalesce((F.col("src.id") < F.col("id")) & (F.col("src.chk") == F.col("chk")), F.lit(False)))
-    judged = cut(judged.select("id", "fp", "s", "nw", "m", "again", "inner", F.col("src.id").alias("source"), F.col("src.s").alias("source_s"), F.when(~F.col("again"), F.col("hs")).alias("hs")), "judged")
-    whole = judged.filter("again").select("id", "fp", "s", (F.col("s") + F.col("nw") + k - 1).alias("e"), "source", "source_s", "inner")
-    single = judged.filter("not again").join(forks, "m").select("hs", "id", "fp", "s").mapInArrow(_windows_of(), "h long, id long, fp long, s int")
-    single = cut(single, "single")
-    least = cut(single.groupBy("h").agg(F.min("id").alias("source"), F.max("id").alias("hi")).filter("source < hi").drop("hi"), "least")
-    single = single.join(least, "h").filter("source < id").select("id", "fp", "s", (F.col("s") + k).alias("e"), "source", F.lit(None).cast("int").alias("source_s"), F.lit(False).alias("inner"))
-    return whole.union(single)
+    found = texts.mapInArrow(only(node_filter(hits, "id"), "id"), texts.schema).join(hits, ["fp", "id"]).select("id", "fp", "text", "ms")
+    blocks = cut(found.mapInArrow(_blocks(k), "m long, bh long, id long, fp long, s int, nw int, nb long, hs binary"), "blocks")
+    discard(shared, hits)
+    paths = compact_paths(blocks)
+    whole = blocks.select("bh", "id", "fp", "s").join(paths.filter("path is not null"), "bh").filter("src.id < id")
+    whole = whole.select("id", "fp", "s", (F.col("path") + k - 1).alias("n"), F.col("src.fp").alias("src_fp"), F.col("src.s").alias("src_s"))
+
+    forks = cut(blocks.select("m", "bh").distinct().groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "forks")
+    single = blocks.select("m", "bh", "id", "fp", "s", "hs").join(forks, "m").join(paths.select("bh", F.col("src.id").alias("src_id")), "bh", "left").filter("coalesce(src_id, id) >= id")
+    single = cut(single.select("hs", "id", "fp", "s").mapInArrow(_windows_of(), "h long, id long, fp long, s int"), "single")
+    least = cut(single.groupBy("h").agg(F.min(F.struct("id", "fp", "s")).alias("src"), F.max("id").alias("hi")).filter("src.id < hi").drop("hi"), "least")
+    single = single.join(least, "h").filter("src.id < id").select("id", "fp", "s", F.col("src.fp").alias("src_fp"), (F.col("s") - F.col("src.s")).alias("shift"))
+    # Windows that follow each other in the text and in one source; a group is part of one text.
+    place = F.dense_rank().over(Window.partitionBy("id", "fp", "src_fp", "shift").orderBy("s"))
+    single = single.withColumn("run", F.col("s") - place).groupBy("id", "fp", "src_fp", "shift", "run").agg(F.min("s").alias("s"), F.max("s").alias("last"))
+    single = single.select("id", "fp", "s", (F.col("last") - F.col("s") + k).alias("n"), "src_fp", (F.col("s") - F.col("shift")).alias("src_s"))
+    return cut(whole.union(single), "runs")
+
+
+def verified_spans(texts: DataFrame, reps: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, fp, spans): the runs of each text with the digest of the words at their source."""
+    wants = runs.select(F.col("src_fp").alias("fp"), F.col("src_s").alias("s"), "n").distinct().groupBy("fp").agg(F.collect_list(F.struct("s", "n")).alias("wants"))
+    wants = cut(wants.join(reps, "fp"), "wants")
+    sources = texts.mapInArrow(only(node_filter(wants, "id"), "id"), texts.schema).join(wants, ["fp", "id"]).dropDuplicates(["fp", "id"])
+    digests = cut(sources.select("fp", "text", "wants").mapInArrow(_source_words(), "src_fp long, src_s int, n int, digest binary"), "digests")
+    spans = runs.join(digests, ["src_fp", "src_s", "n"]).groupBy("id", "fp").agg(F.collect_list(F.struct("s", "n", "digest")).alias("spans"))
+    return cut(spans, "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
@@ -206,8 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
     info = cut(texts.mapInArrow(_info(), "id long, fp long, n_words long, sha string"), "info")
     reps = cut(info.filter(F.col("n_words") >= k).groupBy("fp").agg(F.min("id").alias("id")).dropna(), "reps")
-    spans = cut(repeated_spans(texts, reps, k).groupBy("id", "fp").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
-    some = texts.mapInArrow(only(node_filter(spans.select("fp"), "fp"), "fp"), texts.schema)
+    spans = verified_spans(texts, reps, repeated_spans(texts, reps, k))
+    some = texts.mapInArrow(only(node_filter(spans, "id"), "id"), texts.schema)
     done = some.join(spans, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "fp", "text", "spans").mapInArrow(_kept(), "id long, fp long, cut_words long, cut_sha string, kept string")
     out = info.join(reps.withColumnRenamed("id", "rep"), "fp", "left").join(done, ["fp", "id"], "left")
     gone = (F.col("n_words") >= k) & (F.col("rep") < F.col("id"))

@@ -131,6 +131,36 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).collect() == []
 
 
+def test_passages_compact_to_one_span_with_their_source(spark):
+    """A passage that three texts share is one path; its span names the place in the first of them, and words there decide."""
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join([f"a{i}_{j}" for j in range(20 + i)] + passage + [f"b{i}_{j}" for j in range(30)])) for i in (3, 5, 9)]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("fp", F.xxhash64("text"))
+    reps = docs.select("fp", "id")
+    runs = substring_dedup.repeated_spans(docs, reps, 13)
+    found = runs.collect()
+    first = reps.filter("id = 3").first()["fp"]
+    inner = sorted((r["id"], r["s"], r["n"], r["src_s"]) for r in found if r["n"] > 100)
+    assert all(r["src_fp"] == first and r["src_s"] - 23 == r["s"] - 20 - r["id"] for r in found)
+    assert [x[0] for x in inner] == [5, 9] and len(found) <= 6
+    covered = {i: {p for r in found if r["id"] == i for p in range(r["s"], r["s"] + r["n"])} for i in (5, 9)}
+    assert all(covered[i] == set(range(20 + i, 220 + i)) for i in (5, 9))
+    wrong = substring_dedup.verified_spans(docs, reps, runs.withColumn("src_s", F.col("src_s") + 1)).collect()
+    words = {i: t.encode().split() for i, t in rows}
+    assert not any(substring_dedup._digest(words[r["id"]][x["s"] : x["s"] + x["n"]]) == x["digest"] for r in wrong for x in r["spans"])
+
+
+@pytest.mark.parametrize("vocab,n", [(3, 60), (40, 120)])
+def test_substring_dedup_of_repetitive_texts(spark, vocab, n):
+    """Few words, so paths branch, cycle and overlap."""
+    r = random.Random(vocab)
+    rows = [(i, " ".join(f"w{r.randrange(vocab)}" for _ in range(r.randrange(n)))) for i in range(40)]
+    rows += [(50 + i, " ".join(["x y z"] * r.randrange(3, 40))) for i in range(12)]
+    rows += [(70 + i, " ".join(rows[r.randrange(40)][1].split()[5:80] + rows[r.randrange(40)][1].split()[:70])) for i in range(20)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    same([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], [(d, *x) for (d, _), x in zip(rows, brute.without_repeats(rows), strict=True)])
+
+
 @pytest.mark.parametrize("block", [1 << 20, 120])
 def test_decontamination(spark, docs, none, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
