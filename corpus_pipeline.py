@@ -28,20 +28,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without id stay.
+    """Of each group of near copies one row stays: that of the smallest id, and of its smallest text hash; rows without id stay.
 
-    Of rows that share id and text one stays.  Only documents that a fixed-size
-    bit filter can't clear meet the list of the ones that go.
+    A row is known by its id and the hash of its text, so rows that share an
+    id but not their text are judged apart; of rows that share both one stays.
+    Only documents that a fixed-size bit filter can't clear meet the list of
+    the ones that go.
     """
-    comps = cut(jaccard_components(docs).select("doc_id", "component_id"), "components")
-    gone = comps.filter("component_id < doc_id").select("doc_id").distinct()
-    again = comps.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 and doc_id is not null").select("doc_id")
-    listed = cut(gone.select("doc_id", F.lit(True).alias("gone")).union(again.join(gone, "doc_id", "left_anti").select("doc_id", F.lit(False))), "listed")
-    bits = node_filter(listed, "doc_id")
+    rows = cut(jaccard_components(docs, count=False).filter("doc_id is not null"), "components")
+    own = F.struct("doc_id", "text_key")
+    first = rows.filter("`group` is not null").groupBy("group").agg(F.min(own).alias("first"))
+    copies = rows.join(first, "group", "left").groupBy("doc_id", "text_key").agg(F.count("*").alias("c"), F.min(F.coalesce(F.col("first") == own, F.lit(True))).alias("stays"))
+    listed = cut(copies.filter("c > 1 or not stays").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "stays"), "listed")
+    bits = node_filter(listed, "of_id")
     clear = docs.mapInArrow(only(bits, "doc_id", passing=False), docs.schema)
-    rest = docs.mapInArrow(only(bits, "doc_id"), docs.schema).join(listed, "doc_id", "left").filter("coalesce(gone, false) = false")
-    once = rest.filter("gone is not null").dropDuplicates(["doc_id", "text"])
-    return clear.unionByName(rest.filter("gone is null").unionByName(once).select(*docs.columns))
+    same = F.expr("doc_id = of_id and xxhash64(text) = of_key")
+    rest = docs.mapInArrow(only(bits, "doc_id"), docs.schema).join(listed, same, "left").filter("coalesce(stays, true)")
+    once = rest.filter("stays").dropDuplicates(["doc_id", "text"])
+    return clear.unionByName(rest.filter("stays is null").unionByName(once).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
