@@ -27,7 +27,7 @@ from talliver.llm.textkernels import ALNUM, Words, mix, slices
 #: Texts of the sample: of each label, and in all; bytes of their texts in all (a text of over a 64th of that is not taken).
 PER_LABEL, MAX_SAMPLE, SAMPLE_BYTES = 250, 4000, 64 << 20
 #: Bytes of text handled at once: forward-backward steps through the words of a slice's longest text.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Hashed features, and steps of the fit.
 FEATURES, STEPS, BATCH, LENGTH = 1 << 16, 250, 256, 24
 #: A word is in a label's lexicon if it was seen so often, and with this label in such a share.
