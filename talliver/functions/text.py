@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # The shapes of dates that statements stamp into text.
 DATE_SHAPES = r"(?:\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2})"
@@ -36,6 +41,69 @@ def source_hash(account: Column, raw: Column, repeat: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", account.cast("string"), F.coalesce(raw, F.lit("")), repeat.cast("string")), 256)
 
 
+def canonical_row(raw: Column) -> Column:
+    """A JSON object as its ``key=value`` pairs in order of keys, so that the order in the file makes no difference; other text as it is."""
+    pairs = F.transform(F.array_sort(F.map_entries(F.from_json(raw, "map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return F.coalesce(F.array_join(pairs, "\u001e"), raw)
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, blanks squeezed."""
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+", " ")
+
+
+# What a rule's pattern leaves out of a description, in this order, and its greatest length.
+PATTERN_NOISE = (r"\d{2,4}[/-]\d{2}[/-]\d{2,4}", r"\$[\d,.]+", r"#\d+", r"\b\d{4,}\b", r"\b[a-z0-9]*\d{5,}[a-z0-9]*\b")
+PATTERN_LENGTH = 60
+
+
+def extract_pattern(text: Column) -> Column:
+    """The stable part of a description: no dates, money, references or long codes, cut at a word."""
+    out = normalised(text)
+    for noise in PATTERN_NOISE:
+        out = F.regexp_replace(out, noise, "")
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.when(F.length(out) > PATTERN_LENGTH, F.regexp_replace(F.substring(out, 1, PATTERN_LENGTH), r" [^ ]*$", "")).otherwise(out)
+
+
+def words_of(text: Column, least: int = 3) -> Column:
+    """Words of so many letters or more, repeats kept."""
+    return F.filter(F.split(text, " "), lambda w: F.length(w) >= least)
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matching blocks over both lengths; few pairs are distinct, so each is compared once a batch."""
+    ratio = cache(lambda x, y: SequenceMatcher(None, x, y).ratio())
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _blank(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
+def text_similarity(a: Column, b: Column) -> Column:
+    """The greater of the sequence ratios of the lower-case texts and of their comparison keys.  For blocked pairs only."""
+    return F.greatest(sequence_ratio(F.lower(_blank(a)), F.lower(_blank(b))), sequence_ratio(comparison_key(a), comparison_key(b)))
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """``text_similarity`` by edit distances, which SQL has as well."""
+    return F.greatest(ratio_by_edits(F.lower(_blank(a)), F.lower(_blank(b))), ratio_by_edits(comparison_key(a), comparison_key(b)))
+
+
+def wording_matches(a: Column, b: Column, ratio=sequence_ratio) -> Column:
+    """Whether two comparison keys word one event: references decide, then a cut-off or contained wording, then likeness."""
+    ref_a, ref_b = reference_numbers(a), reference_numbers(b)
+    apart = (F.size(ref_a) > 0) & (F.size(ref_b) > 0) & (ref_a != ref_b)
+    a_first = F.length(a) <= F.length(b)
+    short, long = F.when(a_first, a).otherwise(b), F.when(a_first, b).otherwise(a)
+    bare = F.replace(short, F.lit(" "), F.lit(""))
+    cut = (F.length(short) >= 12) & F.startswith(long, short)
+    inside = (F.length(bare) >= 8) & F.contains(F.replace(long, F.lit(" "), F.lit("")), bare)
+    return (a != "") & ~apart & (cut | inside | (ratio(a, b) >= 0.85))
+
+
 def cosine01(a: Column, b: Column) -> Column:
     """Cosine within [0, 1]; 0 if lengths differ or a vector is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

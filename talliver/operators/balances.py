@@ -140,3 +140,12 @@ def household_snapshot(found: DataFrame) -> DataFrame:
     low = F.count_if(F.col("confidence") < 0.5)
     stale, n = F.count_if("stale"), F.count("*")
     return found.groupBy("user_id", "as_of").agg(n.alias("n_accounts"), stale.alias("n_stale"), low.alias("n_low"), F.greatest(F.lit(0.0), (n - stale - low) / n).alias("confidence"))
+
+
+def balance_sheet(found: DataFrame) -> DataFrame:
+    """(as_of, side, type_group, n, total): absolute cents of base by side and display group; a null group is the side's total."""
+    cents = F.coalesce(F.round(F.col("value_base") * 100), F.lit(0.0)).cast("long")
+    rows = found.select("as_of", F.when(F.col("is_asset"), "asset").otherwise("liability").alias("side"), type_group(F.col("account_type")).alias("type_group"), cents.alias("cents"))
+    sums = rows.groupBy("as_of", "side", "type_group").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    sides = sums.groupBy("as_of", "side").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents")).withColumn("type_group", F.lit(None).cast("string"))
+    return sums.unionByName(sides).select("as_of", "side", "type_group", "n", F.abs("cents").alias("total"))

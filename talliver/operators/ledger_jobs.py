@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talliver.functions.rules import PAYMENT_WORDS, classify_event, has_any, spend_metadata
-from talliver.functions.text import source_hash
+from talliver.functions.text import canonical_row, comparison_key, sequence_ratio, source_hash, wording_matches
 
 MONEY = "decimal(38,2)"
 
@@ -18,10 +18,36 @@ def repeat_index(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def fingerprints(rows: DataFrame) -> DataFrame:
     """(txn_id, repeat, hash) of raw rows."""
-    counted = repeat_index(rows, ["account_id", "raw_data"], "txn_id")
+    counted = repeat_index(rows.withColumn("raw_data", canonical_row(F.col("raw_data"))), ["account_id", "raw_data"], "txn_id")
     return counted.select("txn_id", "repeat", source_hash(F.col("account_id"), F.col("raw_data"), F.col("repeat")).alias("hash"))
 
 
+def dedupe_by_layers(new: DataFrame, ledger: DataFrame, deleted: DataFrame, ratio=sequence_ratio) -> DataFrame:
+    """(txn_id, account_id, outcome) of new rows: the first layer that knows them.
+
+    same_row: the hash of account, raw row and repeat is in the ledger;
+    duplicate: its day, text and amount are; near_duplicate: its day and
+    amount are, in a wording that matches; deleted_row, deleted and
+    near_deleted: the same among the deleted rows; else imported.  Equal texts
+    of a day and amount are compared once.
+    """
+    keys = ["account_id", "day", "amount"]
+    rows = new.withColumn("day", F.to_date("ts")).withColumn("key", comparison_key(F.col("description")))
+    rows = rows.join(fingerprints(new).select("txn_id", "hash"), "txn_id")
+    outcome = F.lit("imported")
+    for name, known in (("deleted", deleted), ("ledger", ledger)):
+        held = known.withColumn("day", F.to_date("ts")).withColumn("key", comparison_key(F.col("description")))
+        hashes = fingerprints(known).select("hash").distinct().withColumn(f"{name}_hash", F.lit(True))
+        exact = held.select(*keys, "description").distinct().withColumn(f"{name}_exact", F.lit(True))
+        pairs = rows.select(*keys, "key").distinct().join(held.select(*keys, F.col("key").alias("other")).distinct(), keys)
+        near = pairs.filter(wording_matches(F.col("key"), F.col("other"), ratio)).select(*keys, "key").distinct().withColumn(f"{name}_near", F.lit(True))
+        rows = rows.join(hashes, "hash", "left").join(exact, [*keys, "description"], "left").join(near, [*keys, "key"], "left")
+        said = ("same_row", "duplicate", "near_duplicate") if name == "ledger" else ("deleted_row", "deleted", "near_deleted")
+        for layer, word in zip(("near", "exact", "hash"), (said[2], said[1], said[0]), strict=True):
+            outcome = F.when(F.col(f"{name}_{layer}"), word).otherwise(outcome)
+    return rows.select("txn_id", "account_id", outcome.alias("outcome"))
+
+
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per natural key: the one with the greatest ``order``."""
     both = old.unionByName(new)
@@ -48,10 +74,23 @@ def recover_deleted(deleted: DataFrame, ledger: DataFrame) -> DataFrame:
     return deleted.join(ledger.select("txn_id"), "txn_id", "left_anti")
 
 
+# Words of money paid towards a debt.
+TOWARDS_DEBT = ("payment", "autopay", "auto pay", "thank you", "pymt", "online pmt", "direct debit", "bill pay")
+
+
 def liability_sign_flip(rows: DataFrame) -> DataFrame:
-    """(import_batch_id, n_negative, n_positive, flip): a batch whose rows are mostly positive has charges and payments turned."""
-    counts = rows.groupBy("import_batch_id").agg(F.count_if(F.col("amount") < 0).alias("n_negative"), F.count_if(F.col("amount") > 0).alias("n_positive"))
-    return counts.withColumn("flip", F.col("n_positive") > F.col("n_negative"))
+    """(import_batch_id, paid_in, paid_out, charged_in, charged_out, flip) of each batch of a liability.
+
+    Payments must come out positive and charges negative.  Payment rows decide
+    if the charges don't point the other way, then charges alone; a batch
+    without evidence is flipped.
+    """
+    paid = has_any(F.lower(F.coalesce("description", F.lit(""))), TOWARDS_DEBT)
+    count = lambda is_paid, sign: F.count_if((paid if is_paid else ~paid) & (sign * F.col("amount") > 0))
+    n = rows.groupBy("import_batch_id").agg(count(True, 1).alias("paid_in"), count(True, -1).alias("paid_out"), count(False, 1).alias("charged_in"), count(False, -1).alias("charged_out"))
+    keep = F.expr("(paid_in > paid_out and charged_out >= charged_in)")
+    turn = F.expr("(paid_out > paid_in and charged_in >= charged_out)")
+    return n.withColumn("flip", F.when(keep, False).when(turn, True).otherwise(F.expr("charged_out <= charged_in")))
 
 
 def parse_amount(text):
@@ -173,8 +212,8 @@ def flag_payment_rows(txns: DataFrame, accounts: DataFrame, words: tuple[str, ..
 
 def index_growth(values: DataFrame, key: str, day: str, value: str, years: int = 10, least_years: int = 3) -> DataFrame:
     """Compound yearly growth of each series over its last ``years`` years; shorter series than ``least_years`` are left out."""
-    last = values.agg(F.max(day).alias("_end"))
-    rows = values.crossJoin(F.broadcast(last)).filter(F.col(day) > F.date_sub("_end", 365 * years))  # one row
+    last = values.groupBy(key).agg(F.max(day).alias("_end"))
+    rows = values.join(last, key).filter(F.col(day) > F.date_sub("_end", 365 * years))
     ends = rows.groupBy(key).agg(F.min(day).alias("first"), F.max(day).alias("last"), F.min_by(value, day).cast("double").alias("a"), F.max_by(value, day).cast("double").alias("b"))
     span = F.datediff("last", "first")
     return ends.filter(span >= 365 * least_years).select(key, "first", "last", F.round(F.pow(F.col("b") / F.col("a"), 365.25 / span) - 1, 9).alias("growth"))

@@ -144,3 +144,8 @@ def spend_chart(txns: DataFrame, accounts: DataFrame, rates: DataFrame, base: st
     rated = rate_nearest(cells, rates, "currency", "base", "month_end")
     cents = F.round(F.col("spent").cast("double") * F.coalesce("fx_rate", F.lit(1.0)) * 100).cast("long")
     return rated.groupBy("month_end", "category_id").agg(F.sum(cents).alias("cents"), F.count_if(F.col("fx_rate").isNull()).alias("n_unconverted"))
+
+
+def effective_amount():
+    """The amount in base if there is one, else the native one."""
+    return F.coalesce("amount_base", "amount_native")

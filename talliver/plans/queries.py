@@ -387,16 +387,26 @@ WHERE 1.0::DOUBLE - CAST(levenshtein(a.description, b.description) AS DOUBLE) /
     "feed",
 )
 def j9_near_duplicates(led):
-    return pairs.near_duplicates(led.feed)
+    return pairs.near_duplicates(led.feed, similarity=lambda a, b: text.ratio_by_edits(F.lower(a), F.lower(b)))
+
+
+_WORDS = "[" + ", ".join(f"'{w}'" for w in pairs.TRANSFER_WORDS) + "]"
 
 
 @query(
-    """SELECT o.txn_id AS out_id, i.txn_id AS in_id, CAST(abs(date_diff('day', CAST(o.ts AS DATE), CAST(i.ts AS DATE))) AS INTEGER) AS gap
-FROM feed o JOIN feed i ON o.household_id = i.household_id AND o.account_id <> i.account_id AND o.amount < 0 AND i.amount > 0 AND abs(o.amount + i.amount) <= 0.01 AND abs(date_diff('day', CAST(o.ts AS DATE), CAST(i.ts AS DATE))) <= 3""",
-    "feed",
+    f"""WITH w AS (SELECT DISTINCT txn_id, unnest(string_split_regex(regexp_replace(lower(description), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')) AS token FROM moves), l AS (SELECT DISTINCT token FROM w WHERE txn_id % 97 = 10 AND length(token) >= 4 AND token NOT IN ('that', 'this', 'with', 'from')),
+m AS (SELECT *, CAST(ts AS DATE) AS day, len(list_filter({_WORDS}, lambda x: contains(lower(description), x))) AS hits, txn_id IN (SELECT txn_id FROM w JOIN l USING (token)) AS known FROM moves WHERE txn_id % 13 <> 0),
+p AS (SELECT o.txn_id AS out_id, i.txn_id AS in_id, CAST(abs(date_diff('day', o.day, i.day)) AS INTEGER) AS gap, least(0.5::DOUBLE, (o.hits + i.hits) * 0.15::DOUBLE + CASE WHEN o.known OR i.known THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS text, CAST(o.is_transfer AS INTEGER) + CAST(i.is_transfer AS INTEGER) AS flags
+ FROM m o JOIN m i ON o.household_id = i.household_id AND o.account_id <> i.account_id AND o.amount < 0 AND i.amount > 0 AND abs(o.amount + i.amount) <= 0.01 AND abs(date_diff('day', o.day, i.day)) <= 3)
+SELECT out_id, in_id, gap, CAST(round(CAST(least(1.0::DOUBLE, 0.3::DOUBLE * (1 - gap / 4.0::DOUBLE) + 0.4::DOUBLE + 0.15::DOUBLE * text + 0.15::DOUBLE * flags) AS DECIMAL(12,9)), 3) AS DOUBLE) AS score FROM p WHERE NOT (out_id % 5 = 0 AND in_id % 2 = 0)""",
+    "moves",
 )
 def j6_detect_transfers(led):
-    return pairs.detect_transfers(led.feed, "household_id").select("out_id", "in_id", "gap")
+    token = F.explode(F.split(F.regexp_replace(F.lower("description"), r"[^a-z0-9\s]", " "), r"\s+")).alias("token")
+    learned = led.moves.filter("txn_id % 97 = 10").select(token).filter(F.length("token") >= 4)
+    linked = led.moves.filter("txn_id % 13 = 0").select("txn_id")
+    found = pairs.detect_transfers(led.moves, "household_id", learned=learned, linked=linked)
+    return found.filter("not (out_id % 5 = 0 and in_id % 2 = 0)")
 
 
 _FLOWS = f"fl AS (SELECT a.account_id AS from_account, b.account_id AS to_account, count(*) AS n, CAST(sum(abs(a.amount)) AS {M}) AS total FROM feed a JOIN feed b ON b.txn_id = a.txn_id + 1 WHERE a.amount < 0 AND b.amount > 0 AND a.account_id <> b.account_id GROUP BY 1, 2)"
@@ -448,7 +458,7 @@ def x1_x2_x5_text_keys(led):
 
 
 @query(
-    """WITH r AS (SELECT txn_id, account_id, raw_data, row_number() OVER (PARTITION BY account_id, raw_data ORDER BY txn_id) - 1 AS repeat FROM feed)
+    """WITH f AS (SELECT txn_id, account_id, array_to_string(list_transform(list_sort(json_keys(raw_data)), lambda k: concat(k, '=', json_extract_string(raw_data, concat('$.', k)))), chr(30)) AS raw_data FROM feed), r AS (SELECT txn_id, account_id, raw_data, row_number() OVER (PARTITION BY account_id, raw_data ORDER BY txn_id) - 1 AS repeat FROM f)
 SELECT txn_id, CAST(repeat AS INTEGER) AS repeat, sha256(concat(account_id, chr(31), raw_data, chr(31), repeat)) AS hash FROM r""",
     "feed",
 )
@@ -472,9 +482,14 @@ def j20_recover_deleted(led):
     return jobs.recover_deleted(led.feed.filter("txn_id % 4 = 2"), led.feed.filter("txn_id % 6 = 0")).select("txn_id", "account_id", "amount")
 
 
-@query("SELECT import_batch_id, count(*) FILTER (amount < 0) AS n_negative, count(*) FILTER (amount > 0) AS n_positive, count(*) FILTER (amount > 0) > count(*) FILTER (amount < 0) AS flip FROM feed GROUP BY 1", "feed")
+@query(
+    """WITH m AS (SELECT import_batch_id, amount, regexp_matches(lower(description), 'payment|autopay|auto pay|thank you|pymt|online pmt|direct debit|bill pay') AS paid FROM moves),
+n AS (SELECT import_batch_id, count(*) FILTER (paid AND amount > 0) AS paid_in, count(*) FILTER (paid AND amount < 0) AS paid_out, count(*) FILTER (NOT paid AND amount > 0) AS charged_in, count(*) FILTER (NOT paid AND amount < 0) AS charged_out FROM m GROUP BY 1)
+SELECT *, CASE WHEN paid_in > paid_out AND charged_out >= charged_in THEN false WHEN paid_out > paid_in AND charged_in >= charged_out THEN true ELSE charged_out <= charged_in END AS flip FROM n""",
+    "moves",
+)
 def i6_liability_sign_flip(led):
-    return jobs.liability_sign_flip(led.feed)
+    return jobs.liability_sign_flip(led.moves)
 
 
 @query("SELECT account_id, val_date, max_by(value, valuation_id) AS value, max(valuation_id) AS valuation_id FROM valuations GROUP BY 1, 2", "valuations")
@@ -680,23 +695,28 @@ def f3_uncategorised(led):
     return spend.uncategorised(txns, labelled).select("txn_id", "account_id")
 
 
-@query("SELECT strftime(ts, '%Y-%m') AS month FROM transactions WHERE amount < 0 UNION SELECT strftime(ts, '%Y-%m') FROM transactions WHERE amount > 100000", "transactions")
+@query(
+    "SELECT strftime(ts, '%Y-%m') AS month FROM transactions JOIN splits USING (txn_id) WHERE counts_as_true_spend UNION SELECT strftime(ts, '%Y-%m') FROM transactions WHERE amount > 0 AND NOT is_transfer",
+    "transactions splits",
+)
 def u4_months_union(led):
+    """Months with spend or with income."""
     month = F.date_format("ts", "yyyy-MM").alias("month")
-    return led.transactions.filter("amount < 0").select(month).union(led.transactions.filter("amount > 100000").select(month)).distinct()
+    spent = led.transactions.join(led.splits.filter("counts_as_true_spend").select("txn_id"), "txn_id", "left_semi").select(month)
+    return spent.union(led.transactions.filter("amount > 0 and not is_transfer").select(month)).distinct()
 
 
 @query(
-    "SELECT txn_id, t.account_id, is_transfer OR (amount > 0 AND NOT is_asset AND regexp_matches(lower(description), '1|payment')) AS is_transfer FROM transactions t JOIN accounts USING (account_id)",
-    "transactions accounts",
+    "SELECT txn_id, account_id, is_transfer OR (amount > 0 AND NOT is_asset AND regexp_matches(lower(description), 'payment|pymt|pmt|autopay|auto pay|thank you')) AS is_transfer FROM moves",
+    "moves",
 )
 def f7_flag_payment_rows(led):
-    # The synthetic texts hold no payment word, so a digit stands for one.
-    return jobs.flag_payment_rows(led.transactions, led.accounts, ("1", "payment"))
+    owned = led.moves.select("account_id", "is_asset").distinct()
+    return jobs.flag_payment_rows(led.moves.drop("is_asset"), owned)
 
 
 @query(
-    """WITH r AS (SELECT * FROM rates WHERE rate_date > (SELECT max(rate_date) FROM rates) - 3650), g AS (SELECT base_currency, min(rate_date) AS first, max(rate_date) AS last, CAST(arg_min(rate, rate_date) AS DOUBLE) AS a, CAST(arg_max(rate, rate_date) AS DOUBLE) AS b FROM r GROUP BY 1)
+    """WITH r AS (SELECT * FROM rates JOIN (SELECT base_currency, max(rate_date) AS newest FROM rates GROUP BY 1) USING (base_currency) WHERE rate_date > newest - 3650), g AS (SELECT base_currency, min(rate_date) AS first, max(rate_date) AS last, CAST(arg_min(rate, rate_date) AS DOUBLE) AS a, CAST(arg_max(rate, rate_date) AS DOUBLE) AS b FROM r GROUP BY 1)
 SELECT base_currency, first, last, round(pow(b / a, 365.25 / date_diff('day', first, last)) - 1, 9) AS growth FROM g WHERE date_diff('day', first, last) >= 1095""",
     "rates",
 )

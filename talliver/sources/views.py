@@ -22,7 +22,7 @@ VIEWS = {
  CAST(CASE WHEN o.o_orderstatus='F' THEN o.o_totalprice ELSE -o.o_totalprice END AS DECIMAL(18,2)) AS amount,
  CAST(substr(o.o_orderpriority,1,1) AS BIGINT) AS category_id, o.o_orderkey % 4 AS import_batch_id,
  o.o_orderpriority = '1-URGENT' AS is_transfer
- FROM {orders} o JOIN {part} p ON p.p_partkey = o.o_custkey % 200""",
+ FROM {orders} o JOIN {part} p ON p.p_partkey = o.o_custkey % 200 AND p.p_partkey < 200""",
     "running": """SELECT o_orderkey AS txn_id, o_custkey AS account_id, o_orderdate AS ts,
  CASE WHEN o_orderkey % 3 <> 0 THEN SUM(CAST(CASE WHEN o_orderstatus='F' THEN o_totalprice ELSE -o_totalprice END AS DECIMAL(18,2)))
   OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) END AS balance_after FROM {orders}""",
@@ -39,6 +39,17 @@ VIEWS = {
  CAST(CASE WHEN event_type IN ('purchase','error') THEN -(floor(value/25)*25+25) ELSE floor(value/25)*25+25 END AS DECIMAL(18,2)) AS amount,
  concat(event_type, ' ref ', CAST(1000 + event_id % 5 AS VARCHAR(8))) AS description,
  event_id % 3 AS import_batch_id, props AS raw_data FROM {events}""",
+    # The events again, under texts that the rules look for.
+    "moves": """SELECT event_id AS txn_id, user_id AS account_id, CAST(floor(user_id / 3) AS BIGINT) AS household_id, user_id % 3 AS user_id, ts,
+ CAST(CASE WHEN event_type IN ('purchase','error') THEN -(floor(value/25)*25+25) ELSE floor(value/25)*25+25 END AS DECIMAL(18,2)) AS amount,
+ concat(CASE event_id % 10 WHEN 0 THEN 'Online Transfer to savings' WHEN 1 THEN 'ACH PAYMENT thank you' WHEN 2 THEN 'Card purchase LIDL' WHEN 3 THEN 'Uber Eats order'
+  WHEN 4 THEN 'Zelle from J Smith' WHEN 5 THEN 'NETFLIX.COM 2024-01-02' WHEN 6 THEN 'Direct Debit council tax' WHEN 7 THEN 'Salary ACME LTD'
+  WHEN 8 THEN 'Payment Thank You Bill Pay Service' ELSE 'Payment Thank You Bill Pa' END,
+  CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' ref ', CAST(1000 + event_id % 3 AS VARCHAR(8))) WHEN 2 THEN ' IPB2603183152823' ELSE ' #42' END) AS description,
+ event_id % 3 AS import_batch_id, event_id % 7 = 0 AS is_transfer, event_id % 5 AS category_id, user_id % 2 = 0 AS is_asset, props AS raw_data FROM {events}""",
+    "dues": """SELECT s_suppkey AS payment_id, CAST(s_suppkey AS BIGINT) AS account_id,
+ CASE s_suppkey % 4 WHEN 0 THEN 'ACH payment' WHEN 1 THEN 'Direct debit council tax' WHEN 2 THEN 'Netflix.com' ELSE 'Payment thank you bill pay' END AS description,
+ CAST(-(s_suppkey % 4 * 25 + 25) AS DECIMAL(18,2)) AS amount, date_add(DATE '2024-01-05', CAST(s_suppkey % 20 AS INT)) AS next_due, s_suppkey % 3 * 10 AS last_text FROM {supplier}""",
     "trades": """SELECT o.o_custkey AS account_id, l.l_partkey AS instrument_id, l.l_shipdate AS trade_ts,
  CAST(CASE WHEN l.l_returnflag='R' THEN -l.l_quantity ELSE l.l_quantity END AS DECIMAL(18,6)) AS quantity,
  CAST(l.l_extendedprice AS DECIMAL(18,2)) AS proceeds FROM {lineitem} l JOIN {orders} o ON o.o_orderkey=l.l_orderkey""",
@@ -71,5 +82,6 @@ def oracle(sql: str, *names: str) -> str:
     """``sql`` after the named views, for the oracle, where base tables are views themselves."""
     parts = [f"{n} AS ({VIEWS[n].format(**{b: b for b in _BASE})})" for n in names]
     body = sql.strip()
-    head = "WITH " + ",\n".join(parts)
-    return f"{head},\n{body[5:].strip()}" if body.upper().startswith("WITH ") else f"{head}\n{body}"
+    start = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+    head = start + ",\n".join(parts)
+    return f"{head},\n{body[len(start) :].strip()}" if body.upper().startswith("WITH ") else f"{head}\n{body}"

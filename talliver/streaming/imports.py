@@ -43,7 +43,10 @@ def import_batch(batch: DataFrame, batch_id: int, ledger_path: str, deleted: Dat
     spark = batch.sparkSession
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FEED.fields) + ", hash string, batch long"
     ledger = _stored(spark, ledger_path, kind).filter(F.col("batch") != batch_id)
-    rows = batch.dropDuplicates(["txn_id"])
+    # Rows without id are rows of their own.
+    rows = batch.filter("txn_id is not null").dropDuplicates(["txn_id"])
+    nameless = batch.filter("txn_id is null").withColumn("txn_id", F.expr("-abs(xxhash64(account_id, ts, description, amount, raw_data)) - 1"))
+    rows = rows.unionByName(nameless)
     fresh = dedupe_against_ledger(rows, ledger, deleted).filter("outcome = 'imported'").select("txn_id")
     out = rows.join(fresh, "txn_id", "left_semi").join(fingerprints(rows).select("txn_id", "hash"), "txn_id")
     out.select(*FEED.names, "hash").write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
