@@ -14,20 +14,19 @@ Everything else runs over all rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talliver.llm.common import table, texts_of, with_text
+from talliver.llm.common import table
 from talliver.llm.textkernels import ALNUM, Words, mix, slices
 
 #: Texts of the sample: of each label, and in all; bytes of their texts in all (a text of over a 64th of that is not taken).
 PER_LABEL, MAX_SAMPLE, SAMPLE_BYTES = 250, 4000, 64 << 20
-#: Bytes of text handled at once: forward-backward steps through the words of a slice's longest text.
-SLICE = 1 << 20
 #: Hashed features, and steps of the fit.
 FEATURES, STEPS, BATCH, LENGTH = 1 << 16, 250, 256, 24
 #: A word is in a label's lexicon if it was seen so often, and with this label in such a share.
@@ -202,41 +201,58 @@ def word_posteriors(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]
     return post / post.sum(axis=1, keepdims=True), lettered[number]
 
 
-def _predict(shared, text_col: str):
+def _judge(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Label and score of each text."""
+    n, rows = len(model.labels), len(column)
+    words = Words(column, ALNUM, lower=True)
+    label, score = ["und"] * rows, np.zeros(rows)
+    raw = words.raw
+    ascii_letter = np.concatenate([[0], np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122))])
+    beyond = np.concatenate([[0], np.cumsum(raw >= 128)])
+    lo, hi = words.offsets[:-1], words.offsets[1:]
+    letters = ascii_letter[hi] > ascii_letter[lo]
+    for i in np.flatnonzero(~letters & (beyond[hi] > beyond[lo])):
+        letters[i] = any(c.isalpha() for c in column[int(i)].as_py())
+    sums = np.zeros((rows, n))
+    if n:
+        post, lettered = word_posteriors(model, words)
+        doc = words.doc[lettered]
+        for c in range(n):
+            sums[:, c] = np.bincount(doc, post[lettered, c], rows)
+    total = sums.sum(axis=1)
+    for i in np.flatnonzero(letters) if n else ():
+        share = sums[i] / total[i] if total[i] > 0 else np.full(n, 1 / n)
+        best = int(share.argmax())
+        label[i], score[i] = model.labels[best], min(1.0, float(share[best]))
+    return label, score
+
+
+def _predict(shared):
     def run(batches):
-        model: Model = shared.value
-        n = len(model.labels)
-        for whole in with_text(batches, text_col):
-            for batch in slices(whole, limit=SLICE):
-                words = Words(batch.column("text"), ALNUM, lower=True)
-                label, score = [None] * batch.num_rows, np.zeros(batch.num_rows)
-                raw = words.raw
-                ascii_letter = np.concatenate([[0], np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122))])
-                beyond = np.concatenate([[0], np.cumsum(raw >= 128)])
-                lo, hi = words.offsets[:-1], words.offsets[1:]
-                letters = ascii_letter[hi] > ascii_letter[lo]
-                for i in np.flatnonzero(~letters & (beyond[hi] > beyond[lo])):
-                    letters[i] = any(c.isalpha() for c in batch.column("text")[int(i)].as_py())
-                sums = np.zeros((batch.num_rows, n))
-                if n:
-                    post, lettered = word_posteriors(model, words)
-                    doc = words.doc[lettered]
-                    for c in range(n):
-                        sums[:, c] = np.bincount(doc, post[lettered, c], batch.num_rows)
-                total = sums.sum(axis=1)
-                for i in range(batch.num_rows):
-                    if letters[i] and n:
-                        share = sums[i] / total[i] if total[i] > 0 else np.full(n, 1 / n)
-                        best = int(share.argmax())
-                        label[i], score[i] = model.labels[best], min(1.0, float(share[best]))
-                    else:
-                        label[i] = "und"
-                keep = [c for c in batch.schema.names if c != "text"]
-                yield pa.record_batch([*[batch.column(c) for c in keep], pa.array(label, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+        for whole in batches:
+            for batch in slices(whole):
+                label, score = _judge(shared.value, batch.column("text"))
+                yield pa.record_batch([batch.column("doc_id"), pa.array(label, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def language_of(text: Column, model: Model) -> Column:
+    """(lang_pred, score) of a text column, beside the row's other columns, which stay where they are."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            label, score = [], []
+            for batch in slices(pa.record_batch([whole], ["text"])):
+                x, y = _judge(shared.value, batch.column("text"))
+                label += x
+                score.append(y)
+            yield pa.StructArray.from_arrays([pa.array(label, pa.string()), pa.array(np.concatenate([*score, np.zeros(0)]))], ["lang_pred", "score"])
+
+    return F.arrow_udf(judge, "lang_pred string, score double")(text)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL) -> Model:
     """Fit on labelled rows whose crc32(id) mod 3 is not 1.
 
@@ -261,15 +277,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score for each input row (and the row itself as a struct, if ``carry``).
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score for each input row.
 
     A null text or one without a letter is ``und`` with score 0; so is every
     text if the model has no label.  Ties go to the smaller label.  Repeated
     rows are judged each; other columns are never read.
     """
-    texts, schema = texts_of(docs, id_col, text_col, carry, "lang_pred string, score double")
-    return texts.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col), schema)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from talliver.llm.textkernels import SPACE, Words, sequence_hash, slices, window
 #: Order of posted shingles only: at most so many frequent shingles are ranked, and so often a task must see one.
 FREQUENT, SEEN = 500_000, 3
 #: Tokens that a task counts at once when it looks for frequent shingles.
-COUNTED = 1_000_000
+COUNTED = 500_000
 #: Nodes that a task remembers, so as not to send exact copies twice.
 REMEMBERED = 1 << 20
 #: A shingle that more nodes post is wide.
@@ -221,9 +221,9 @@ def _bounded(num: int, den: int):
 
 
 def _runs(batches, key: list[str], names: list[str]):
-    """Sorted rows as columns (lists) of each run of equal keys, and whether its batch ends there."""
+    """Sorted rows as columns (lists) of each run of equal keys."""
     at, rows = None, {c: [] for c in names}
-    for batch in batches:
+    for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
         keys = list(zip(*[batch.column(c).to_pylist() for c in key], strict=True))
         cols = {c: batch.column(c).to_pylist() for c in names}
         start = 0

@@ -287,9 +287,10 @@ def test_language_id(spark, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs, per_label=60)
     held = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
-    joined = language_id.identify(held, model, carry=True).collect()
-    assert np.mean([r["row"]["lang"] == r["lang_pred"] for r in joined]) > 0.97
-    assert all(0 <= r["score"] <= 1 for r in joined)
+    joined = held.select("doc_id", "lang", language_id.language_of(F.col("text"), model).alias("found")).collect()
+    assert np.mean([r["lang"] == r["found"]["lang_pred"] for r in joined]) > 0.97
+    assert all(0 <= r["found"]["score"] <= 1 for r in joined)
+    same([(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(held, model).collect()], [(r["doc_id"], r["found"]["lang_pred"], round(r["found"]["score"], 9)) for r in joined])
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !!"), (4, "— … 12"), (5, "the"), (None, "der und"), (5, "the")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["lang_pred"] == "und") for r in language_id.identify(odd, model).collect())
     assert got == [("1", True), ("2", True), ("3", True), ("4", True), ("5", False), ("5", False), ("None", False)]
