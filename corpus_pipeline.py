@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from talliver.llm.byte_bpe import token_digests
 from talliver.llm.common import cut, node_filter, only, table
 from talliver.llm.decontaminate import contamination
-from talliver.llm.language_id import identify, train
+from talliver.llm.language_id import language_of, train
 from talliver.llm.ngram_join import jaccard_components
 from talliver.llm.secret_scan import scan_secrets
 
@@ -23,8 +23,7 @@ MASK = "[secret]"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (null text, no letter) go."""
-    found = identify(docs, train(docs), carry=True)
-    return found.filter("lang_pred <> 'und'").select("row.*")
+    return docs.filter(language_of(F.col("text"), train(docs))["lang_pred"] != "und")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
