@@ -86,21 +86,31 @@ FILTER_WORDS = 1 << 20
 
 
 def node_filter(nodes: DataFrame, column: str):
-    """A broadcast bit filter over a long column: 64 * FILTER_WORDS bits, 8 MB at any input size.
+    """A broadcast bit filter over a long column: 64 * FILTER_WORDS bits, 8 MB at any input size, less where few are set.
 
     Lets through every value of ``nodes`` and some others; what passes is
-    always joined exactly afterwards.
+    always joined exactly afterwards.  Destroy it when its last reader is done.
     """
     slot = F.col(column).bitwiseAND(FILTER_WORDS * 64 - 1)
     packed = nodes.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63L as int))")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_WORDS, np.uint64)
-    bits[packed["w"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
-    return nodes.sparkSession.sparkContext.broadcast(bits)
+    at, bits = packed["w"].to_numpy(), packed["bits"].to_numpy().view(np.uint64)
+    if 4 * len(at) < FILTER_WORDS:
+        by = np.argsort(at)
+        return nodes.sparkSession.sparkContext.broadcast((np.append(at[by], FILTER_WORDS), np.append(bits[by], np.uint64(0))))
+    dense = np.zeros(FILTER_WORDS, np.uint64)
+    dense[at] = bits
+    return nodes.sparkSession.sparkContext.broadcast((None, dense))
 
 
-def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+def passes(bits: tuple[np.ndarray | None, np.ndarray], values: np.ndarray) -> np.ndarray:
     slot = values & (FILTER_WORDS * 64 - 1)
-    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
+    words, held = bits
+    if words is None:
+        mine = held[slot >> 6]
+    else:
+        at = np.searchsorted(words, slot >> 6)
+        mine = np.where(words[at] == slot >> 6, held[at], np.uint64(0))
+    return (mine >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
 def only(bits, column: str, passing: bool = True):

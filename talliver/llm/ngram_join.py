@@ -471,9 +471,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     posted = texts.mapInArrow(_tokens(k, num, den, order), "token long")
     shared = cut(posted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
-    members = texts.mapInArrow(_postings(k, num, den, order, node_filter(shared, "token")), "token long, node long, n int, small boolean").join(shared, "token").distinct()
+    bits = node_filter(shared, "token")
+    members = texts.mapInArrow(_postings(k, num, den, order, bits), "token long, node long, n int, small boolean").join(shared, "token").distinct()
     members = cut(members.withColumn("own", _band(_limits(num, den))), "members")
     discard(shared)
+    order.destroy()
+    bits.destroy()
     groups = _candidates(members, sigs, num, den)
     discard(members)
 
@@ -482,6 +485,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted, ids = node_filter(near, "node"), node_filter(near.select(F.col("low").alias("id")).dropna(), "id")
     sets = texts.mapInArrow(_exact_sets(k, ids, wanted), "node long, tokens binary").join(near.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets, "sets")
+    wanted.destroy()
+    ids.destroy()
     total = cut(near.groupBy("comp").agg(((F.count("*") <= TILE) & (F.sum("n") <= TILE_TOKENS)).alias("whole")), "groups")
     near = near.join(total, "comp").select("comp", "node", "weight", "n", "whole")
     once = near.filter("whole").drop("whole").withColumns({"band": F.lit(0), "lower": F.lit(None).cast("boolean"), "i": F.lit(0), "j": F.lit(0)})

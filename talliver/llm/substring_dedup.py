@@ -237,9 +237,11 @@ def repeated_spans(texts: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """
     counted = texts.select("fp", "text").mapInArrow(_posted(k), "m long, fp long")
     shared = cut(counted.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "shared")
-    rows = texts.select("fp", "text").mapInArrow(_posted(k, node_filter(shared, "m")), "m long, fp long")
+    bits = node_filter(shared, "m")
+    rows = texts.select("fp", "text").mapInArrow(_posted(k, bits), "m long, fp long")
     hits = rows.join(shared, "m").distinct().groupBy("fp").agg(F.collect_set("m").alias("ms"))
     hits = cut(hits.join(reps, "fp"), "hits")
+    bits.destroy()
     found = texts.mapInArrow(only(node_filter(hits, "id"), "id"), texts.schema).join(hits, ["fp", "id"]).select("id", "fp", "text", "ms")
     blocks = cut(found.mapInArrow(_blocks(k), "m long, bh long, id long, fp long, s int, nw int, nb long, hs binary"), "blocks")
     discard(shared, hits)
