@@ -404,3 +404,16 @@ def secret_scan_is_clean(text):
     import re
 
     return not any(re.search(r.pattern, text, re.ASCII) for r in secret_scan.ALL_RULES if r.name != "hex") and not re.search("[0-9a-f]{16}", text)
+
+
+@pytest.mark.parametrize("words", [1 << 20, 64])
+def test_bit_filter_lets_every_value_through(spark, monkeypatch, words):
+    """Few set bits are held sparsely, many densely."""
+    from talliver.llm import common
+
+    monkeypatch.setattr(common, "FILTER_WORDS", words)
+    values = [(x,) for x in (0, -1, 5, 2**62, -(2**63), *range(100, 9000, 3))]
+    bits = common.node_filter(spark.createDataFrame(values, "node long"), "node").value
+    assert (bits[0] is None) == (words == 64)
+    assert common.passes(bits, np.array([v for v, in values])).all()
+    assert words == 64 or not common.passes(bits, np.array([1, 2, 3, 101, 2**61 + 7])).any()
