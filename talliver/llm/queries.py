@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talliver.llm import topk_search, url_filter
+from talliver.llm import oracles, topk_search, url_filter
 from talliver.llm.byte_bpe import op9_byte_bpe
 from talliver.llm.chat_format import op10_preference_format
 from talliver.llm.decontaminate import op6_benchmark_decontamination
@@ -27,4 +27,12 @@ QUERIES = {
         op10_preference_format,
     )
 }
-ORACLES = {"op4_exact_topk": topk_search.ORACLE, "op7_url_filter": url_filter.ORACLE}
+ORACLES = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op2_secret_scan": oracles.SECRETS,
+    "op3_substring_dedup": oracles.SUBSTRINGS,
+    "op4_exact_topk": topk_search.ORACLE,
+    "op6_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op7_url_filter": url_filter.ORACLE,
+    "op10_preference_format": oracles.PREFERENCES,
+}
