@@ -149,3 +149,8 @@ def balance_sheet(found: DataFrame) -> DataFrame:
     sums = rows.groupBy("as_of", "side", "type_group").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
     sides = sums.groupBy("as_of", "side").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents")).withColumn("type_group", F.lit(None).cast("string"))
     return sums.unionByName(sides).select("as_of", "side", "type_group", "n", F.abs("cents").alias("total"))
+
+
+def household_totals(found: DataFrame) -> DataFrame:
+    """``household_snapshot`` with assets, liabilities and net, in cents of base."""
+    return net_worth(found).drop("n_accounts", "n_stale").join(household_snapshot(found), ["user_id", "as_of"])

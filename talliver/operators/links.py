@@ -79,3 +79,10 @@ def payment_breakdown(found: DataFrame, since: str) -> DataFrame:
     """(account_id, n, principal, interest, escrow) of the payments since a day."""
     rows = found.filter(F.to_date("ts") >= F.lit(since).cast("date"))
     return rows.groupBy("account_id").agg(F.count("*").alias("n"), *[F.sum(c).cast(MONEY).alias(c) for c in COMPONENTS])
+
+
+def interest_to_date(found: DataFrame, as_of: str) -> DataFrame:
+    """(account_id, interest) paid since 1 January of the year of a day."""
+    day = F.lit(as_of).cast("date")
+    rows = found.filter(F.to_date("ts").between(F.trunc(day, "year"), day))
+    return rows.groupBy("account_id").agg(F.sum("interest").cast(MONEY).alias("interest"))

@@ -88,3 +88,23 @@ def accrue_interest(txns: DataFrame, rates: DataFrame, through: str, posted: Dat
 
     rows = folded.select("account_id", F.explode(F.aggregate("months", start, step)["out"]).alias("r"))
     return rows.select("account_id", "r.month", "r.interest").filter("interest <> 0")
+
+
+def trailing_average(payments: DataFrame, txns: DataFrame, as_of: str, months: int = 6, similarity=text_similarity, least: float = 0.6) -> DataFrame:
+    """(payment_id, n, amount): the mean of an account's rows of a payment's sign that look like it, over the last months; its own amount if fewer than two do.
+
+    A row looks like a payment if their keys are equal or their texts are
+    alike.  Rows meet as sums of equal texts, so repeated texts are compared once.
+    """
+    day = F.lit(as_of).cast("date")
+    rows = txns.filter((F.to_date("ts") >= F.date_sub(day, int(months * 30.5))) & ~F.col("is_transfer") & (F.col("amount") != 0))
+    rows = rows.withColumn("up", F.col("amount") > 0).withColumn("text", F.lower(F.coalesce("description", F.lit(""))))
+    sums = rows.groupBy("account_id", "up", "text").agg(F.sum("amount").alias("total"), F.count("*").alias("c"))
+    owed = payments.select("payment_id", "account_id", F.col("amount").alias("due"), (F.coalesce("amount", F.lit(0)) >= 0).alias("up"), F.lower(F.coalesce("description", F.lit(""))).alias("due_text"))
+    pairs = owed.join(sums, ["account_id", "up"])
+    same = grouping_key(F.col("text")) == grouping_key(F.col("due_text"))
+    alike = pairs.withColumn("same", same).withColumn("like", F.when(F.col("same"), 1.0).otherwise(similarity(F.col("text"), F.col("due_text")))).filter(F.col("like") >= least)
+    means = alike.groupBy("payment_id").agg(F.sum("c").alias("n"), F.sum("total").alias("total"))
+    out = payments.select("payment_id", "amount").join(means, "payment_id", "left")
+    mean = F.round(F.col("total").cast("double") / F.col("n"), 2).cast("decimal(38,2)")
+    return out.select("payment_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("n") >= 2, mean).otherwise(F.col("amount").cast("decimal(38,2)")).alias("amount"))

@@ -149,3 +149,9 @@ def spend_chart(txns: DataFrame, accounts: DataFrame, rates: DataFrame, base: st
 def effective_amount():
     """The amount in base if there is one, else the native one."""
     return F.coalesce("amount_base", "amount_native")
+
+
+def page_with_total(txns: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page of the rows, newest first, each with the number of all rows."""
+    total = txns.agg(F.count("*").alias("total"))
+    return page(txns, offset, limit).crossJoin(F.broadcast(total))  # one row

@@ -50,6 +50,19 @@ VIEWS = {
     "dues": """SELECT s_suppkey AS payment_id, CAST(s_suppkey AS BIGINT) AS account_id,
  CASE s_suppkey % 4 WHEN 0 THEN 'ACH payment' WHEN 1 THEN 'Direct debit council tax' WHEN 2 THEN 'Netflix.com' ELSE 'Payment thank you bill pay' END AS description,
  CAST(-(s_suppkey % 4 * 25 + 25) AS DECIMAL(18,2)) AS amount, date_add(DATE '2024-01-05', CAST(s_suppkey % 20 AS INT)) AS next_due, s_suppkey % 3 * 10 AS last_text FROM {supplier}""",
+    "snapshots": """SELECT event_id AS snapshot_id, user_id AS account_id, CAST(ts AS DATE) AS statement_date,
+ CAST(value*100 AS DECIMAL(18,2)) AS balance FROM {events} WHERE event_type='click'""",
+    "paychecks": """SELECT event_id AS paycheck_id, user_id AS account_id, CAST(ts AS DATE) AS pay_date, CAST(value*100 AS DECIMAL(18,2)) AS gross,
+ CAST(floor(value*20) AS DECIMAL(18,2)) AS taxes, CAST(floor(value*5) AS DECIMAL(18,2)) AS retirement, CAST(floor(value*3) AS DECIMAL(18,2)) AS benefits FROM {events} WHERE event_type='purchase'""",
+    "doc_lines": """SELECT l_orderkey AS document_id, l_linenumber AS line_no,
+ CASE l_suppkey % 4 WHEN 0 THEN 'income' WHEN 1 THEN 'expense' WHEN 2 THEN 'transfer' ELSE 'liability' END AS kind,
+ CAST(CASE WHEN l_suppkey % 4 = 0 OR l_suppkey % 8 = 3 THEN l_extendedprice ELSE -l_extendedprice END AS DECIMAL(18,2)) AS amount FROM {lineitem}""",
+    "members": """SELECT l_orderkey AS group_id, l_linenumber AS member_no,
+ CASE l_suppkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'JPY' END AS currency,
+ CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE -l_extendedprice END AS DECIMAL(18,2)) AS amount,
+ CASE WHEN l_partkey % 5 = 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS amount_base, l_linenumber = 4 AS is_fee FROM {lineitem}""",
+    "recon_groups": """SELECT o_orderkey AS group_id, 'USD' AS base_currency, CASE o_orderkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'spot_on_group_date' ELSE 'member_rates' END AS fx_treatment,
+ o_orderkey % 2 = 0 AS excludes_fees, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 50000 ELSE 0.01 END AS DECIMAL(18,2)) AS tolerance, CAST(o_orderdate AS DATE) AS as_of FROM {orders}""",
     "trades": """SELECT o.o_custkey AS account_id, l.l_partkey AS instrument_id, l.l_shipdate AS trade_ts,
  CAST(CASE WHEN l.l_returnflag='R' THEN -l.l_quantity ELSE l.l_quantity END AS DECIMAL(18,6)) AS quantity,
  CAST(l.l_extendedprice AS DECIMAL(18,2)) AS proceeds FROM {lineitem} l JOIN {orders} o ON o.o_orderkey=l.l_orderkey""",

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from talliver.plans import matching  # noqa: F401
+from talliver.plans import matching, reporting  # noqa: F401
 from talliver.plans.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
