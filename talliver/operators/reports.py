@@ -85,7 +85,7 @@ def quality_counters(txns: DataFrame, splits: DataFrame, components: DataFrame,
     of_groups = groups.agg(F.count_if((F.col("n_currencies") > 1) & (F.col("n_missing") > 0)).alias("reconciliation_fx_gap"))
     one = counts.crossJoin(of_accounts).crossJoin(of_groups)  # three frames of one row each
     c, some = F.col, lambda name: (F.col(name) > 0).cast("long")
-    zero, share = F.lit(0).cast("long"), F.col("uncategorized") / F.col("total")
+    zero, share = F.lit(0).cast("long"), F.try_divide("uncategorized", "total")
     many, few = (c("unresolved_reconciliation") > OPEN_TRANSFERS_BLOCK).cast("long"), c("unresolved_reconciliation").between(1, OPEN_TRANSFERS_BLOCK).cast("long")
     blocks = F.coalesce(share > UNCATEGORISED_BLOCKS, F.lit(True)).cast("long")
     warns = F.coalesce((share > UNCATEGORISED_WARNS) & (share <= UNCATEGORISED_BLOCKS), F.lit(False)).cast("long")
