@@ -38,13 +38,15 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = F.struct("doc_id", "text_key")
     first = rows.filter("`group` is not null").groupBy("group").agg(F.min(own).alias("first"))
     copies = rows.join(first, "group", "left").groupBy("doc_id", "text_key").agg(F.count("*").alias("c"), F.min(F.coalesce(F.col("first") == own, F.lit(True))).alias("stays"))
-    listed = cut(copies.filter("c > 1 or not stays").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "stays"), "listed")
-    bits = node_filter(listed, "of_id")
+    listed = cut(copies.filter("c > 1 or not stays").select("doc_id", "text_key", "stays"), "listed")
+    bits = node_filter(listed, "doc_id")
     clear = docs.mapInArrow(only(bits, "doc_id", passing=False), docs.schema)
-    same = F.expr("doc_id = of_id and xxhash64(text) = of_key")
-    rest = docs.mapInArrow(only(bits, "doc_id"), docs.schema).join(listed, same, "left").filter("coalesce(stays, true)")
-    once = rest.filter("stays").dropDuplicates(["doc_id", "text"])
-    return clear.unionByName(rest.filter("stays is null").unionByName(once).select(*docs.columns))
+    # Both sides are one struct each, so that no column of the documents can clash with the list's.
+    rows = docs.mapInArrow(only(bits, "doc_id"), docs.schema).select(F.struct("*").alias("row"))
+    same = F.expr("row.doc_id = listed.doc_id and xxhash64(row.text) = listed.text_key")
+    rest = rows.join(listed.select(F.struct("*").alias("listed")), same, "left").filter("coalesce(listed.stays, true)")
+    once = rest.filter("listed.stays").select("row.*").dropDuplicates(["doc_id", "text"])
+    return clear.unionByName(rest.filter("listed.stays is null").select("row.*")).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
