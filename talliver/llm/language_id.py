@@ -256,24 +256,29 @@ def language_of(text: Column, model: Model) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL) -> Model:
     """Fit on labelled rows whose crc32(id) mod 3 is not 1.
 
-    Rows are sampled by a hash of their id: ``per_label`` a label in
-    expectation, MAX_SAMPLE rows and SAMPLE_BYTES of text in all.
+    Distinct rows are sampled by a hash of id, text and label: ``per_label`` a
+    label in expectation, MAX_SAMPLE rows and SAMPLE_BYTES of text in all.
+    Where every drawn text is too long, the shortest text of each label is
+    taken; it is an error if labelled rows exist but none fits.
     """
     side = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
     rows = docs.filter((side != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE).collect()}
+    rows = rows.withColumns({"n": F.octet_length("text"), "draw": F.xxhash64("id", "text", "lang")})
+    sizes = {r[0]: r[1:] for r in rows.groupBy("lang").agg(F.count("*").alias("c"), F.min(F.struct("n", "draw")).alias("least")).orderBy(F.desc("c"), "lang").limit(MAX_SAMPLE).collect()}
     wanted = min(per_label, max(1, MAX_SAMPLE // max(len(sizes), 1)))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.coalesce(*[F.when(F.col("lang") == c, F.lit(min(1.0, wanted / n))) for c, n in sizes.items()]) if sizes else F.lit(0.0)
+    draw = F.pmod("draw", F.lit(1 << 30)).cast("double") / float(1 << 30)
+    share = F.coalesce(*[F.when(F.col("lang") == c, F.lit(min(1.0, wanted / n))) for c, (n, _) in sizes.items()]) if sizes else F.lit(0.0)
     # Lengths first, so that what is fetched is bounded by rows and by bytes.
-    drawn = rows.filter((draw < share) & (F.octet_length("text") <= SAMPLE_BYTES // 64)).withColumn("draw", F.xxhash64("id"))
-    sizes = drawn.select("draw", F.octet_length("text").alias("n")).orderBy("draw", "n").limit(MAX_SAMPLE).toArrow()
-    draws = sizes["draw"].to_numpy()
-    over = np.flatnonzero(np.cumsum(sizes["n"].to_numpy()) > SAMPLE_BYTES)
-    fits = draws[draws < draws[over[0]]] if len(over) else draws
-    sample = drawn.filter(F.col("draw") <= int(fits[-1])).orderBy("draw", F.octet_length("text")).select("id", "text", "lang").limit(MAX_SAMPLE).collect() if len(fits) else []
-    sample.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
+    drawn = rows.filter((draw < share) & (F.col("n") <= SAMPLE_BYTES // 64)).select("draw", "n").distinct().orderBy("draw").limit(MAX_SAMPLE).toArrow()
+    taken = drawn["draw"].to_numpy()[np.cumsum(drawn["n"].to_numpy()) <= SAMPLE_BYTES].tolist()
+    if not taken:
+        shortest = sorted(least for _, least in sizes.values())
+        taken = [x["draw"] for x, total in zip(shortest, np.cumsum([x["n"] for x in shortest]), strict=True) if total <= SAMPLE_BYTES]
+    if sizes and not taken:
+        raise ValueError(f"labelled rows exist, but no text of them has at most {SAMPLE_BYTES} bytes")
+    sample = rows.filter(F.col("draw").isin(taken)).select("id", "text", "lang").dropDuplicates(["id", "text", "lang"]).collect() if taken else []
+    sample.sort(key=lambda r: (r["lang"], r["id"] is None, r["id"], r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

@@ -47,9 +47,13 @@ BASE_RULES = (
 )
 # Further credential formats that their issuers publish.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    # The body goes with its header: to the END line, or to the text's end where there is none.
+    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]{0,24}PRIVATE KEY-----|[\s\S]*)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("dburl", r"(?:postgres|postgresql|mysql|mongodb|redis|amqp)(?:\+[a-z]+)?://[^\x00-\x20:/@]*:[^\x00-\x20/@]+@[^\x00-\x20/@]+"),
 )
 ALL_RULES = BASE_RULES + MORE_RULES
 
