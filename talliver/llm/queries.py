@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talliver.llm import oracles, topk_search, url_filter
+from talliver.llm import collocations, line_dedup, oracles, resampling, topk_search, url_filter
 from talliver.llm.byte_bpe import op9_byte_bpe
 from talliver.llm.chat_format import op10_preference_format
 from talliver.llm.decontaminate import op6_benchmark_decontamination
@@ -25,6 +25,9 @@ QUERIES = {
         op8_language_id,
         op9_byte_bpe,
         op10_preference_format,
+        line_dedup.op11_line_dedup,
+        collocations.op12_phrase_collocations,
+        resampling.op13_importance_resampling,
     )
 }
 ORACLES = {
@@ -35,4 +38,7 @@ ORACLES = {
     "op6_benchmark_decontamination": oracles.DECONTAMINATION,
     "op7_url_filter": url_filter.ORACLE,
     "op10_preference_format": oracles.PREFERENCES,
+    "op11_line_dedup": line_dedup.ORACLE,
+    "op12_phrase_collocations": collocations.ORACLE,
+    "op13_importance_resampling": resampling.ORACLE,
 }

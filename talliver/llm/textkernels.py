@@ -33,8 +33,8 @@ def separator_table(pattern_bytes: bytes) -> np.ndarray:
 SPACE = separator_table(b" \t\n\v\f\r")
 #: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing
 ALNUM = separator_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ class Words:
         raw, offsets = text_buffer(column)
         self.raw, self.offsets = raw, offsets
         n = len(raw)
-        used = _LOWER[raw] if lower else raw
+        used = LOWER[raw] if lower else raw
         inside = separators[used] == 0
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
@@ -142,3 +142,57 @@ def sequence_hash(hashes: np.ndarray) -> np.uint64:
         for j, x in enumerate(hashes):
             total += x * np.uint64(_STEPS[j % 64])
         return mix(np.array([total]))[0]
+
+
+class KeyLines:
+    """Lines of a batch (split at LF) and their keys: stripped of ``spaces``, A-Z in lower case.
+
+    ``hash`` uint64, ``length`` code points and ``doc`` of each key, ``first``
+    the line index where each text begins (n + 1 entries).  A null or empty
+    text is one empty line.
+    """
+
+    def __init__(self, column: pa.Array, spaces: np.ndarray):
+        raw, offsets = text_buffer(column)
+        n = len(raw)
+        feed = np.flatnonzero(raw == 10)
+        # Every text has one line more than feeds; lines of all texts in order.
+        per = np.searchsorted(feed, offsets)
+        self.first = per + np.arange(len(offsets))
+        counts = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        total = int(self.first[-1])
+        starts, ends = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        inner = np.ones(total, bool)
+        inner[self.first[:-1]] = False
+        starts[inner], starts[self.first[:-1]] = feed + 1, offsets[:-1]
+        last = np.ones(total, bool)
+        last[self.first[1:] - 1] = False
+        ends[last], ends[self.first[1:] - 1] = feed, offsets[1:]
+        self.raw, self.low = raw, LOWER[raw]
+        self.starts, self.ends = starts, ends
+        solid = spaces[raw] == 0
+        at = np.flatnonzero(solid)
+        a, b = np.searchsorted(at, starts), np.searchsorted(at, ends)
+        some = b > a
+        self.start, self.end = starts.copy(), starts.copy()
+        self.start[some], self.end[some] = at[a[some]], at[b[some] - 1] + 1
+        points = np.zeros(n + 1, np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
+        self.length = points[self.end] - points[self.start]
+        up, down = _power_tables(n)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+            h = (sums[self.end] - sums[self.start]) * down[self.start]
+            self.hash = mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(_STEPS[41]))
+
+    def key(self, i: int) -> bytes:
+        return self.low[self.start[i] : self.end[i]].tobytes()
+
+    def kept(self, text: int, keep: np.ndarray) -> str:
+        """The lines of a text whose ``keep`` is set."""
+        lo, hi = self.first[text], self.first[text + 1]
+        if keep[lo:hi].all():
+            return self.raw[self.starts[lo] : self.ends[hi - 1]].tobytes().decode()
+        return b"\n".join(self.raw[self.starts[i] : self.ends[i]].tobytes() for i in range(lo, hi) if keep[i]).decode()

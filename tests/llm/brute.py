@@ -107,3 +107,76 @@ def near_items(rows, items, k, span):
                 found.add(str(name))
         out[d] = found
     return out
+
+
+def without_repeated_lines(rows, least=10):
+    """[(n_lines, n_dropped, sha)] of rows (id, text)."""
+    first, docs = {}, {}
+    key = lambda line: line.strip(" \t\n\v\f\r").translate(LOW)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            k = key(line)
+            if d is not None and len(k) >= least:
+                docs.setdefault(k, set()).add(d)
+    first = {k: min(v) for k, v in docs.items() if len(v) > 1}
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if d is None or first.get(key(x), d) == d]
+        out.append((len(lines), len(lines) - len(left), sha("\n".join(left))))
+    return out
+
+
+def collocations(rows, least, longest=5, top=2000, absorbed=100):
+    """[(lang, rank, phrase, a, l, r, n, score)] of rows (lang, text)."""
+    f, n = {}, {}
+    for lang, t in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(LOW)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] = n.get(lang or "und", 0) + len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    key = (lang or "und", *w[i : i + k])
+                    f[key] = f.get(key, 0) + 1
+    cands = {k: a for k, a in f.items() if len(k) > 2 and a >= least}
+    gone = set()
+    for k, a in cands.items():
+        w = k[1:]
+        for m in range(2, len(w)):
+            for i in range(len(w) - m + 1):
+                if 100 * a >= absorbed * f[(k[0], *w[i : i + m])]:
+                    gone.add((k[0], *w[i : i + m]))
+    out = {}
+    for k, a in cands.items():
+        if k not in gone:
+            cuts = [(1000 * a * n[k[0]] // (f[k[: j + 1]] * f[(k[0], *k[j + 1 :])]), j) for j in range(1, len(k) - 1)]
+            score, j = min(cuts)
+            out.setdefault(k[0], []).append((-score, -a, " ".join(k[1:]).encode(), f[k[: j + 1]], f[(k[0], *k[j + 1 :])]))
+    return [(lang, i + 1, p.decode(), -a, x, y, n[lang], -s) for lang, rows in out.items() for i, (s, a, p, x, y) in enumerate(sorted(rows)[:top])]
+
+
+def resampled(rows, items, percent=5, least=20, buckets=10_000):
+    """[(id, n_features, weight, score, rank)] of rows (id, text)."""
+    import math
+    import zlib
+
+    def features(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+        return len(w), [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+    own, target = [features(t) for _, t in rows], [features(t) for t in items]
+    s, t = [0] * buckets, [0] * buckets
+    for side, found in ((s, own), (t, target)):
+        for _, buckets_of in found:
+            for b in buckets_of:
+                side[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    out = []
+    for (d, _), (_, b) in zip(rows, own, strict=True):
+        weight = sum(gain[x] for x in b)
+        u = int(hashlib.sha256(f"42:{d}".encode()).hexdigest()[:8], 16)
+        out.append([d, len(b), weight, None if d is None else weight + math.floor(-1000 * math.log(-math.log((u + 0.5) / 4294967296))), None])
+    usable = sorted((-x[3], x[0], x[1], x[2], i) for i, (x, (n, _)) in enumerate(zip(out, own, strict=True)) if n >= least and x[0] is not None)
+    for rank, (*_, i) in enumerate(usable[: percent * len(usable) // 100]):
+        out[i][4] = rank + 1
+    return [tuple(x) for x in out]
