@@ -31,6 +31,8 @@ PER_LABEL, MAX_SAMPLE, SAMPLE_BYTES = 250, 4000, 64 << 20
 FEATURES, STEPS, BATCH, LENGTH = 1 << 16, 250, 256, 24
 #: A word is in a label's lexicon if it was seen so often, and with this label in such a share.
 LEXICON_SEEN, LEXICON_SHARE = 4, 0.8
+#: Words whose scores a task holds, and words of a segment of forward-backward.
+REMEMBERED, SEGMENT = 1 << 17, 128
 
 
 @dataclass
@@ -171,37 +173,101 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
     return model
 
 
-def word_posteriors(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
+class Emissions:
+    """Emission scores of words, and whether they have a letter; a task computes those of its frequent words once."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.hash, self.lettered = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.score = np.zeros((0, len(model.labels)))
+
+    def of(self, words: Words, unique: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words with sorted hashes ``unique``, first seen at ``where``."""
+        at = np.searchsorted(self.hash, unique)
+        known = np.zeros(len(unique), bool)
+        inside = at < len(self.hash)
+        known[inside] = self.hash[at[inside]] == unique[inside]
+        new = np.flatnonzero(~known)
+        start, end = words.start[where[new]], words.end[where[new]]
+        lettered = _lettered(words, start, end)
+        feats, edges = _features(words.raw, start, end)
+        score = _emissions(self.model.weights, feats, edges, _lexicon_of(self.model.lexicon, self.model.entry, unique[new])).astype(np.float64)
+        score[~lettered] = 0
+        if len(self.hash) + len(new) > REMEMBERED:  # begin anew with what is at hand
+            keep = np.flatnonzero(np.isin(self.hash, unique[known]))
+            self.hash, self.score, self.lettered = self.hash[keep], self.score[keep], self.lettered[keep]
+        place = np.searchsorted(self.hash, unique[new])
+        self.hash = np.insert(self.hash, place, unique[new])
+        self.score = np.insert(self.score, place, score, axis=0)
+        self.lettered = np.insert(self.lettered, place, lettered)
+        at = np.searchsorted(self.hash, unique)
+        return self.score[at], self.lettered[at]
+
+
+def word_posteriors(model: Model, words: Words, held: Emissions | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(posterior by word and label, whether the word has a letter), by forward-backward over each whole text."""
     n = len(model.labels)
     unique, where, number = np.unique(words.hash, return_index=True, return_inverse=True)
-    start, end = words.start[where], words.end[where]
-    lettered = _lettered(words, start, end)
-    feats, edges = _features(words.raw, start, end)
-    emit = _emissions(model.weights, feats, edges, _lexicon_of(model.lexicon, model.entry, unique)).astype(np.float64)
-    emit[~lettered] = 0
+    emit, lettered = (held or Emissions(model)).of(words, unique, where)
     e = np.exp(emit - emit.max(axis=1, keepdims=True))[number] if len(emit) else np.zeros((0, n))
-    a = np.exp(model.transitions - model.transitions.max())
-    counts = words.counts()
-    order = np.argsort(-counts, kind="stable")
-    lengths = counts[order]
-    begin = words.first[:-1][order]
-    alpha, beta = np.zeros_like(e), np.ones_like(e)
-    longest = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts longer than t
-    for t in range(longest):
-        at = begin[: active[t]] + t
-        x = e[at] * (np.exp(model.start) if t == 0 else alpha[at - 1] @ a)
-        alpha[at] = x / x.sum(axis=1, keepdims=True)
-    for t in range(longest - 2, -1, -1):
-        at = begin[: active[t + 1]] + t
-        x = (beta[at + 1] * e[at + 1]) @ a.T
-        beta[at] = x / x.sum(axis=1, keepdims=True)
-    post = alpha * beta
+    post = np.multiply(*_forward_backward(e, np.exp(model.transitions - model.transitions.max()), np.exp(model.start), words.first))
     return post / post.sum(axis=1, keepdims=True), lettered[number]
 
 
-def _judge(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
+def _forward_backward(e: np.ndarray, a: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward and backward vectors of the words of all texts (text i: words first[i] to first[i + 1]).
+
+    Texts are cut into segments that go side by side.  A segment is a linear
+    map of the vector before it: the products of its words' matrices carry
+    both vectors over whole segments, so a long text takes few steps.
+    """
+    n = len(a)
+    lengths = np.diff(first)
+    size = SEGMENT if n <= 16 else max(int(lengths.max(initial=1)), 1)
+    pieces = -(-lengths // size)
+    text = np.repeat(np.arange(len(lengths)), pieces)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)  # number of the segment in its text
+    begin = first[:-1][text] + place * size
+    long = np.minimum(lengths[text] - place * size, size)
+    order = np.argsort(-long, kind="stable")
+    active = np.searchsorted(-long[order], -np.arange(size), side="left")  # segments longer than t
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return x / x.sum(axis=-1, keepdims=True)
+
+    before, behind = np.tile(start, (len(text), 1)), np.ones((len(text), n))
+    if (pieces > 1).any():
+        product = np.tile(np.eye(n), (len(text), 1, 1))
+        for t in range(size):
+            some = order[: active[t]]
+            # The first word of a text has no transition before it.
+            x = np.where((place[some] > 0)[:, None, None] | (t > 0), product[some] @ a, product[some])
+            x *= e[begin[some] + t][:, None, :]
+            product[some] = x / x.sum(axis=(1, 2), keepdims=True)
+        by_place = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[by_place], np.arange(int(pieces.max()) + 1))
+        for k in range(1, int(pieces.max())):
+            here = by_place[edges[k] : edges[k + 1]]
+            before[here] = scaled(np.einsum("si,sij->sj", before[here - 1], product[here - 1]))
+        for k in range(int(pieces.max()) - 1, 0, -1):
+            here = by_place[edges[k] : edges[k + 1]]
+            behind[here - 1] = scaled(np.einsum("sij,sj->si", product[here], behind[here]))
+    alpha, beta = np.zeros_like(e), np.ones_like(e)
+    for t in range(int(long.max(initial=0))):
+        some = order[: active[t]]
+        at = begin[some] + t
+        came = before[some] if t == 0 else alpha[at - 1] @ a
+        if t == 0:
+            came = np.where(place[some][:, None] > 0, came @ a, came)
+        alpha[at] = scaled(e[at] * came)
+    beta[begin + long - 1] = behind
+    for t in range(int(long.max(initial=0)) - 2, -1, -1):
+        at = begin[order[: active[t + 1]]] + t
+        beta[at] = scaled((beta[at + 1] * e[at + 1]) @ a.T)
+    return alpha, beta
+
+
+def _judge(model: Model, column: pa.Array, held: Emissions) -> tuple[list[str], np.ndarray]:
     """Label and score of each text."""
     n, rows = len(model.labels), len(column)
     words = Words(column, ALNUM, lower=True)
@@ -215,7 +281,7 @@ def _judge(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
         letters[i] = any(c.isalpha() for c in column[int(i)].as_py())
     sums = np.zeros((rows, n))
     if n:
-        post, lettered = word_posteriors(model, words)
+        post, lettered = word_posteriors(model, words, held)
         doc = words.doc[lettered]
         for c in range(n):
             sums[:, c] = np.bincount(doc, post[lettered, c], rows)
@@ -229,9 +295,10 @@ def _judge(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def _predict(shared):
     def run(batches):
+        held = Emissions(shared.value)
         for whole in batches:
             for batch in slices(whole):
-                label, score = _judge(shared.value, batch.column("text"))
+                label, score = _judge(shared.value, batch.column("text"), held)
                 yield pa.record_batch([batch.column("doc_id"), pa.array(label, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -242,10 +309,11 @@ def language_of(text: Column, model: Model) -> Column:
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = Emissions(shared.value)
         for whole in batches:
             label, score = [], []
             for batch in slices(pa.record_batch([whole], ["text"])):
-                x, y = _judge(shared.value, batch.column("text"))
+                x, y = _judge(shared.value, batch.column("text"), held)
                 label += x
                 score.append(y)
             yield pa.StructArray.from_arrays([pa.array(label, pa.string()), pa.array(np.concatenate([*score, np.zeros(0)]))], ["lang_pred", "score"])

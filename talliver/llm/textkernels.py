@@ -8,6 +8,7 @@ an empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _STEPS = [(0xD6E8FEB86659FD93 * (2 * j + 1) ^ (0xA0761D6478BD642E * j << 1)) & (2**64 - 1) | 1 for j in range(64)]
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def separator_table(pattern_bytes: bytes) -> np.ndarray:
@@ -69,6 +71,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are used again, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most ``limit`` bytes of text, or one row."""
     if not batch.num_rows:
@@ -81,6 +90,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             start, total = i, 0
         total += int(n)
     yield batch.slice(start)
+    trim()
 
 
 class Words:

@@ -325,7 +325,22 @@ def test_language_sample_survives_long_and_repeated_rows(spark, monkeypatch):
         language_id.train(spark.createDataFrame(long, kind))
 
 
-def test_posteriors_against_all_label_paths():
+def test_held_scores_are_those_of_the_words(monkeypatch):
+    """Scores that a task holds, through overflows of what it holds, equal fresh ones."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_id, "REMEMBERED", 30)
+    r, n = np.random.default_rng(9), 3
+    model = language_id.Model(["a", "b", "c"], r.normal(size=(language_id.FEATURES + n, n)).astype(np.float32), r.normal(size=(n, n)), r.normal(size=n), np.zeros(0, np.uint64), np.zeros(0, int))
+    held, draw = language_id.Emissions(model), random.Random(1)
+    for _ in range(30):
+        text = " ".join(draw.choice(["x1", "9", "été", "word"]) + str(draw.randrange(12)) * draw.randrange(2) for _ in range(draw.randrange(60)))
+        words = language_id.Words(pa.array([text, ""], pa.large_string()), language_id.ALNUM, lower=True)
+        (a, b), (x, y) = language_id.word_posteriors(model, words, held), language_id.word_posteriors(model, words)
+        assert np.allclose(a, x) and (b == y).all()
+
+
+def test_posteriors_against_all_label_paths(monkeypatch):
     """Forward-backward against an enumeration of every path, for the fit's equal lengths and the texts' own lengths."""
     from itertools import product
 
@@ -344,8 +359,10 @@ def test_posteriors_against_all_label_paths():
             np.add.at(want_pairs, (p[:-1], p[1:]), m)
     assert np.allclose(post, want) and np.allclose(pairs, want_pairs)
     model = language_id.Model(["a", "b", "c"], r.normal(size=(language_id.FEATURES + n, n)).astype(np.float32), trans, start, np.zeros(0, np.uint64), np.zeros(0, int))
-    words = language_id.Words(pa.array(["one two three", "", "four", "five six"], pa.large_string()), language_id.ALNUM, lower=True)
+    words = language_id.Words(pa.array(["one two three", "", "four", "five six", "a b c d e f g"], pa.large_string()), language_id.ALNUM, lower=True)
     found, _ = language_id.word_posteriors(model, words)
+    monkeypatch.setattr(language_id, "SEGMENT", 2)  # segments carry the vectors on
+    assert np.allclose(language_id.word_posteriors(model, words)[0], found)
     feats, edges = language_id._features(words.raw, words.start, words.end)
     score = language_id._emissions(model.weights, feats, edges, np.full(len(words.hash), -1)).astype(float)
     for lo, hi in zip(words.first, words.first[1:], strict=False):
