@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -97,11 +98,13 @@ def detect_transfers(rows: DataFrame, owner: str, days: int = 3, tolerance: floa
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder that the session names; a folder of our own only where it names none."""
+    """The rows, checkpointed in the folder that the session names; a local folder only where it names none and Spark runs in one process."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from talliver.functions.rules import MONTH_STEPS, step_date
 from talliver.functions.text import grouping_key, text_similarity
+from talliver.operators.pairs import stored
 
 # Scores that settle and that propose, days beyond which a date says nothing, and weights.
 SETTLES, PROPOSES, WINDOW = 0.80, 0.55, 12
@@ -29,7 +33,7 @@ def date_score(gap: Column) -> Column:
 def near_dues(txns: DataFrame, schedules: DataFrame, days: int) -> DataFrame:
     """Rows beside the schedules of their account that fall due within so many days; blocks make the band an equi-join."""
     block = lambda c: F.floor(F.unix_date(c) / (days + 1))
-    rows = txns.select("txn_id", "account_id", F.to_date("ts").alias("day"), "amount", "description", "is_asset").withColumn("block", block("day"))
+    rows = txns.select("txn_id", "account_id", "ts", F.to_date("ts").alias("day"), "amount", "description", "is_asset").withColumn("block", block("day"))
     dues = schedules.select("payment_id", "account_id", "next_due", F.col("amount").alias("due"), F.col("description").alias("due_text"), *[c for c in ("last_text",) if c in schedules.columns])
     dues = dues.withColumn("block", F.explode(F.sequence(block("next_due") - 1, block("next_due") + 1)))
     return rows.join(dues, ["account_id", "block"]).drop("block").withColumn("gap", F.abs(F.datediff("day", "next_due"))).filter(F.col("gap") <= days)
@@ -51,15 +55,118 @@ def match_scores(txns: DataFrame, schedules: DataFrame, similarity=text_similari
     return found.select("txn_id", "payment_id", "amount_score", "date_score", "text_score", "history", "score", F.when(F.col("score") >= SETTLES, "settles").otherwise("proposed").alias("decision"))
 
 
+def _row_by_row(auto: float):
+    """Rows sorted by account, row and falling score: each row takes its best schedule that no earlier row of the account took.
+
+    A choice below ``auto`` is only proposed and leaves its schedule free.  A
+    task holds the taken schedules of one account, not its rows.
+    """
+
+    def run(batches):
+        account, taken, row = None, set(), None
+        for batch in batches:
+            keep, free = [], []
+            for i, (of, txn, payment, score) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("account_id", "txn_id", "payment_id", "score")), strict=True)):
+                if of != account:
+                    account, taken, row = of, set(), None
+                if txn == row or payment in taken:
+                    continue
+                row = txn
+                keep.append(i)
+                free.append("settles" if score >= auto else "proposed")
+                if score >= auto:
+                    taken.add(payment)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(free, pa.string())], [*batch.schema.names, "decision"])
+
+    return run
+
+
+def in_date_order(found: DataFrame, auto: float) -> DataFrame:
+    """``found`` (txn_id, account_id, ts, payment_id, score, ...) cut to each row's choice, with its ``decision``; ties go to the smaller payment_id."""
+    order = ["account_id", "ts", "txn_id", F.desc("score"), "payment_id"]
+    kind = StructType([*found.schema.fields, StructField("decision", StringType())])
+    return found.repartition("account_id").sortWithinPartitions(*order).mapInArrow(_row_by_row(auto), kind)
+
+
 def gated_matches(txns: DataFrame, schedules: DataFrame, similarity=text_similarity) -> DataFrame:
-    """(txn_id, payment_id, gap, score): pairs within the gates of days, amount and wording, the best schedule of each row."""
+    """(txn_id, payment_id, gap, score): rows of a batch within the gates of days, amount and wording of a schedule.
+
+    The score is the likeness less a sixth for each day; ``variable`` schedules
+    (a column of ``schedules``, if it is there) have the gate's likeness at
+    least.  Rows choose in the order of their time; a schedule is settled once.
+    """
     d = F.abs(F.col("due").cast("double"))
     off = lambda x: F.abs(x.cast("double")) / d
     fits = (off(F.col("amount") - F.col("due")) <= GATE_SHARE) | (~F.col("is_asset") & (off(F.col("amount") + F.col("due")) <= GATE_SHARE))
     fits = F.when(F.col("due") == 0, F.abs("amount") <= GATE_SHARE).otherwise(fits)
-    found = near_dues(txns, schedules, GATE_DAYS).filter(fits).withColumn("score", similarity(F.col("description"), F.col("due_text"))).filter(F.col("score") >= GATE_TEXT)
-    best = found.groupBy("txn_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "gap", "payment_id")).alias("b"))
-    return best.select("txn_id", F.col("b.payment_id").alias("payment_id"), F.col("b.gap").alias("gap"), (-F.col("b.s")).alias("score"))
+    found = near_dues(txns, schedules, GATE_DAYS).filter(fits)
+    like = similarity(F.col("description"), F.col("due_text"))
+    if "variable" in schedules.columns:
+        like = F.when(F.col("variable"), F.greatest(like, F.lit(GATE_TEXT))).otherwise(like)
+    found = found.withColumn("like", like).filter(F.col("like") >= GATE_TEXT).withColumn("score", F.col("like") * (1.0 - F.col("gap") / (GATE_DAYS + 1.0)))
+    return in_date_order(found.select("txn_id", "account_id", "ts", "payment_id", "gap", "score"), 0.0).select("txn_id", "payment_id", "gap", "score")
+
+
+def settle_backlog(txns: DataFrame, schedules: DataFrame, since: str, passes: int = 24, similarity=text_similarity) -> DataFrame:
+    """(pass, txn_id, payment_id, due, score, decision): rows since a day against schedules that fall behind.
+
+    In each pass a schedule is due once: rows choose in the order of their time
+    among the schedules within the window of days, a choice that reaches
+    SETTLES settles the schedule, whose next date follows from the row's; one
+    that reaches PROPOSES is proposed (once for a row and schedule).  Passes
+    are repeated until none settles.  A row settles one schedule at most, and
+    none that was settled on its day or later.  Schedules have payment_id,
+    account_id, description, amount, frequency, next_due, and if they are
+    there day_of_month, last_matched (a row) and last_matched_on.  Schedules
+    without a date or amount take no part.
+
+    Pairs whose amounts are too far apart for any score are never made; those
+    left are written once, with their likeness, and each pass joins them with
+    the schedules' dates.
+    """
+    spark = txns.sparkSession
+    has = lambda c, kind: F.col(c) if c in schedules.columns else F.lit(None).cast(kind)
+    dues = schedules.filter("next_due is not null and amount is not null").withColumns({"day_of_month": has("day_of_month", "int"), "last_matched": has("last_matched", "long"), "last_matched_on": has("last_matched_on", "date")})
+    texts = txns.select(F.col("txn_id").alias("last_matched"), grouping_key(F.col("description")).alias("last_key"))
+    state = dues.join(texts, "last_matched", "left").select("payment_id", "frequency", "day_of_month", "next_due", "last_matched", "last_matched_on", "last_key")
+    # Amounts within 15 % of each other lie in equal or neighbouring blocks of their logarithms.
+    block = lambda c: F.floor(F.log(F.greatest(F.abs(c.cast("double")), F.lit(0.01))) / 0.17)
+    rows = txns.filter((F.to_date("ts") >= F.lit(since).cast("date")) & F.col("amount").isNotNull()).withColumn("block", block(F.col("amount")))
+    owed = dues.select("payment_id", "account_id", F.col("amount").alias("due"), F.col("description").alias("due_text"), F.explode(F.sequence(block(F.col("amount")) - 1, block(F.col("amount")) + 1)).alias("block"))
+    pairs = rows.join(owed, ["account_id", "block"]).withColumn("amount_score", amount_score(F.col("amount"), F.col("due"), ~F.col("is_asset")))
+    rest = 1.0 - WEIGHTS["amount"]
+    pairs = pairs.filter(F.round(WEIGHTS["amount"] * F.col("amount_score") + rest, 6) >= PROPOSES)
+    pairs = stored(pairs.select("txn_id", "account_id", "ts", "payment_id", "amount_score", similarity(F.col("description"), F.col("due_text")).alias("text_score"), grouping_key(F.col("description")).alias("key")))
+    done = state.filter("last_matched is not null").select(F.col("last_matched").alias("txn_id"))
+    out = None
+    for n in range(1, passes + 1):
+        state = stored(state)
+        open_rows = pairs.join(done, "txn_id", "left_anti").join(state.drop("frequency", "day_of_month", "last_matched"), "payment_id")
+        day = F.to_date("ts")
+        gap = F.abs(F.datediff(day, "next_due"))
+        open_rows = open_rows.filter((gap < WINDOW) & (F.col("last_matched_on").isNull() | (day > F.col("last_matched_on"))))
+        history = F.coalesce((F.col("last_key") == F.col("key")), F.lit(False)).cast("int")
+        score = F.round(WEIGHTS["amount"] * F.col("amount_score") + WEIGHTS["date"] * date_score(gap) + WEIGHTS["text"] * F.col("text_score") + WEIGHTS["history"] * history, 6)
+        found = open_rows.withColumn("score", score).filter(F.col("score") >= PROPOSES)
+        made = stored(in_date_order(found.select("txn_id", "account_id", "ts", "payment_id", "key", F.col("next_due").alias("due"), "score"), SETTLES)).withColumn("pass", F.lit(n))
+        out = made if out is None else out.unionByName(made)
+        settled = made.filter("decision = 'settles'")
+        if not settled.take(1):
+            break
+        done = out.filter("decision = 'settles'").select("txn_id").unionAll(dues.filter("last_matched is not null").select("last_matched"))
+        new = settled.select("payment_id", F.col("txn_id").alias("new_row"), F.to_date("ts").alias("on"), F.col("key").alias("new_key"))
+        moved = state.join(new, "payment_id", "left")
+        months = step_date(F.col("on"), F.col("frequency"), F.lit(1))
+        # The schedule's own day of the month, clamped to the month's end.
+        months = F.when(F.col("frequency").isin(*MONTH_STEPS) & F.col("day_of_month").isNotNull(), F.least(F.date_add(F.trunc(months, "month"), F.col("day_of_month") - 1), F.last_day(months))).otherwise(months)
+        state = moved.filter("new_row is null or frequency <> 'once'").select(
+            "payment_id", "frequency", "day_of_month", F.when(F.col("new_row").isNull(), F.col("next_due")).otherwise(months).alias("next_due"),
+            F.coalesce("new_row", "last_matched").alias("last_matched"), F.coalesce("on", "last_matched_on").alias("last_matched_on"), F.coalesce("new_key", "last_key").alias("last_key"),
+        )
+    settled = out.filter("decision = 'settles'")
+    # A proposal is kept from the first pass that made it.
+    first = out.filter("decision = 'proposed'").groupBy("txn_id", "payment_id").agg(F.min_by(F.struct("pass", "due", "score", "decision"), "pass").alias("p")).select("p.pass", "txn_id", "payment_id", "p.due", "p.score", "p.decision")
+    return settled.select("pass", "txn_id", "payment_id", "due", "score", "decision").unionByName(first)
 
 
 def accrue_interest(txns: DataFrame, rates: DataFrame, through: str, posted: DataFrame) -> DataFrame:

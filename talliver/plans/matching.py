@@ -142,14 +142,32 @@ def x10_match_scores_j14(led):
     return settle.match_scores(led.moves, _dues(led), text.edit_similarity)
 
 
+# Rows choose in the order of their time; a schedule that is taken is no choice of later rows.
+_IN_ORDER = """c AS (SELECT account_id, txn_id, ts, list({'p': payment_id, 'gap': gap, 'score': score} ORDER BY score DESC, payment_id) AS cands FROM p GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts, txn_id) AS i FROM c),
+f AS (SELECT account_id, 0::BIGINT AS i, NULL::BIGINT AS txn_id, NULL::STRUCT(p BIGINT, gap INTEGER, score DOUBLE) AS best, []::BIGINT[] AS taken FROM (SELECT DISTINCT account_id FROM o)
+ UNION ALL SELECT account_id, i, txn_id, best, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.p) END FROM (
+  SELECT o.account_id, o.i, o.txn_id, f.taken, list_filter(o.cands, lambda x: NOT list_contains(f.taken, x.p))[1] AS best FROM f JOIN o ON o.account_id = f.account_id AND o.i = f.i + 1))"""
+
+
 @query(
-    f"""WITH p AS (SELECT txn_id, payment_id, CAST(abs(date_diff('day', CAST(ts AS DATE), next_due)) AS INTEGER) AS gap, {_LIKE} AS score FROM moves m JOIN dues s ON m.account_id = s.account_id AND abs(date_diff('day', CAST(ts AS DATE), next_due)) <= 5
- WHERE abs(m.amount - s.amount) / abs(s.amount) <= 0.05 OR (NOT is_asset AND abs(m.amount + s.amount) / abs(s.amount) <= 0.05))
-SELECT txn_id, payment_id, gap, score FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, gap, payment_id) AS n FROM p WHERE score >= 0.4) WHERE n = 1""",
+    f"""WITH RECURSIVE p AS (SELECT account_id, txn_id, ts, payment_id, gap, l * (1.0::DOUBLE - gap / 6.0::DOUBLE) AS score FROM (
+ SELECT m.account_id, txn_id, ts, payment_id, CAST(abs(date_diff('day', CAST(ts AS DATE), next_due)) AS INTEGER) AS gap, CASE WHEN payment_id % 5 = 0 THEN greatest({_LIKE}, 0.4::DOUBLE) ELSE {_LIKE} END AS l
+ FROM moves m JOIN dues s ON m.account_id = s.account_id AND abs(date_diff('day', CAST(ts AS DATE), next_due)) <= 5
+ WHERE abs(m.amount - s.amount) / abs(s.amount) <= 0.05 OR (NOT is_asset AND abs(m.amount + s.amount) / abs(s.amount) <= 0.05)) WHERE l >= 0.4),
+{_IN_ORDER}
+SELECT txn_id, best.p AS payment_id, best.gap AS gap, best.score AS score FROM f WHERE best IS NOT NULL""",
     "moves dues",
 )
 def j13_gated_matches(led):
-    return settle.gated_matches(led.moves, led.dues, text.edit_similarity)
+    return settle.gated_matches(led.moves, led.dues.withColumn("variable", F.expr("payment_id % 5 = 0")), text.edit_similarity)
+
+
+@query()
+def j14_settle_backlog(led):
+    frequency = F.expr("case payment_id % 3 when 0 then 'weekly' when 1 then 'monthly' else 'once' end")
+    schedules = _dues(led).drop("last_text").withColumn("frequency", frequency).withColumn("day_of_month", F.when(F.col("payment_id") % 2 == 0, F.dayofmonth("next_due")))
+    return settle.settle_backlog(led.moves, schedules, "2024-01-01")
 
 
 @query(
