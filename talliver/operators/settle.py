@@ -34,7 +34,7 @@ def near_dues(txns: DataFrame, schedules: DataFrame, days: int) -> DataFrame:
     """Rows beside the schedules of their account that fall due within so many days; blocks make the band an equi-join."""
     block = lambda c: F.floor(F.unix_date(c) / (days + 1))
     rows = txns.select("txn_id", "account_id", "ts", F.to_date("ts").alias("day"), "amount", "description", "is_asset").withColumn("block", block("day"))
-    dues = schedules.select("payment_id", "account_id", "next_due", F.col("amount").alias("due"), F.col("description").alias("due_text"), *[c for c in ("last_text",) if c in schedules.columns])
+    dues = schedules.select("payment_id", "account_id", "next_due", F.col("amount").alias("due"), F.col("description").alias("due_text"), *[c for c in ("last_text", "variable") if c in schedules.columns])
     dues = dues.withColumn("block", F.explode(F.sequence(block("next_due") - 1, block("next_due") + 1)))
     return rows.join(dues, ["account_id", "block"]).drop("block").withColumn("gap", F.abs(F.datediff("day", "next_due"))).filter(F.col("gap") <= days)
 

@@ -70,6 +70,20 @@ VIEWS = {
     "schedules": """SELECT s_suppkey AS payment_id, s_suppkey AS account_id, s_name AS description,
  -CAST(abs(s_acctbal) AS DECIMAL(18,2)) AS amount, CASE s_suppkey % 5 WHEN 0 THEN 'weekly' WHEN 1 THEN 'biweekly' WHEN 2 THEN 'monthly'
   WHEN 3 THEN 'quarterly' ELSE 'annually' END AS frequency, date_add(DATE '2001-08-01', CAST(s_suppkey % 28 AS INT)) AS next_due FROM {supplier}""",
+    # Values, lines and names of files, written from the tables' own.
+    "file_values": """SELECT event_id % 499 * 2 + CASE WHEN day(ts) <= 12 THEN 0 ELSE 1 END AS file, event_id AS row,
+ CASE CAST(event_id AS BIGINT) % 499 % 8 WHEN 0 THEN concat('Jan ', CAST(day(ts) AS VARCHAR(2)), ', ', CAST(year(ts) AS VARCHAR(4))) WHEN 1 THEN concat(CAST(year(ts) AS VARCHAR(4)), '-', CAST(month(ts) AS VARCHAR(2)), '-', CAST(day(ts) AS VARCHAR(2))) WHEN 2 THEN 'soon 7'
+  WHEN 3 THEN '' WHEN 4 THEN concat(CAST(month(ts) AS VARCHAR(2)), '.', CAST(day(ts) AS VARCHAR(2)), '.', CAST(year(ts) AS VARCHAR(4))) WHEN 5 THEN concat(CAST(month(ts) AS VARCHAR(2)), '/', CAST(day(ts) AS VARCHAR(2)), '/', CAST(year(ts) AS VARCHAR(4)))
+  WHEN 6 THEN concat(' ', CAST(1 + event_id % 3 AS VARCHAR(2)), '-', CAST(1 + event_id % 2 AS VARCHAR(2)), '-24 ') ELSE concat(CAST(day(ts) AS VARCHAR(2)), '/', CAST(month(ts) AS VARCHAR(2)), '/', CAST(year(ts) AS VARCHAR(4))) END AS value FROM {events}""",
+    "file_lines": """SELECT CAST(floor(event_id / 20) AS BIGINT) AS file, event_id % 20 AS line_no,
+ CASE WHEN event_id % 20 = CAST(floor(event_id / 20) AS BIGINT) % 9 THEN CASE CAST(floor(event_id / 20) AS BIGINT) % 5 WHEN 0 THEN 'Date,Description,Amount' WHEN 1 THEN ' "Posting Date" ,memo,' WHEN 2 THEN 'Booking date,Some amount' WHEN 3 THEN 'Date,only' ELSE 'foo,BALANCE,"narrative text"' END
+  ELSE concat(event_type, ',', CAST(event_id AS VARCHAR(12))) END AS line FROM {events}""",
+    "named_accounts": """SELECT c.c_custkey AS account_id, CAST(c.c_nationkey AS BIGINT) AS user_id, p.p_name AS name, CASE WHEN c.c_custkey % 10 = 0 THEN c.c_mktsegment END AS institution FROM {customer} c JOIN {part} p ON p.p_partkey = c.c_custkey % 200""",
+    "uploads": """SELECT o.o_orderkey AS file, CAST(o.o_custkey % 25 AS BIGINT) AS user_id, CASE o.o_orderkey % 4 WHEN 0 THEN concat('statement ', p.p_name, '.csv') WHEN 1 THEN concat('x', p.p_name, 'x building date,amount') WHEN 2 THEN upper(substr(p.p_name, 1, 9)) ELSE concat(o.o_orderpriority, ' export') END AS text
+ FROM {orders} o JOIN {part} p ON p.p_partkey = o.o_orderkey % 200""",
+    "report_lines": """SELECT o_custkey AS file, CAST(-1 AS BIGINT) AS block, CAST(0 AS BIGINT) AS seq, 'Trades,Header,DataDiscriminator,Asset Category,Symbol,Date/Time,Quantity,Proceeds' AS line FROM {orders} GROUP BY o_custkey
+ UNION ALL SELECT o.o_custkey, CAST(l.l_orderkey AS BIGINT), CAST(l.l_linenumber AS BIGINT), concat('Trades,Data,', CASE l.l_linenumber % 4 WHEN 0 THEN 'Trade' ELSE 'Order' END, ',Stocks,S', CAST(l.l_partkey AS VARCHAR(12)), ',', CASE l.l_linenumber % 5 WHEN 1 THEN 'someday' ELSE CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR(10)) END,
+  ',"', CAST(CAST(l.l_quantity AS INTEGER) AS VARCHAR(9)), '",(', CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(20)), ')') FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey""",
 }
 _BASE = ("customer", "orders", "part", "lineitem", "events", "supplier")
 
