@@ -37,14 +37,14 @@ def reference_numbers(text: Column) -> Column:
 
 
 def source_hash(account: Column, raw: Column, repeat: Column) -> Column:
-    """SHA-256 over account, raw row and repeat index."""
-    return F.sha2(F.concat_ws("\u001f", account.cast("string"), F.coalesce(raw, F.lit("")), repeat.cast("string")), 256)
+    """SHA-256 over account, raw row and repeat index; null without a raw row."""
+    return F.sha2(F.concat(account.cast("string"), F.lit("\u001f"), raw, F.lit("\u001f"), repeat.cast("string")), 256)
 
 
 def canonical_row(raw: Column) -> Column:
-    """A JSON object as its ``key=value`` pairs in order of keys, so that the order in the file makes no difference; other text as it is."""
-    pairs = F.transform(F.array_sort(F.map_entries(F.from_json(raw, "map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
-    return F.coalesce(F.array_join(pairs, "\u001e"), raw)
+    """A JSON object as its stripped ``key=value`` pairs in order, so that the order in the file makes no difference; null for anything else."""
+    entries = F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: F.struct(F.trim(e["key"]).alias("k"), F.trim(F.coalesce(e["value"], F.lit(""))).alias("v")))
+    return F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(e["k"], F.lit("="), e["v"])), "\u001e")
 
 
 def normalised(text: Column) -> Column:

@@ -26,22 +26,26 @@ def dedupe_by_layers(new: DataFrame, ledger: DataFrame, deleted: DataFrame, rati
     """(txn_id, account_id, outcome) of new rows: the first layer that knows them.
 
     same_row: the hash of account, raw row and repeat is in the ledger;
-    duplicate: its day, text and amount are; near_duplicate: its day and
-    amount are, in a wording that matches; deleted_row, deleted and
-    near_deleted: the same among the deleted rows; else imported.  Equal texts
-    of a day and amount are compared once.
+    duplicate: its day, text (stripped, in lower case) and amount are;
+    near_duplicate: its day and amount are, in a wording that matches;
+    deleted_row, deleted and near_deleted: the same among the deleted rows;
+    else imported.  A row without a raw row has no hash and is never same_row.
+    Hashes that a table holds already (``hash``) are taken as they are.  Equal
+    texts of a day and amount are compared once.
     """
     keys = ["account_id", "day", "amount"]
-    rows = new.withColumn("day", F.to_date("ts")).withColumn("key", comparison_key(F.col("description")))
-    rows = rows.join(fingerprints(new).select("txn_id", "hash"), "txn_id")
+    plain = F.lower(F.regexp_replace(F.coalesce("description", F.lit("")), r"^\s+|\s+$", ""))
+    shaped = lambda df: df.withColumns({"day": F.to_date("ts"), "key": comparison_key(F.col("description")), "plain": plain})
+    rows = shaped(new.drop("hash")).join(fingerprints(new).select("txn_id", "hash"), "txn_id")
     outcome = F.lit("imported")
     for name, known in (("deleted", deleted), ("ledger", ledger)):
-        held = known.withColumn("day", F.to_date("ts")).withColumn("key", comparison_key(F.col("description")))
-        hashes = fingerprints(known).select("hash").distinct().withColumn(f"{name}_hash", F.lit(True))
-        exact = held.select(*keys, "description").distinct().withColumn(f"{name}_exact", F.lit(True))
+        held = shaped(known)
+        hashes = known if "hash" in known.columns else fingerprints(known)
+        hashes = hashes.select("hash").dropna().distinct().withColumn(f"{name}_hash", F.lit(True))
+        exact = held.select(*keys, "plain").distinct().withColumn(f"{name}_exact", F.lit(True))
         pairs = rows.select(*keys, "key").distinct().join(held.select(*keys, F.col("key").alias("other")).distinct(), keys)
         near = pairs.filter(wording_matches(F.col("key"), F.col("other"), ratio)).select(*keys, "key").distinct().withColumn(f"{name}_near", F.lit(True))
-        rows = rows.join(hashes, "hash", "left").join(exact, [*keys, "description"], "left").join(near, [*keys, "key"], "left")
+        rows = rows.join(hashes, "hash", "left").join(exact, [*keys, "plain"], "left").join(near, [*keys, "key"], "left")
         said = ("same_row", "duplicate", "near_duplicate") if name == "ledger" else ("deleted_row", "deleted", "near_deleted")
         for layer, word in zip(("near", "exact", "hash"), (said[2], said[1], said[0]), strict=True):
             outcome = F.when(F.col(f"{name}_{layer}"), word).otherwise(outcome)
@@ -162,10 +166,11 @@ def return_stats(values: DataFrame, key: str, month: str, value: str) -> DataFra
 
 
 def amortise(loans: DataFrame, months: int) -> DataFrame:
-    """(account_id, month, balance): closed form of a loan with fixed payments while the payment exceeds the interest."""
+    """(account_id, month, balance): closed form of a loan with fixed payments while the payment exceeds the interest; without a rate, payments alone."""
     rows = loans.filter(F.col("payment") > F.col("principal") * F.col("rate")).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(months))))
     grow = F.pow(1 + F.col("rate"), F.col("month"))
-    left = F.col("principal") * grow - F.col("payment") * (grow - 1) / F.col("rate")
+    paid = F.when(F.col("rate") == 0, F.col("payment") * F.col("month")).otherwise(F.col("payment") * F.try_divide(grow - 1, F.col("rate")))
+    left = F.col("principal") * grow - paid
     return rows.select("account_id", "month", F.greatest(F.lit(0.0), F.round(left, 4)).alias("balance"))
 
 
@@ -211,9 +216,9 @@ def flag_payment_rows(txns: DataFrame, accounts: DataFrame, words: tuple[str, ..
 
 
 def index_growth(values: DataFrame, key: str, day: str, value: str, years: int = 10, least_years: int = 3) -> DataFrame:
-    """Compound yearly growth of each series over its last ``years`` years; shorter series than ``least_years`` are left out."""
+    """Compound yearly growth of each series over its last ``years`` years; series that are shorter than ``least_years`` or don't begin above 0 are left out."""
     last = values.groupBy(key).agg(F.max(day).alias("_end"))
     rows = values.join(last, key).filter(F.col(day) > F.date_sub("_end", 365 * years))
     ends = rows.groupBy(key).agg(F.min(day).alias("first"), F.max(day).alias("last"), F.min_by(value, day).cast("double").alias("a"), F.max_by(value, day).cast("double").alias("b"))
     span = F.datediff("last", "first")
-    return ends.filter(span >= 365 * least_years).select(key, "first", "last", F.round(F.pow(F.col("b") / F.col("a"), 365.25 / span) - 1, 9).alias("growth"))
+    return ends.filter((span >= 365 * least_years) & (F.col("a") > 0) & (F.col("b") >= 0)).select(key, "first", "last", F.round(F.pow(F.try_divide("b", "a"), F.try_divide(F.lit(365.25), span)) - 1, 9).alias("growth"))

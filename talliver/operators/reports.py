@@ -218,11 +218,14 @@ def amortisation(loans: DataFrame, months: int, cap: int = 480) -> DataFrame:
     """(account_id, month, interest, principal, balance, payoff_month) while a loan runs; loans whose payment doesn't exceed the first interest are left out.
 
     The last payment pays what is left; a payoff beyond ``cap`` months is null.
+    A loan without a rate is paid off in equal payments.
     """
     rate, paid, owed = F.col("rate"), F.col("payment"), F.col("owed")
     rows = loans.withColumnRenamed("principal", "owed").filter(paid > owed * rate)
-    after = lambda m: owed * F.pow(1 + rate, m) - paid * (F.pow(1 + rate, m) - 1) / rate
-    payoff = F.ceil(F.round(-F.log(1 - owed * rate / paid) / F.log(1 + rate), 9)).cast("int")
+    grown = lambda m: F.when(rate == 0, F.lit(1.0) * m).otherwise(F.try_divide(F.pow(1 + rate, m) - 1, rate))
+    after = lambda m: owed * F.pow(1 + rate, m) - paid * grown(m)
+    payments = F.when(rate == 0, owed / paid).otherwise(F.try_divide(-F.log(1 - owed * rate / paid), F.log(1 + rate)))
+    payoff = F.ceil(F.round(payments, 9)).cast("int")
     rows = rows.withColumn("payoff", payoff).withColumn("month", F.explode(F.sequence(F.lit(1), F.least(F.lit(months), "payoff"))))
     before = F.greatest(F.lit(0.0), after(F.col("month") - 1))
     left = F.greatest(F.lit(0.0), after(F.col("month")))

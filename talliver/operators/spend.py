@@ -99,11 +99,11 @@ def category_totals(txns: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def category_breakdown(totals: DataFrame, essential_words: tuple[str, ...]) -> DataFrame:
-    """Share of the grand total, and the essential flag (an override, else by keyword)."""
+    """Share of the grand total (null where the totals cancel out), and the essential flag by keyword."""
     found = F.lit(False)
     for w in essential_words:
         found = found | F.lower("category").contains(w)
-    share = F.col("total").cast("double") * 100.0 / F.sum("total").over(Window.partitionBy()).cast("double")
+    share = F.try_divide(F.col("total").cast("double") * 100.0, F.sum("total").over(Window.partitionBy()).cast("double"))
     return totals.withColumn("share", share).withColumn("essential", found)
 
 

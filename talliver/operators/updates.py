@@ -31,7 +31,7 @@ def sync_current_value(accounts: DataFrame, valuations: DataFrame) -> DataFrame:
 def keyword_category(description: Column, amount: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Category of the first rule (keyword, sign, category) that fits; rules bound to a sign come before the others."""
     text = F.lower(F.coalesce(description, F.lit("")))
-    sign = {"in": amount > 0, "out": amount < 0, "any": F.lit(True)}
+    sign = {"in": amount >= 0, "out": amount < 0, "any": F.lit(True)}
     return F.coalesce(*[F.when(text.contains(word) & sign[way], category) for word, way, category in sorted(rules, key=lambda r: r[1] == "any")])
 
 

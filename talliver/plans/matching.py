@@ -54,7 +54,7 @@ rm AS (SELECT norm, category_id, pattern, contains(norm, pattern) AS inside, row
 
 @query(
     f"""WITH {_RULED}, kw(priority, keyword, sign, category_id) AS (VALUES {_KEYWORD_ROWS}),
-mm AS (SELECT txn_id, {_NORM.format("description")} AS norm, CASE WHEN amount > 0 THEN 'in' WHEN amount < 0 THEN 'out' ELSE 'none' END AS way FROM moves),
+mm AS (SELECT txn_id, {_NORM.format("description")} AS norm, CASE WHEN amount >= 0 THEN 'in' WHEN amount < 0 THEN 'out' ELSE 'none' END AS way FROM moves),
 km AS (SELECT norm, way, category_id, row_number() OVER (PARTITION BY norm, way ORDER BY sign = 'any', priority) AS n FROM (SELECT DISTINCT norm, way FROM mm) JOIN kw ON contains(norm, keyword) AND (sign = 'any' OR sign = way))
 SELECT txn_id, coalesce(rm.category_id, km.category_id) AS category_id, CASE WHEN rm.norm IS NOT NULL THEN 'rule' WHEN km.norm IS NOT NULL THEN 'keyword' ELSE 'none' END AS tier
 FROM mm LEFT JOIN rm ON rm.norm = mm.norm AND rm.n = 1 LEFT JOIN km ON km.norm = mm.norm AND km.way = mm.way AND km.n = 1""",
@@ -86,15 +86,15 @@ def _wording(a: str, b: str) -> str:
 
 def _layers(name: str, where: str) -> str:
     return f"""{name} AS (SELECT txn_id, account_id, CAST(ts AS DATE) AS day, amount, description, {_KEY.format("description")} AS key,
- sha256(concat(account_id, chr(31), raw, chr(31), row_number() OVER (PARTITION BY account_id, raw ORDER BY txn_id) - 1)) AS hash
- FROM (SELECT *, array_to_string(list_transform(list_sort(json_keys(raw_data)), lambda k: concat(k, '=', json_extract_string(raw_data, concat('$.', k)))), chr(30)) AS raw FROM moves WHERE {where}))"""
+ sha256(account_id || chr(31) || raw || chr(31) || (row_number() OVER (PARTITION BY account_id, raw ORDER BY txn_id) - 1)) AS hash
+ FROM (SELECT *, CASE WHEN raw_data LIKE '{{%' THEN array_to_string(list_transform(list_sort(json_keys(raw_data)), lambda k: concat(trim(k), '=', trim(json_extract_string(raw_data, concat('$.', k))))), chr(30)) END AS raw FROM moves WHERE {where}))"""
 
 
 _SAME = "o.account_id = n.account_id AND o.day = n.day AND o.amount = n.amount"
 
 
 def _known(table: str, words: tuple[str, str, str]) -> str:
-    return f"""WHEN EXISTS (SELECT 1 FROM {table} o WHERE o.hash = n.hash) THEN '{words[0]}' WHEN EXISTS (SELECT 1 FROM {table} o WHERE {_SAME} AND o.description = n.description) THEN '{words[1]}'
+    return f"""WHEN EXISTS (SELECT 1 FROM {table} o WHERE o.hash = n.hash) THEN '{words[0]}' WHEN EXISTS (SELECT 1 FROM {table} o WHERE {_SAME} AND lower(trim(o.description)) = lower(trim(n.description))) THEN '{words[1]}'
  WHEN EXISTS (SELECT 1 FROM {table} o WHERE {_SAME} AND {_wording("n.key", "o.key")}) THEN '{words[2]}'"""
 
 

@@ -817,7 +817,7 @@ def b10_sync_current_value(led):
 
 
 @query(
-    """SELECT txn_id, CASE WHEN contains(lower(description), 'purchase') AND amount < 0 THEN 'shopping' WHEN contains(lower(description), 'signup') AND amount > 0 THEN 'income'
+    """SELECT txn_id, CASE WHEN contains(lower(description), 'purchase') AND amount < 0 THEN 'shopping' WHEN contains(lower(description), 'signup') AND amount >= 0 THEN 'income'
  WHEN contains(lower(description), 'ref 1000') THEN 'transfer' WHEN contains(lower(description), 'view') THEN 'browsing' END AS category FROM feed""",
     "feed",
 )

@@ -46,7 +46,7 @@ VIEWS = {
   WHEN 4 THEN 'Zelle from J Smith' WHEN 5 THEN 'NETFLIX.COM 2024-01-02' WHEN 6 THEN 'Direct Debit council tax' WHEN 7 THEN 'Salary ACME LTD'
   WHEN 8 THEN 'Payment Thank You Bill Pay Service' ELSE 'Payment Thank You Bill Pa' END,
   CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' ref ', CAST(1000 + event_id % 3 AS VARCHAR(8))) WHEN 2 THEN ' IPB2603183152823' ELSE ' #42' END) AS description,
- event_id % 3 AS import_batch_id, event_id % 7 = 0 AS is_transfer, event_id % 5 AS category_id, user_id % 2 = 0 AS is_asset, props AS raw_data FROM {events}""",
+ event_id % 3 AS import_batch_id, event_id % 7 = 0 AS is_transfer, event_id % 5 AS category_id, user_id % 2 = 0 AS is_asset, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN '[1]' ELSE props END AS raw_data FROM {events}""",
     "dues": """SELECT s_suppkey AS payment_id, CAST(s_suppkey AS BIGINT) AS account_id,
  CASE s_suppkey % 4 WHEN 0 THEN 'ACH payment' WHEN 1 THEN 'Direct debit council tax' WHEN 2 THEN 'Netflix.com' ELSE 'Payment thank you bill pay' END AS description,
  CAST(-(s_suppkey % 4 * 25 + 25) AS DECIMAL(18,2)) AS amount, date_add(DATE '2024-01-05', CAST(s_suppkey % 20 AS INT)) AS next_due, s_suppkey % 3 * 10 AS last_text FROM {supplier}""",
