@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talliver.functions.rules import type_group
@@ -154,3 +154,34 @@ def balance_sheet(found: DataFrame) -> DataFrame:
 def household_totals(found: DataFrame) -> DataFrame:
     """``household_snapshot`` with assets, liabilities and net, in cents of base."""
     return net_worth(found).drop("n_accounts", "n_stale").join(household_snapshot(found), ["user_id", "as_of"])
+
+
+# The names under which a source row holds the day it was posted, its formats, and the most days between.
+POST_KEYS = ("Post Date", "Posted Date", "Posting Date", "Settlement Date", "post_date", "posted_date", "posting_date")
+POST_FORMATS = ("M/d/yyyy", "d/M/yyyy", "yyyy-M-d", "M/d/yy", "d/M/yy")
+POST_DAYS = 14
+
+
+def posted_after(raw: Column, ts: Column) -> Column:
+    """Whether the source row (a JSON object) says that it was posted after its own day.
+
+    The first name that holds a text counts.  Its order of day and month isn't
+    known, so all readings are tried, and the least one within 0 to 14 days
+    decides; without any, or without a source row, false.
+    """
+    held = F.from_json(raw, "map<string,string>")
+    text = F.coalesce(*[F.nullif(F.trim(held[k]), F.lit("")) for k in POST_KEYS])
+    lags = F.array(*[F.datediff(F.try_to_timestamp(text, F.lit(f)).cast("date"), F.to_date(ts)) for f in POST_FORMATS])
+    return F.coalesce(F.array_min(F.filter(lags, lambda d: d.between(0, POST_DAYS))) > 0, F.lit(False))
+
+
+def anchored_balance(accounts: DataFrame, txns: DataFrame) -> DataFrame:
+    """(account_id, value, later): the statement's balance and the rows that aren't on it: those of later days, and those of its own day that were posted later."""
+    rows = txns.join(accounts.select("account_id", "statement_balance_as_of"), "account_id").withColumn("day", F.to_date("ts"))
+    same = (F.col("day") == F.col("statement_balance_as_of")) & posted_after(F.col("raw_data"), F.col("ts"))
+    zero = F.lit(0).cast(MONEY)
+    sums = rows.filter((F.col("day") > F.col("statement_balance_as_of")) | same).groupBy("account_id").agg(F.sum("amount").cast(MONEY).alias("since"), F.count_if(same).alias("later"))
+    out = accounts.filter("statement_balance is not null").join(sums, "account_id", "left")
+    since = F.coalesce("since", zero)
+    value = F.when(F.col("is_asset"), F.col("statement_balance") + since).otherwise(F.col("statement_balance") - since)
+    return out.select("account_id", value.cast(MONEY).alias("value"), F.coalesce("later", F.lit(0).cast("long")).alias("later"))

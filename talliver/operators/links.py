@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talliver.operators.pairs import duplicate_groups, one_to_one
+from talliver.operators.settle import in_date_order
 
 MONEY = "decimal(38,2)"
 COMPONENTS = ("principal", "interest", "escrow")
@@ -86,3 +87,37 @@ def interest_to_date(found: DataFrame, as_of: str) -> DataFrame:
     day = F.lit(as_of).cast("date")
     rows = found.filter(F.to_date("ts").between(F.trunc(day, "year"), day))
     return rows.groupBy("account_id").agg(F.sum("interest").cast(MONEY).alias("interest"))
+
+
+# Rows of a loan's batch that are looked at, days on either side, and how far sums may be apart.
+LOAN_ROWS, LOAN_DAYS, LOAN_SLACK = 10, 5, "1.00"
+
+
+def group_loan_payments(txns: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(batch_id, loan_id, txn_id, role, amount): the newest rows of a loan's batch and the one outflow that paid them.
+
+    ``txns`` has owner, is_loan, import_batch_id; ``grouped`` the txn_id of rows
+    that are in a group already.  The up to ten newest rows of a batch on a
+    loan meet an outflow of another account of the owner within five days of
+    them and 1.00 of minus their sum.  Batches choose in their order (then by
+    account): the least difference, then the smaller txn_id; an outflow is
+    taken once.  Batches without an outflow make no group.
+    """
+    money = "decimal(38,2)"
+    newest = F.row_number().over(Window.partitionBy("owner", "account_id", "import_batch_id").orderBy(F.desc("ts"), F.desc("txn_id")))
+    side = txns.filter("is_loan and amount is not null").withColumn("n", newest).filter(F.col("n") <= LOAN_ROWS).drop("n")
+    day = F.to_date("ts")
+    sums = side.groupBy("owner", "account_id", "import_batch_id").agg(F.sum("amount").cast(money).alias("total"), F.date_sub(F.min(day), LOAN_DAYS).alias("low"), F.date_add(F.max(day), LOAN_DAYS).alias("high"))
+    whole = lambda c: F.floor(c).cast("long")
+    wanted = sums.withColumn("unit", F.explode(F.sequence(whole(-F.col("total")) - 1, whole(-F.col("total")) + 1)))
+    free = txns.filter("amount is not null").join(grouped.select("txn_id"), "txn_id", "left_anti").select("owner", F.col("account_id").alias("bank_id"), F.col("txn_id").alias("payment_id"), day.alias("day"), F.col("amount").alias("paid"), whole(F.col("amount")).alias("unit"))
+    off = F.abs(F.col("paid") + F.col("total"))
+    pairs = wanted.join(free, ["owner", "unit"]).filter((F.col("bank_id") != F.col("account_id")) & F.col("day").between(F.col("low"), F.col("high")) & (off <= F.lit(LOAN_SLACK).cast(money)))
+    # in_date_order takes the rows of an owner in order and gives each its best free partner.
+    batch = F.struct("import_batch_id", "account_id")
+    found = pairs.select(F.col("owner").alias("account_id"), batch.alias("ts"), F.xxhash64("import_batch_id", "account_id").alias("txn_id"), "payment_id", (-off).cast("double").alias("score"), "paid")
+    taken = in_date_order(found, float("-inf")).select(F.col("account_id").alias("owner"), "ts.import_batch_id", "ts.account_id", "payment_id", "paid")
+    members = side.join(taken.select("owner", "import_batch_id", "account_id"), ["owner", "import_batch_id", "account_id"])
+    key = lambda *rest: [F.col("import_batch_id").alias("batch_id"), F.col("account_id").alias("loan_id"), *rest]
+    inflow = members.select(*key("txn_id", F.lit("loan_inflow").alias("role"), F.col("amount").cast(money).alias("amount")))
+    return inflow.unionAll(taken.select(*key(F.col("payment_id").alias("txn_id"), F.lit("bank_outflow").alias("role"), F.col("paid").cast(money).alias("amount"))))

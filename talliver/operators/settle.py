@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -169,6 +169,11 @@ def settle_backlog(txns: DataFrame, schedules: DataFrame, since: str, passes: in
     return settled.select("pass", "txn_id", "payment_id", "due", "score", "decision").unionByName(first)
 
 
+def _interest_on(balance: Column, rate: Column) -> Column:
+    """A month's interest in cents, rounded half away from zero, with the sign of the balance."""
+    return (F.round(F.abs(balance).cast("decimal(24,2)") * rate.cast("decimal(12,10)"), 2) * F.signum(balance.cast("double")).cast("int")).cast("decimal(38,2)")
+
+
 def accrue_interest(txns: DataFrame, rates: DataFrame, through: str, posted: DataFrame) -> DataFrame:
     """(account_id, month, interest): monthly interest on the balance at each month's end, earlier interest included.
 
@@ -190,13 +195,49 @@ def accrue_interest(txns: DataFrame, rates: DataFrame, through: str, posted: Dat
 
     def step(acc, m):
         balance = (acc["balance"] + m["moved"]).cast(money)
-        interest = F.when(m["done"], F.lit(0).cast(money)).otherwise((F.round(F.abs(balance).cast("decimal(24,2)") * F.col("monthly_rate").cast("decimal(12,10)"), 2) * F.signum(balance.cast("double")).cast("int")).cast(money))
+        interest = F.when(m["done"], F.lit(0).cast(money)).otherwise(_interest_on(balance, F.col("monthly_rate")))
         return F.struct((balance + interest).cast(money).alias("balance"), F.concat(acc["out"], F.array(F.struct(m["month"].alias("month"), interest.alias("interest")))).alias("out"))
 
     rows = folded.select("account_id", F.explode(F.aggregate("months", start, step)["out"]).alias("r"))
     return rows.select("account_id", "r.month", "r.interest").filter("interest <> 0")
 
 
+def resync_interest(txns: DataFrame, accounts: DataFrame, through: str) -> DataFrame:
+    """(account_id, from_month, action, txn_id, day, amount): what makes posted interest agree with the rows it was charged on.
+
+    ``txns`` has is_interest, ``accounts`` monthly_rate and balance_truth_source.
+    Only accounts whose ledger is their balance and that accrue already are
+    looked at.  A month is wrong if it has two postings or more, or if its
+    posting isn't the interest on the balance at its end without it; from the
+    first wrong month on all postings go (``remove``) and the run is posted
+    again (``post``).  Later months rest on earlier postings as they stand, so
+    the first wrong month follows from running sums; only the new run is folded.
+    """
+    month, money = F.trunc(F.to_date("ts"), "month"), "decimal(38,2)"
+    own = accounts.filter("monthly_rate > 0 and balance_truth_source in ('transaction_sum', 'hybrid')").select("account_id", "monthly_rate")
+    rows = txns.join(own, "account_id").withColumn("month", month)
+    sums = rows.groupBy("account_id", "monthly_rate", "month").agg(
+        F.coalesce(F.sum(F.when(~F.col("is_interest"), F.col("amount"))), F.lit(0)).cast(money).alias("moved"), F.coalesce(F.sum(F.when(F.col("is_interest"), F.col("amount"))), F.lit(0)).cast(money).alias("posted"), F.count_if("is_interest").alias("n")
+    )
+    end = F.lit(through).cast("date")
+    last = F.when(F.last_day(end) == end, F.trunc(end, "month")).otherwise(F.add_months(F.trunc(end, "month"), -1))
+    spans = sums.groupBy("account_id", "monthly_rate").agg(F.min("month").alias("first"), F.sum("n").alias("all")).filter((F.col("all") > 0) & (F.col("first") <= last))
+    grid = spans.select("account_id", "monthly_rate", F.explode(F.sequence("first", last, F.expr("interval 1 month"))).alias("month")).join(sums.drop("monthly_rate"), ["account_id", "month"], "left").fillna(0, ["n"])
+    run = Window.partitionBy("account_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0)).cast(money)
+    balance = (total("moved") + total("posted") - F.coalesce("posted", F.lit(0))).cast(money)
+    grid = grid.withColumn("expected", _interest_on(balance, F.col("monthly_rate")))
+    wrong = grid.filter((F.col("n") > 1) | (F.coalesce("posted", F.lit(0)).cast(money) != F.col("expected"))).groupBy("account_id").agg(F.min("month").alias("from_month"))
+    wrong = stored(wrong)
+    touched = txns.join(wrong, "account_id").withColumn("month", month)
+    gone = F.col("is_interest") & (F.col("month") >= F.col("from_month"))
+    removed = touched.filter(gone).select("account_id", "from_month", F.lit("remove").alias("action"), "txn_id", F.to_date("ts").alias("day"), F.col("amount").cast(money).alias("amount"))
+    left = touched.filter(~gone)
+    posted = left.filter("is_interest").select("account_id", "month")
+    again = accrue_interest(left, own, through, posted).join(wrong, "account_id").filter("month >= from_month")
+    return removed.unionAll(again.select("account_id", "from_month", F.lit("post"), F.lit(None).cast("long"), F.last_day("month"), "interest"))
+
+
 def trailing_average(payments: DataFrame, txns: DataFrame, as_of: str, months: int = 6, similarity=text_similarity, least: float = 0.6) -> DataFrame:
     """(payment_id, n, amount): the mean of an account's rows of a payment's sign that look like it, over the last months; its own amount if fewer than two do.
 

@@ -84,6 +84,16 @@ VIEWS = {
     "report_lines": """SELECT o_custkey AS file, CAST(-1 AS BIGINT) AS block, CAST(0 AS BIGINT) AS seq, 'Trades,Header,DataDiscriminator,Asset Category,Symbol,Date/Time,Quantity,Proceeds' AS line FROM {orders} GROUP BY o_custkey
  UNION ALL SELECT o.o_custkey, CAST(l.l_orderkey AS BIGINT), CAST(l.l_linenumber AS BIGINT), concat('Trades,Data,', CASE l.l_linenumber % 4 WHEN 0 THEN 'Trade' ELSE 'Order' END, ',Stocks,S', CAST(l.l_partkey AS VARCHAR(12)), ',', CASE l.l_linenumber % 5 WHEN 1 THEN 'someday' ELSE CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR(10)) END,
   ',"', CAST(CAST(l.l_quantity AS INTEGER) AS VARCHAR(9)), '",(', CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(20)), ')') FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey""",
+    "card_rows": """SELECT txn_id, account_id, ts, amount, CASE txn_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN concat(chr(123), '"Post Date": " ', CAST(month(p) AS VARCHAR(2)), '/', CAST(day(p) AS VARCHAR(2)), '/', CAST(year(p) AS VARCHAR(4)), '"', chr(125))
+  WHEN 3 THEN concat(chr(123), '"Amount": "1", "Post Date": "", "posted_date": "', CAST(day(p) AS VARCHAR(2)), '/', CAST(month(p) AS VARCHAR(2)), '/', CAST(year(p) AS VARCHAR(4)), '"', chr(125)) WHEN 4 THEN concat(chr(123), '"Settlement Date": "', CAST(p AS VARCHAR(10)), '"', chr(125)) ELSE concat(chr(123), '"Post Date": "soon"', chr(125)) END AS raw_data
+ FROM (SELECT o_orderkey AS txn_id, o_custkey AS account_id, o_orderdate AS ts, date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 17 - 1 AS INT)) AS p, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM {orders}) x""",
+    "stock_trades": """SELECT o.o_custkey AS account_id, l.l_partkey % 4 AS instrument_id, CAST(l.l_shipdate AS DATE) AS trade_ts, CAST(CASE WHEN l.l_returnflag='R' THEN -l.l_quantity ELSE l.l_quantity END AS DECIMAL(18,6)) AS quantity
+ FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey WHERE o.o_custkey % 5 > 0""",
+    "lots": """SELECT c_custkey AS account_id, c_custkey % 4 AS instrument_id, CAST(c_custkey % 90 AS DECIMAL(18,6)) AS quantity FROM {customer} WHERE c_custkey % 3 > 0""",
+    "quotes": """SELECT l_partkey % 4 AS instrument_id, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS day, max(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE)) AS close FROM {lineitem}
+ WHERE (l_partkey % 4 + month(l_shipdate)) % 5 > 0 GROUP BY 1, 2""",
+    "loan_rows": """SELECT event_id AS txn_id, user_id AS account_id, CAST(floor(user_id / 3) AS BIGINT) AS owner, ts, CAST(CASE WHEN user_id % 3 = 0 THEN floor(value/25)*25+25 ELSE -(floor(value/25)*25+25) END + CASE WHEN event_id % 4 = 0 THEN 0.75 ELSE 0 END AS DECIMAL(18,2)) AS amount,
+ CAST(floor(event_id / 300) AS BIGINT) AS import_batch_id, user_id % 3 = 0 AS is_loan FROM {events}""",
 }
 _BASE = ("customer", "orders", "part", "lineitem", "events", "supplier")
 
