@@ -34,6 +34,8 @@ from talliver.llm.textkernels import SPACE, Words, sequence_hash, slices, window
 
 #: Order of posted shingles only: at most so many frequent shingles are ranked, and so often a task must see one.
 FREQUENT, SEEN = 500_000, 3
+#: Counts from here on are one step of their histogram.
+STEPS = 1 << 15
 #: Tokens that a task counts at once when it looks for frequent shingles.
 COUNTED = 500_000
 #: Nodes that a task remembers, so as not to send exact copies twice.
@@ -447,6 +449,24 @@ def _candidates(members: DataFrame, sigs: DataFrame, num: int, den: int) -> Data
     return groups
 
 
+def _most_frequent(seen: DataFrame) -> DataFrame:
+    """(node, c): shingles with the greatest counts, FREQUENT at most.
+
+    A histogram of the counts gives the least one that is taken, so only
+    shingles that are taken leave their tasks.  Which of them are known
+    changes the order of a text's shingles and nothing else.
+    """
+    counts = cut(seen.groupBy("node").agg(F.sum("n").alias("c")), "counts")
+    sizes = sorted(((r["c"], r["rows"]) for r in counts.groupBy(F.least("c", F.lit(STEPS)).alias("c")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    total, least = 0, STEPS
+    for c, rows in sizes:
+        total += rows
+        if total > FREQUENT:
+            break
+        least = c
+    return counts.filter(F.col("c") >= least).limit(FREQUENT)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, count: bool = True) -> tuple[DataFrame, DataFrame]:
     """(profile, classes).
 
@@ -464,7 +484,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = cut(keyed.mapInArrow(_profile(k), "kind int, id long, text_key long, node long, n long, bits binary"), "profile")
     profile = found.filter("kind = 0").select("id", "text_key", "node", "n")
     sigs = cut(found.filter("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("weight"), F.min("id").alias("low")), "signatures")
-    often = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "node").limit(FREQUENT).toArrow()
+    often = _most_frequent(found.filter("kind = 1")).toArrow()
     tokens = often["node"].to_numpy().view(np.uint64)
     by = np.argsort(tokens)
     order = spark.sparkContext.broadcast((tokens[by], often["c"].to_numpy()[by]))

@@ -92,6 +92,15 @@ def test_ngram_join_of_a_large_group_about_the_threshold(spark, monkeypatch):
     same([(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got], [(d, *c, n) for (d, _), c, n in zip(rows, brute.components(rows), want, strict=True)])
 
 
+def test_most_frequent_by_histogram(spark, monkeypatch):
+    """The greatest counts, no more than wanted, ties at the cut left out."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 6)
+    monkeypatch.setattr(ngram_join, "STEPS", 50)
+    seen = spark.createDataFrame([(1, 40), (1, 30), (2, 60), (3, 9), (4, 9), (5, 8), (6, 7), (7, 7), (8, 1)], "node long, n long")
+    assert sorted((r["node"], r["c"]) for r in ngram_join._most_frequent(seen).collect()) == [(1, 70), (2, 60), (3, 9), (4, 9), (5, 8)]
+    assert ngram_join._most_frequent(seen.limit(0)).collect() == []
+
+
 def test_common_counts():
     sets = [np.array(sorted(R.sample(range(90), R.randrange(1, 60))), np.uint64) for _ in range(30)] + [np.array([1000], np.uint64)]
     of = ngram_join.common_counts(sets)
