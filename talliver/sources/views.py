@@ -94,6 +94,12 @@ VIEWS = {
  WHERE (l_partkey % 4 + month(l_shipdate)) % 5 > 0 GROUP BY 1, 2""",
     "loan_rows": """SELECT event_id AS txn_id, user_id AS account_id, CAST(floor(user_id / 3) AS BIGINT) AS owner, ts, CAST(CASE WHEN user_id % 3 = 0 THEN floor(value/25)*25+25 ELSE -(floor(value/25)*25+25) END + CASE WHEN event_id % 4 = 0 THEN 0.75 ELSE 0 END AS DECIMAL(18,2)) AS amount,
  CAST(floor(event_id / 300) AS BIGINT) AS import_batch_id, user_id % 3 = 0 AS is_loan FROM {events}""",
+    # Orders as documents; every fifth net amount is off by a unit, every seventh document lacks something.
+    "order_lines": """SELECT o.o_orderkey AS n, o.o_custkey AS account_id, CAST(o.o_orderdate AS DATE) AS day, o.o_orderkey % 2 = 0 AS pay, CASE WHEN o.o_orderkey % 7 = 3 THEN o.o_orderkey % 4 ELSE -1 END AS lacks, CAST(CASE WHEN o.o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS off, l.l_linenumber AS k,
+ CASE l.l_suppkey % 5 WHEN 0 THEN 'income' WHEN 1 THEN 'expense' WHEN 2 THEN 'transfer' WHEN 3 THEN 'liability' ELSE 'other' END AS kind,
+ CASE l.l_partkey % 12 WHEN 0 THEN 'salary_gross' WHEN 1 THEN 'federal_tax' WHEN 2 THEN 'retirement_401k' WHEN 3 THEN 'dental' WHEN 4 THEN 'net_pay' WHEN 5 THEN 'Rent' WHEN 6 THEN 'owner_draw' WHEN 7 THEN 'prepaid_rent' WHEN 8 THEN 'medicare' ELSE 'misc' END AS code,
+ CASE WHEN l.l_suppkey % 3 = 0 THEN 'Property tax' ELSE 'Other' END AS label, CAST(CASE WHEN l.l_suppkey % 5 = 0 THEN l.l_extendedprice ELSE -l.l_extendedprice END AS DECIMAL(18,2)) AS amount, l.l_partkey % 3 > 0 AS is_cash, l.l_linenumber = 5 AS excluded
+ FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey""",
 }
 _BASE = ("customer", "orders", "part", "lineitem", "events", "supplier")
 
