@@ -25,17 +25,20 @@ def suggest_reconciliation(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
     return one_to_one(free.withColumn("score", -F.col("gap").cast("double")), "out_id", "in_id").select("out_id", "in_id", "gap")
 
 
-def reconcile_placeholders(placeholders: DataFrame, ledger: DataFrame, days: int = 3) -> DataFrame:
+def reconcile_placeholders(placeholders: DataFrame, ledger: DataFrame, days: int = 3, confirmed_days: int = 7) -> DataFrame:
     """(placeholder_id, txn_id, gap): the nearest bank row of equal account and amount replaces a placeholder, each once.
 
-    Day blocks with their neighbours make the band an equi-join.
+    A placeholder is within ``days`` of its bank row, or within
+    ``confirmed_days`` if it is a confirmed occurrence of a schedule (a column
+    ``confirmed``, if it is there).  Day blocks with their neighbours make the band an equi-join.
     """
-    shape = lambda df, name: df.select("account_id", "amount", F.to_date("ts").alias(f"{name}_day"), F.col("txn_id").alias(name))
-    block = lambda c: F.floor(F.unix_date(c) / (days + 1))
-    left = shape(placeholders, "placeholder_id").withColumn("block", F.explode(F.sequence(block("placeholder_id_day") - 1, block("placeholder_id_day") + 1)))
+    shape = lambda df, name, *more: df.select("account_id", "amount", F.to_date("ts").alias(f"{name}_day"), F.col("txn_id").alias(name), *more)
+    reach = F.when(F.col("confirmed"), confirmed_days).otherwise(days) if "confirmed" in placeholders.columns else F.lit(days)
+    block = lambda c: F.floor(F.unix_date(c) / (max(days, confirmed_days) + 1))
+    left = shape(placeholders, "placeholder_id", reach.alias("reach")).withColumn("block", F.explode(F.sequence(block("placeholder_id_day") - 1, block("placeholder_id_day") + 1)))
     right = shape(ledger, "txn_id").withColumn("block", block("txn_id_day"))
     gap = F.abs(F.datediff("txn_id_day", "placeholder_id_day"))
-    near = left.join(right, ["account_id", "amount", "block"]).withColumn("gap", gap).filter(F.col("gap") <= days)
+    near = left.join(right, ["account_id", "amount", "block"]).withColumn("gap", gap).filter(F.col("gap") <= F.col("reach"))
     return one_to_one(near.select("placeholder_id", "txn_id", "gap", F.lit(0.0).alias("score")), "placeholder_id", "txn_id").drop("score")
 
 
@@ -52,11 +55,13 @@ def dismissed_groups(rows: DataFrame, dismissed: DataFrame) -> DataFrame:
     return duplicate_groups(rows).join(dismissed.select(*KEY), KEY, "left_semi")
 
 
-def training_pairs(deleted: DataFrame, ledger: DataFrame, dismissed: DataFrame) -> DataFrame:
-    """(a, b, same): each deleted row with its first surviving twin, and the ends of each dismissed group."""
+def training_pairs(deleted: DataFrame, ledger: DataFrame, dismissed: DataFrame, limit: int | None = None) -> DataFrame:
+    """(a, b, same): each deleted row with its first surviving twin, and the ends of each dismissed group; the newest ``limit`` of each class, if it is given."""
     twins = ledger.groupBy("account_id", F.to_date("ts").alias("day"), "amount").agg(F.min("txn_id").alias("b"))
     same = deleted.withColumn("day", F.to_date("ts")).join(twins, KEY).select(F.col("txn_id").alias("a"), "b", F.lit(True).alias("same"))
     other = dismissed_groups(ledger, dismissed).select(F.col("first_id").alias("a"), F.col("last_id").alias("b"), F.lit(False).alias("same"))
+    if limit is not None:
+        same, other = (df.orderBy(F.desc("a"), "b").limit(limit) for df in (same, other))
     return same.unionByName(other)
 
 

@@ -29,7 +29,7 @@ def preset_start(as_of: str, preset: str) -> Column:
     return {"ytd": F.trunc(end, "year"), "mtd": F.trunc(end, "month"), "1y": F.date_sub(end, 365), "2y": F.date_sub(end, 730), "all": F.lit(None).cast("date")}[preset]
 
 
-def filter_transactions(df: DataFrame, account=None, category=None, date_from=None, date_to=None, text=None, is_transfer=None, least=None, most=None) -> DataFrame:
+def filter_transactions(df: DataFrame, account=None, category=None, date_from=None, date_to=None, text=None, is_transfer=None, least=None, most=None, currency=None) -> DataFrame:
     """Rows that meet every condition given; text is found in any case."""
     tests = [
         account is not None and (F.col("account_id") == account),
@@ -40,6 +40,7 @@ def filter_transactions(df: DataFrame, account=None, category=None, date_from=No
         is_transfer is not None and (F.col("is_transfer") == is_transfer),
         least is not None and (F.col("amount") >= least),
         most is not None and (F.col("amount") <= most),
+        currency is not None and (F.col("currency") == currency),
     ]
     for test in tests:
         if test is not False:

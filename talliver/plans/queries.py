@@ -284,9 +284,10 @@ def a8_account_counts(led):
     return led.transactions.groupBy("account_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT txn_id, account_id, ts, description, amount FROM transactions WHERE CAST(ts AS DATE) >= DATE '1999-01-01' AND CAST(ts AS DATE) <= DATE '2000-12-31' AND contains(lower(description), '3') AND NOT is_transfer AND amount BETWEEN -100000 AND 50000", "transactions")
+@query("SELECT txn_id, account_id, ts, description, amount FROM transactions WHERE CAST(ts AS DATE) >= DATE '1999-01-01' AND CAST(ts AS DATE) <= DATE '2000-12-31' AND contains(lower(description), '3') AND NOT is_transfer AND amount BETWEEN -100000 AND 50000 AND account_id IN (SELECT account_id FROM accounts WHERE currency = 'EUR')", "transactions accounts")
 def f1_filter_transactions(led):
-    return spend.filter_transactions(led.transactions, date_from="1999-01-01", date_to="2000-12-31", text="3", is_transfer=False, least=-100000, most=50000).select("txn_id", "account_id", "ts", "description", "amount")
+    rows = led.transactions.join(led.accounts.select("account_id", "currency"), "account_id")
+    return spend.filter_transactions(rows, currency="EUR", date_from="1999-01-01", date_to="2000-12-31", text="3", is_transfer=False, least=-100000, most=50000).select("txn_id", "account_id", "ts", "description", "amount")
 
 
 @query("SELECT txn_id, account_id, amount FROM transactions WHERE account_id IN (SELECT account_id FROM accounts WHERE user_id = 7)", "transactions accounts")
@@ -665,11 +666,6 @@ def a26_data_quality(led):
     return jobs.data_quality(led.transactions, led.splits, led.accounts, AS_OF)
 
 
-@query(f"WITH {_QUALITY} SELECT count(*) FILTER (n > 0 AND severity = 'blocker') AS blockers, count(*) FILTER (n > 0 AND severity = 'warning') AS warnings, CAST(greatest(0, 100 - sum(CASE WHEN n > 0 THEN CASE severity WHEN 'blocker' THEN 20 ELSE 5 END ELSE 0 END)) AS BIGINT) AS score FROM qq", "transactions splits accounts")
-def a26_quality_score(led):
-    return jobs.quality_score(jobs.data_quality(led.transactions, led.splits, led.accounts, AS_OF))
-
-
 @query(f"SELECT account_id, CAST(max(ts) AS DATE) AS last FROM transactions JOIN accounts USING (account_id) GROUP BY 1 HAVING date_diff('day', CAST(max(ts) AS DATE), DATE '{AS_OF}') > 30", "transactions accounts")
 def a27_stale_accounts(led):
     return jobs.stale_accounts(led.accounts, led.transactions, AS_OF)
@@ -740,7 +736,7 @@ def j7_suggest_reconciliation(led):
 
 @query()
 def j11_reconcile_placeholders(led):
-    return links.reconcile_placeholders(led.feed.filter("txn_id % 9 = 0"), led.feed.filter("txn_id % 9 <> 0"))
+    return links.reconcile_placeholders(led.feed.filter("txn_id % 9 = 0").withColumn("confirmed", F.expr("txn_id % 2 = 0")), led.feed.filter("txn_id % 9 <> 0"))
 
 
 @query(

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from talliver.plans import filing, folding, matching, papers, reporting  # noqa: F401
+from talliver.plans import closing, filing, folding, matching, papers, reporting  # noqa: F401
 from talliver.plans.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
