@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talliver.functions.rules import type_group
-from talliver.operators.fx import asof_join, rate_asof
+from talliver.operators.fx import rate_asof
 
 MONEY = "decimal(38,2)"
 
@@ -17,32 +17,57 @@ def txn_sum(txns: DataFrame, as_of=None) -> DataFrame:
     return rows.groupBy("account_id").agg(F.sum("amount").cast(MONEY).alias("total"), F.count("*").alias("n_rows"))
 
 
-def marker_balance(txns: DataFrame, running: DataFrame, dates: DataFrame) -> DataFrame:
-    """(account_id, as_of, marker, marker_day) for each as-of day of ``dates``.
+def closing_rows(rows: DataFrame) -> DataFrame:
+    """(account_id, day, value) of the rows (txn_id, account_id, day, amount, balance_after) that close their day.
 
-    The day is the last one with a running balance.  Its closing row is the
-    one that no other row of the day follows, i.e. whose balance is no other
-    row's balance before its amount; else the one with the highest id.  Rows
-    after that day that carry no balance are added.
+    The closing row is the one that no other row of the day follows, i.e.
+    whose balance is no other row's balance before its amount; else the one
+    with the highest id.
     """
-    rows = txns.select("txn_id", "account_id", F.to_date("ts").alias("day"), "amount").join(running.select("txn_id", "balance_after"), "txn_id")
     held = rows.filter("balance_after is not null")
     before = held.select("account_id", "day", (F.col("balance_after") - F.col("amount")).cast(MONEY).alias("closing"), F.col("txn_id").alias("next_id"))
     closing = held.withColumn("closing", F.col("balance_after").cast(MONEY)).join(before, ["account_id", "day", "closing"], "left").filter("next_id is null or next_id <> txn_id")
     ends = closing.groupBy("account_id", "day", "txn_id", "balance_after").agg(F.count("next_id").alias("followers"))
     ends = ends.groupBy("account_id", "day").agg(F.max(F.struct((F.col("followers") == 0).alias("last"), "txn_id", "balance_after")).alias("c"))
-    ends = ends.select("account_id", "day", F.col("c.balance_after").cast(MONEY).alias("value"))
-    # Sums of the rows without a balance, by day, so that a window over days gives the tail.
-    loose = rows.filter("balance_after is null").groupBy("account_id", "day").agg(F.sum("amount").cast(MONEY).alias("loose"))
-    days = ends.join(loose, ["account_id", "day"], "full")
-    run = Window.partitionBy("account_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    days = days.withColumn("sofar", F.coalesce(F.sum("loose").over(run), F.lit(0).cast(MONEY)).cast(MONEY))
-    days = days.withColumn("m", F.when(F.col("value").isNotNull(), F.struct("day", "value", "sofar")))
-    days = days.withColumn("m", F.last("m", ignorenulls=True).over(run)).select("account_id", "day", F.struct("m", "sofar").alias("state"))
-    probes = days.select("account_id").distinct().crossJoin(F.broadcast(dates))  # dates: the as-of days asked for
-    state = asof_join(probes.withColumn("o", F.lit(0)), days.withColumn("o", F.lit(0)), "account_id", "as_of", "day", "o", "state", "state")
-    found = state.filter("state.m is not null")
-    return found.select("account_id", "as_of", (F.col("state.m.value") + F.col("state.sofar") - F.col("state.m.sofar")).cast(MONEY).alias("marker"), F.col("state.m.day").alias("marker_day"))
+    return ends.select("account_id", "day", F.col("c.balance_after").cast(MONEY).alias("value"))
+
+
+def account_states(probes: DataFrame, anchors: DataFrame, txns: DataFrame, running: DataFrame, valuations: DataFrame | None = None) -> DataFrame:
+    """(account_id, as_of, total, at_anchor, marker, marker_day, mark, mark_day) for each (account_id, as_of) of ``probes``.
+
+    The sum of the rows up to the day and up to the account's anchor (account_id,
+    day); the balance of the last closing row with what came after it without a
+    balance; the newest valuation.  Day sums, closing rows, valuations, anchors
+    and probes are one line per account, so all of it is one shuffle of days
+    and one sort.
+    """
+    rows = txns.select("txn_id", "account_id", F.to_date("ts").alias("day"), "amount").join(running.select("txn_id", "balance_after", F.lit(True).alias("known")), "txn_id", "left")
+    kinds = {"day_sum": MONEY, "loose": MONEY, "value": MONEY, "marked": f"struct<day: date, v: {MONEY}>", "anchor": "boolean", "probe": "boolean"}
+    shape = lambda df: df.select("account_id", "day", *[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    line = shape(rows.groupBy("account_id", "day").agg(F.sum("amount").cast(MONEY).alias("day_sum"), F.sum(F.when(F.col("known") & F.col("balance_after").isNull(), F.col("amount"))).cast(MONEY).alias("loose")))
+    line = line.unionAll(shape(closing_rows(rows.filter("known")))).unionAll(shape(anchors.dropna().withColumn("anchor", F.lit(True)))).unionAll(shape(probes.select("account_id", F.col("as_of").alias("day"), F.lit(True).alias("probe"))))
+    if valuations is not None:
+        newest = valuations.groupBy("account_id", F.col("val_date").alias("day")).agg(F.max(F.struct("valuation_id", "value")).alias("m"))
+        line = line.unionAll(shape(newest.select("account_id", "day", F.struct("day", F.col("m.value").alias("v")).alias("marked"))))
+    # Rows of a day are peers, so their order within it makes no difference.
+    upto = Window.partitionBy("account_id").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast(MONEY)
+    line = line.withColumns({"total": F.sum("day_sum").over(upto).cast(MONEY), "tail": F.coalesce(F.sum("loose").over(upto), zero).cast(MONEY), "marked": F.last("marked", ignorenulls=True).over(upto)})
+    closes = F.when(F.col("value").isNotNull(), F.struct("day", "value", "tail"))
+    line = line.withColumns({"m": F.last(closes, ignorenulls=True).over(upto), "at_anchor": F.max(F.when(F.col("anchor"), F.col("total"))).over(Window.partitionBy("account_id"))})
+    marker = (F.col("m.value") + F.col("tail") - F.col("m.tail")).cast(MONEY)
+    return line.filter("probe").select("account_id", F.col("day").alias("as_of"), "total", "at_anchor", marker.alias("marker"), F.col("m.day").alias("marker_day"), F.col("marked.v").alias("mark"), F.col("marked.day").alias("mark_day"))
+
+
+def marker_balance(txns: DataFrame, running: DataFrame, dates: DataFrame) -> DataFrame:
+    """(account_id, as_of, marker, marker_day) for each as-of day of ``dates``, of accounts that have a marker by then.
+
+    The day is the last one with a running balance; rows after it that carry no
+    balance are added to its closing row's.
+    """
+    probes = txns.select("account_id").distinct().crossJoin(F.broadcast(dates))  # dates: the as-of days asked for
+    none = txns.select("account_id", F.to_date("ts").alias("day")).limit(0)
+    return account_states(probes, none, txns, running).filter("marker is not null").select("account_id", "as_of", "marker", "marker_day")
 
 
 def balances(accounts: DataFrame, txns: DataFrame, running: DataFrame, valuations: DataFrame, rates: DataFrame, dates: DataFrame, base: str = "USD") -> DataFrame:
@@ -52,18 +77,11 @@ def balances(accounts: DataFrame, txns: DataFrame, running: DataFrame, valuation
     marker comes before anchored statements and sums; statements age after 45
     days, valuations after 90.
     """
-    grid = accounts.crossJoin(F.broadcast(dates))
-    day = F.to_date("ts")
-    daily = txns.groupBy("account_id", day.alias("day")).agg(F.sum("amount").cast(MONEY).alias("day_sum"))
-    run = Window.partitionBy("account_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    daily = daily.withColumn("sofar", F.sum("day_sum").over(run).cast(MONEY)).withColumn("o", F.lit(0))
+    probes = accounts.select("account_id").crossJoin(F.broadcast(dates))
+    anchors = accounts.select("account_id", F.col("statement_balance_as_of").alias("day"))
+    states = account_states(probes, anchors, txns, running, valuations).withColumnRenamed("total", "txn_total")
+    grid = states.join(accounts, "account_id")
     zero = F.lit(0).cast(MONEY)
-    grid = asof_join(grid, daily, "account_id", "as_of", "day", "o", "sofar", "txn_total").drop("txn_total_day")
-    anchors = accounts.select("account_id", F.col("statement_balance_as_of").alias("as_of"))
-    anchors = asof_join(anchors, daily, "account_id", "as_of", "day", "o", "sofar", "at_anchor").select("account_id", "at_anchor")
-    grid = grid.join(anchors, "account_id", "left")
-    grid = asof_join(grid, valuations, "account_id", "as_of", "val_date", "valuation_id", "value", "mark")
-    grid = grid.join(marker_balance(txns, running, dates), ["account_id", "as_of"], "left")
 
     kind = F.col("balance_truth_source")
     since = (F.coalesce("txn_total", zero) - F.coalesce("at_anchor", zero)).cast(MONEY)

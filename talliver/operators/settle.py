@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from talliver.functions.rules import MONTH_STEPS, step_date
-from talliver.functions.text import grouping_key, text_similarity
+from talliver.functions.text import comparison_key, grouping_key, text_similarity
 from talliver.operators.pairs import stored
 
 # Scores that settle and that propose, days beyond which a date says nothing, and weights.
@@ -242,7 +242,8 @@ def trailing_average(payments: DataFrame, txns: DataFrame, as_of: str, months: i
     """(payment_id, n, amount): the mean of an account's rows of a payment's sign that look like it, over the last months; its own amount if fewer than two do.
 
     A row looks like a payment if their keys are equal or their texts are
-    alike.  Rows meet as sums of equal texts, so repeated texts are compared once.
+    alike.  Rows meet as sums of equal texts, so repeated texts are compared
+    once; texts whose lengths alone keep them below ``least`` are not compared.
     """
     day = F.lit(as_of).cast("date")
     rows = txns.filter((F.to_date("ts") >= F.date_sub(day, int(months * 30.5))) & ~F.col("is_transfer") & (F.col("amount") != 0))
@@ -251,6 +252,10 @@ def trailing_average(payments: DataFrame, txns: DataFrame, as_of: str, months: i
     owed = payments.select("payment_id", "account_id", F.col("amount").alias("due"), (F.coalesce("amount", F.lit(0)) >= 0).alias("up"), F.lower(F.coalesce("description", F.lit(""))).alias("due_text"))
     pairs = owed.join(sums, ["account_id", "up"])
     same = grouping_key(F.col("text")) == grouping_key(F.col("due_text"))
+    # No ratio of two texts exceeds twice the shorter length over both lengths.
+    bound = lambda a, b: F.coalesce(F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)), F.lit(1.0))
+    close = F.greatest(bound(F.col("text"), F.col("due_text")), bound(comparison_key(F.col("text")), comparison_key(F.col("due_text"))))
+    pairs = pairs.filter(same | (close >= least))
     alike = pairs.withColumn("same", same).withColumn("like", F.when(F.col("same"), 1.0).otherwise(similarity(F.col("text"), F.col("due_text")))).filter(F.col("like") >= least)
     means = alike.groupBy("payment_id").agg(F.sum("c").alias("n"), F.sum("total").alias("total"))
     out = payments.select("payment_id", "amount").join(means, "payment_id", "left")

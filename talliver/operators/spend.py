@@ -89,8 +89,10 @@ def recurring_expenses(txns: DataFrame, as_of: str) -> DataFrame:
 
 
 def category_stats(categories: DataFrame, txns: DataFrame) -> DataFrame:
-    rows = categories.join(txns, "category_id", "left").groupBy("category_id", "name")
-    return rows.agg(F.count("txn_id").alias("n"), money(F.coalesce(F.sum("amount"), F.lit(0))).alias("total"))
+    """(category_id, name, n, total) of every category; rows are summed by category before they meet its name."""
+    sums = txns.groupBy("category_id").agg(F.count("txn_id").alias("c"), F.sum("amount").alias("s"))
+    named = categories.select("category_id", "name").join(sums, "category_id", "left")
+    return named.groupBy("category_id", "name").agg(F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("n"), money(F.coalesce(F.sum("s"), F.lit(0))).alias("total"))
 
 
 def category_totals(txns: DataFrame, categories: DataFrame) -> DataFrame:
