@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talliver.functions import text
-from talliver.operators import pairs, tasks
+from talliver.operators import pairs, portfolio, tasks
 from talliver.plans.matching import _KEY, _RATIO, _RULES, _rules
-from talliver.plans.queries import AS_OF, query
+from talliver.plans.queries import _CLASSED, AS_OF, query
 from talliver.plans.reporting import _COUNTERS, _SEEN, _counters
 
 _LIKE = f"greatest({_RATIO.format('lower(x.text)', 'lower(y.text)')}, {_RATIO.format(_KEY.format('x.text'), _KEY.format('y.text'))})"
@@ -104,3 +104,96 @@ def a27_task_list(led):
     links = txns.filter("is_transfer").select("txn_id", (F.col("txn_id") % 3 == 0).alias("confirmed"))
     owed = led.schedules.withColumn("level", F.expr(_LEVEL.replace("s.amount", "amount")))
     return tasks.task_list(accounts, txns, links, pairs.duplicate_groups(led.feed), owed, owed.filter("payment_id % 7 = 0"), "2001-08-14")
+
+
+@query(
+    """WITH p AS (SELECT instrument_id, max(day) AS day, max_by(close, day) AS price FROM quotes GROUP BY 1),
+v AS (SELECT account_id, instrument_id, day, CAST(round_even(CAST(quantity * CAST(price AS DECIMAL(18,2)) AS DOUBLE), 2) AS DECIMAL(38,2)) AS v FROM lots JOIN p USING (instrument_id) WHERE instrument_id <> 2)
+SELECT account_id, count(DISTINCT instrument_id) AS n_funds, CAST(sum(v) AS DECIMAL(38,2)) AS value, max(day) AS as_of FROM v GROUP BY 1""",
+    "lots quotes",
+)
+def a32_fund_value(led):
+    return portfolio.fund_value(led.lots, led.quotes.filter("instrument_id <> 2").withColumnRenamed("close", "price"))
+
+
+@query(
+    """WITH p AS (SELECT instrument_id, max_by(close, day) AS price FROM quotes GROUP BY 1),
+s AS (SELECT account_id, instrument_id, sum(CASE WHEN quantity % 3 = 0 THEN CAST(1 AS DECIMAL(18,6)) WHEN trade_ts > DATE '1998-06-30' THEN abs(quantity) ELSE 0 END) AS u FROM stock_trades GROUP BY 1, 2)
+SELECT account_id, CAST(sum(u) AS DECIMAL(28,6)) AS units, CAST(sum(CAST(u * CAST(price AS DECIMAL(18,2)) AS DECIMAL(38,2))) AS DECIMAL(38,2)) AS value FROM s JOIN p USING (instrument_id) GROUP BY 1""",
+    "stock_trades quotes",
+)
+def a32_unvested_value(led):
+    """Trades as vests; the unvested units of every third quantity are known."""
+    vests = led.stock_trades.select("account_id", "instrument_id", F.col("trade_ts").alias("vest_date"), F.abs("quantity").alias("units"), F.when(F.col("quantity") % 3 == 0, 1).cast("decimal(18,6)").alias("unvested"))
+    return portfolio.unvested_value(vests, led.quotes.withColumnRenamed("close", "price"), "1998-06-30")
+
+
+@query(
+    """WITH m AS (SELECT instrument_id, date_trunc('month', day) AS month, CAST(max_by(close, day) AS DOUBLE) AS v FROM quotes GROUP BY 1, 2), r AS (SELECT instrument_id, v, lag(v) OVER (PARTITION BY instrument_id ORDER BY month) AS p FROM m),
+f AS (SELECT instrument_id, count(*) AS n, avg(ln(v / p)) AS mu, sqrt(greatest(var_pop(ln(v / p)), 1e-10)) AS sd FROM r WHERE p > 0 AND v > 0 GROUP BY 1 HAVING count(*) >= 3)
+SELECT instrument_id, n, round((exp(mu * 12) - 1) * 100, 2) AS return_pct, round(sd * sqrt(12.0::DOUBLE) * 100, 2) AS volatility_pct FROM f""",
+    "quotes",
+)
+def a35_annual_returns(led):
+    return portfolio.annual_returns(led.quotes, "instrument_id", "day", "close")
+
+
+@query(
+    """WITH n AS (SELECT base_currency AS series, CAST(max_by(rate, rate_date) AS DOUBLE) AS now FROM rates GROUP BY 1),
+b AS (SELECT account_id AS property_id, a.currency AS series, value, (SELECT CAST(max_by(r.rate, r.rate_date) AS DOUBLE) FROM rates r WHERE r.base_currency = a.currency AND r.rate_date <= DATE '1995-03-15' + CAST(account_id % 900 AS INTEGER)) AS level FROM (SELECT account_id, currency, CAST(abs(current_value) * 100 AS DECIMAL(18,2)) AS value FROM accounts WHERE account_type = 'real_estate') a)
+SELECT property_id, round(CAST(value AS DOUBLE) * (now / level), -3) AS value, round((now / level - 1) * 100, 4) AS growth_pct FROM b JOIN n USING (series) WHERE level <> 0""",
+    "accounts rates",
+)
+def a36_indexed_value(led):
+    """Real estate bought on a day of its own, carried by its currency's rates as an index."""
+    homes = led.accounts.filter("account_type = 'real_estate'").select(F.col("account_id").alias("property_id"), F.col("currency").alias("series"), F.expr("date_add(DATE '1995-03-15', cast(account_id % 900 as int))").alias("day"), (F.abs("current_value") * 100).cast("decimal(18,2)").alias("value"))
+    return portfolio.indexed_value(homes, led.rates.select(F.col("base_currency").alias("series"), F.col("rate_date").alias("day"), F.col("rate").alias("level")))
+
+
+@query(
+    """WITH t AS (SELECT description AS category, CAST(sum(amount) AS DECIMAL(38,2)) AS total FROM moves WHERE amount < 0 GROUP BY 1), o AS (SELECT category, CASE WHEN length(category) % 3 = 0 THEN TRUE WHEN length(category) % 3 = 1 THEN NULL ELSE FALSE END AS said FROM t WHERE length(category) % 2 = 0),
+e AS (SELECT t.*, CASE WHEN coalesce(said, contains(lower(category), 'tax') OR contains(lower(category), 'bill')) THEN 'essential' ELSE 'discretionary' END AS part FROM t LEFT JOIN o USING (category)),
+u AS (SELECT part, category, total FROM e UNION ALL SELECT part, NULL, CAST(sum(total) AS DECIMAL(38,2)) FROM e GROUP BY 1)
+SELECT part, category, total, round(CAST(total AS DOUBLE) * 100 / (SELECT CAST(sum(total) AS DOUBLE) FROM t), 1) AS pct FROM u""",
+    "moves",
+)
+def a10_essential_breakdown(led):
+    totals = led.moves.filter("amount < 0").groupBy(F.col("description").alias("category")).agg(F.sum("amount").cast("decimal(38,2)").alias("total"))
+    said = F.when(F.length("category") % 3 == 0, True).when(F.length("category") % 3 == 2, False)
+    return portfolio.essential_breakdown(totals, totals.filter(F.length("category") % 2 == 0).select("category", said.alias("is_essential")), ("tax", "bill"))
+
+
+@query(f"WITH {_CLASSED} SELECT txn_id, event_type, 'inferred' AS provenance, CAST(0.6 AS DOUBLE) AS confidence FROM k WHERE txn_id % 3 < 2", "transactions accounts")
+def c5_classify_open(led):
+    """Every third row has an event already; the others are classified."""
+    rows = led.transactions.withColumn("event_type", F.expr("case txn_id % 3 when 0 then 'unclassified' when 2 then 'fee' end"))
+    return portfolio.classify_open(rows, led.accounts)
+
+
+@query(
+    """SELECT account_id, CAST(CASE WHEN account_id % 15 = 0 THEN 0 ELSE statement_balance END AS DECIMAL(18,2)) AS statement_balance, CAST(CASE WHEN account_id % 15 = 0 THEN 0 ELSE current_value END AS DECIMAL(18,2)) AS current_value, CASE WHEN account_id % 15 = 0 THEN DATE '2001-05-01' ELSE statement_balance_as_of END AS statement_balance_as_of,
+ CASE WHEN account_id % 5 > 0 THEN DATE '2001-07-01' END AS payment_due_date, CASE WHEN account_id % 5 = 0 THEN DATE '2001-05-01' END AS closed_at, CASE WHEN account_id % 10 = 0 THEN 'moved' END AS closed_reason FROM accounts""",
+    "accounts",
+)
+def x25_close_accounts(led):
+    rows = led.accounts.select("account_id", "statement_balance", "current_value", "statement_balance_as_of", F.lit("2001-07-01").cast("date").alias("payment_due_date"), F.lit(None).cast("date").alias("closed_at"), F.lit(None).cast("string").alias("closed_reason"))
+    closing = rows.filter("account_id % 5 = 0").select("account_id", F.lit("2001-05-01").cast("date").alias("closed_at"), F.when(F.col("account_id") % 10 == 0, " moved ").otherwise(" ").alias("reason"), (F.col("account_id") % 3 == 0).alias("zero_balance"))
+    return portfolio.close_accounts(rows, closing)
+
+
+_FLOW_RATE = "CASE WHEN currency = 'USD' THEN 1.0::DOUBLE ELSE (SELECT CAST(arg_min(rate, (abs(date_diff('day', k.day, rate_date)), -date_diff('day', DATE '1970-01-01', rate_date))) AS DOUBLE) FROM rates WHERE base_currency = k.currency AND quote_currency = 'USD' AND abs(date_diff('day', k.day, rate_date)) <= 30) END"
+
+
+@query(
+    f"""WITH l AS (SELECT txn_id AS out_id, txn_id + 1 AS in_id FROM transactions WHERE is_transfer AND txn_id % 3 > 0),
+r AS (SELECT o.account_id AS from_id, i.account_id AS to_id, currency, CAST(o.ts AS DATE) AS day, abs(o.amount) AS amount FROM l JOIN transactions o ON o.txn_id = out_id JOIN transactions i ON i.txn_id = in_id JOIN accounts a ON a.account_id = o.account_id),
+k AS (SELECT from_id, to_id, currency, day, count(*) AS c, CAST(sum(amount) AS DECIMAL(38,2)) AS moved FROM r GROUP BY 1, 2, 3, 4), x AS (SELECT *, {_FLOW_RATE} AS fx FROM k),
+y AS (SELECT from_id, to_id, currency, sum(c) AS c, CAST(sum(moved) AS DECIMAL(38,2)) AS moved, sum(CAST(round(CAST(moved AS DOUBLE) * fx * 100) AS BIGINT)) AS cents, sum(CASE WHEN fx IS NULL THEN c ELSE 0 END) AS u FROM x GROUP BY 1, 2, 3)
+SELECT from_id, to_id, CAST(sum(c) AS BIGINT) AS n, CAST(coalesce(sum(cents), 0) AS BIGINT) AS cents, CAST(sum(u) AS BIGINT) AS n_unconverted, string_agg(concat(currency, ' ', moved), ', ' ORDER BY concat(currency, ' ', moved)) AS native FROM y GROUP BY 1, 2""",
+    "transactions accounts rates",
+)
+def a20_confirmed_flows(led):
+    """Transfers linked to the next row, all but every third confirmed."""
+    links = led.transactions.filter("is_transfer").select(F.col("txn_id").alias("out_id"), (F.col("txn_id") + 1).alias("in_id"), (F.col("txn_id") % 3 > 0).alias("confirmed"))
+    rows = led.transactions.join(led.accounts.select("account_id", "currency"), "account_id")
+    return portfolio.confirmed_flows(links, rows, led.rates, "USD")
