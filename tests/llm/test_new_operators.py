@@ -79,7 +79,7 @@ def phrase_rows():
 def test_collocations(spark, sizes):
     """One range, and many ranges with unions of groups of shards."""
     rows = phrase_rows()
-    for least, absorbed in ((4, 100), (9, 60)):
+    for least, absorbed in ((4, 100), (9, 60))[: 2 if sizes is collocations.SIZES else 1]:
         got = collocations.collocations(frame(spark, rows), least=least, absorbed=absorbed, top=300, sizes=sizes).collect()
         want = brute.collocations([(lang, t) for _, t, lang in rows], least, absorbed=absorbed, top=300)
         assert len(want) > 100 and len({w[0] for w in want}) == 3
@@ -138,7 +138,7 @@ def test_resampling(spark, monkeypatch, few):
     rows = resample_rows()
     items = ["alpha beta gamma9 alpha beta", None, "omega", ""]
     target = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
-    for percent in (5, 30):
+    for percent in (5, 30)[: 2 if few > 1 else 1]:
         got = resampling.resample(frame(spark, rows), target, percent=percent).select("doc_id", "n_features", "weight", "score", "rank").collect()
         same(got, brute.resampled([r[:2] for r in rows], items, percent))
 
@@ -159,7 +159,7 @@ def test_cutoff_by_weighted_medians(spark, monkeypatch):
     r = random.Random(4)
     keys = [(r.randrange(-5, 6), r.randrange(40)) for _ in range(200)] + [(0, 7)] * 60 + [(-(2**62), 1), (2**62, 1)]
     df = spark.createDataFrame(keys, "a long, b long").repartitionByRange(6, "a")
-    for rank in (1, 2, 77, 131, 200, 261, 262):
+    for rank in (1, 77, 131, 262):
         assert resampling.cutoff_key(df, rank) == sorted(keys)[rank - 1]
     with pytest.raises(ValueError, match="rank"):
         resampling.cutoff_key(df, 263)
