@@ -158,3 +158,41 @@ def page_with_total(txns: DataFrame, offset: int, limit: int) -> DataFrame:
     """A page of the rows, newest first, each with the number of all rows."""
     total = txns.agg(F.count("*").alias("total"))
     return page(txns, offset, limit).crossJoin(F.broadcast(total))  # one row
+
+
+# Words of loan payments that count as spend though they are transfers, and of balance markers that never do.
+LOAN_WORDS = ("mortgage", "mortgagemain", "mtg", "blackhorse", "black horse")
+BALANCE_MARKERS = ("brought forward", "carried forward", "opening balance")
+
+
+def income_and_spend(txns: DataFrame, accounts: DataFrame, categories: DataFrame, rates: DataFrame, base: str, since: str) -> DataFrame:
+    """(side, month_end, category, cents, n_unconverted) in cents of ``base``; spend is negative.
+
+    Spend: amounts below 0 that are no balance markers and no transfers, unless
+    they pay a loan.  Income: amounts above 0 on asset accounts that are no
+    transfers.  Rows of a transfer category (category_type) are neither; rows
+    without a category are ``Uncategorized``.  Sums by currency are converted
+    at the month's end; those without a rate stay as they are and are counted.
+    """
+    from talliver.operators.fx import rate_nearest
+
+    text = F.lower(F.coalesce("description", F.lit("")))
+    has = lambda words: F.greatest(*[text.contains(w) for w in words])
+    rows = txns.filter(F.to_date("ts") >= F.lit(since).cast("date")).drop("is_asset", "currency").join(accounts.select("account_id", "currency", "is_asset"), "account_id").join(categories.select("category_id", F.col("name").alias("category"), "category_type"), "category_id", "left")
+    rows = rows.filter("category_type is null or category_type <> 'transfer'")
+    spent = (F.col("amount") < 0) & ~has(BALANCE_MARKERS) & (~F.col("is_transfer") | has(LOAN_WORDS))
+    earned = (F.col("amount") > 0) & ~F.col("is_transfer") & F.col("is_asset")
+    rows = rows.withColumn("side", F.when(spent, "spend").when(earned, "income")).filter("side is not null")
+    currency = F.upper(F.coalesce("currency", F.lit(base)))
+    cells = rows.groupBy("side", F.last_day(F.to_date("ts")).alias("month_end"), F.coalesce("category", F.lit("Uncategorized")).alias("category"), currency.alias("currency")).agg(money(F.sum("amount")).alias("total")).withColumn("base", F.lit(base))
+    rated = rate_nearest(cells, rates, "currency", "base", "month_end")
+    cents = F.round(F.col("total").cast("double") * F.coalesce("fx_rate", F.lit(1.0)) * 100).cast("long")
+    return rated.groupBy("side", "month_end", "category").agg(F.sum(cents).alias("cents"), F.count_if(F.col("fx_rate").isNull()).alias("n_unconverted"))
+
+
+def account_category_summary(txns: DataFrame, categories: DataFrame) -> DataFrame:
+    """(account_id, month, category, n, total) of every account: by category and month, and for all months where month is null; rows without a category are ``Uncategorized``."""
+    named = txns.join(categories.select("category_id", "name"), "category_id", "left").select("account_id", F.date_format("ts", "yyyy-MM").alias("month"), F.coalesce("name", F.lit("Uncategorized")).alias("category"), "amount")
+    months = named.groupBy("account_id", "month", "category").agg(F.count("*").alias("n"), money(F.sum("amount")).alias("total"))
+    whole = months.groupBy("account_id", "category").agg(F.sum("n").alias("n"), money(F.sum("total")).alias("total")).withColumn("month", F.lit(None).cast("string"))
+    return months.unionByName(whole)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talliver.functions import text
-from talliver.operators import pairs, portfolio, tasks
+from talliver.operators import pairs, portfolio, spend, tasks
 from talliver.plans.matching import _KEY, _RATIO, _RULES, _rules
 from talliver.plans.queries import _CLASSED, AS_OF, query
 from talliver.plans.reporting import _COUNTERS, _SEEN, _counters
@@ -197,3 +197,33 @@ def a20_confirmed_flows(led):
     links = led.transactions.filter("is_transfer").select(F.col("txn_id").alias("out_id"), (F.col("txn_id") + 1).alias("in_id"), (F.col("txn_id") % 3 > 0).alias("confirmed"))
     rows = led.transactions.join(led.accounts.select("account_id", "currency"), "account_id")
     return portfolio.confirmed_flows(links, rows, led.rates, "USD")
+
+
+_SPOKEN = "concat(description, CASE txn_id % 17 WHEN 3 THEN ' MTG payment' WHEN 4 THEN ' Balance carried forward' ELSE '' END)"
+_MONTH_RATE = "(SELECT CAST(arg_min(rate, (abs(date_diff('day', c.month_end, rate_date)), -date_diff('day', DATE '1970-01-01', rate_date))) AS DOUBLE) FROM rates WHERE base_currency = c.currency AND quote_currency = 'USD' AND abs(date_diff('day', c.month_end, rate_date)) <= 30)"
+
+
+@query(
+    f"""WITH t AS (SELECT x.account_id, last_day(CAST(ts AS DATE)) AS month_end, amount, is_transfer, lower({_SPOKEN}) AS text, CASE WHEN category_id <> 3 THEN category_id END AS category_id, currency, is_asset FROM transactions x JOIN accounts a ON a.account_id = x.account_id WHERE CAST(ts AS DATE) >= DATE '1996-01-01'),
+k AS (SELECT CAST(r_regionkey AS BIGINT) AS category_id, lower(r_name) AS name, r_regionkey = 2 AS moves FROM region),
+s AS (SELECT CASE WHEN amount < 0 AND NOT (contains(text, 'brought forward') OR contains(text, 'carried forward') OR contains(text, 'opening balance')) AND (NOT is_transfer OR contains(text, 'mortgage') OR contains(text, 'mtg') OR contains(text, 'blackhorse') OR contains(text, 'black horse')) THEN 'spend'
+ WHEN amount > 0 AND NOT is_transfer AND is_asset THEN 'income' END AS side, month_end, coalesce(name, 'Uncategorized') AS category, currency, amount FROM t LEFT JOIN k USING (category_id) WHERE NOT coalesce(moves, FALSE)),
+c AS (SELECT side, month_end, category, currency, CAST(sum(amount) AS DECIMAL(38,2)) AS total FROM s WHERE side IS NOT NULL GROUP BY 1, 2, 3, 4), z AS (SELECT *, CASE WHEN currency = 'USD' THEN 1.0::DOUBLE ELSE {_MONTH_RATE} END AS fx FROM c)
+SELECT side, month_end, category, CAST(sum(CAST(round(CAST(total AS DOUBLE) * coalesce(fx, 1.0::DOUBLE) * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) FILTER (fx IS NULL) AS n_unconverted FROM z GROUP BY 1, 2, 3""",
+    "transactions accounts rates",
+)
+def a9_income_and_spend(led):
+    """Rows with loan words and balance markers in their texts; one category is of transfers, one is missing."""
+    rows = led.transactions.withColumn("description", F.expr(_SPOKEN)).withColumn("category_id", F.when(F.col("category_id") != 3, F.col("category_id")))
+    names = led.spark.read.parquet(f"{led.sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("category_id"), F.lower("r_name").alias("name"), F.when(F.col("r_regionkey") == 2, "transfer").otherwise("expense").alias("category_type"))
+    return spend.income_and_spend(rows, led.accounts, names, led.rates, "USD", "1996-01-01")
+
+
+@query(
+    """WITH k AS (SELECT CAST(r_regionkey AS BIGINT) AS category_id, lower(r_name) AS name FROM region), t AS (SELECT account_id, strftime(ts, '%Y-%m') AS month, coalesce(name, 'Uncategorized') AS category, amount FROM transactions LEFT JOIN k USING (category_id))
+SELECT account_id, month, category, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,2)) AS total FROM t GROUP BY GROUPING SETS ((account_id, month, category), (account_id, category))""",
+    "transactions",
+)
+def a11_account_category_summary(led):
+    names = led.spark.read.parquet(f"{led.sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("category_id"), F.lower("r_name").alias("name"))
+    return spend.account_category_summary(led.transactions, names)

@@ -504,40 +504,6 @@ def i15_replace_by_owner(led):
     return jobs.replace_by_owner(led.valuations.filter("valuation_id % 5 <> 0"), led.valuations.filter("valuation_id % 5 = 0"), ["account_id"]).select("valuation_id", "account_id", "val_date", "value")
 
 
-def _streams(led):
-    # The first row of each month of a pool of accounts: a stream with a monthly rhythm and varying amounts.
-    pool = led.transactions.groupBy((F.col("account_id") % 100).alias("account_id"), F.date_trunc("month", "ts").alias("m"))
-    first = pool.agg(F.min(F.struct("ts", "txn_id", "amount")).alias("t"))
-    return first.select("account_id", "t.ts", F.abs("t.amount").alias("amount"), F.lit("standing order").alias("description"))
-
-
-@query(
-    """WITH p AS (SELECT account_id % 100 AS account_id, ts, abs(amount) AS amount, row_number() OVER (PARTITION BY account_id % 100, date_trunc('month', ts) ORDER BY ts, txn_id) AS k FROM transactions),
-r AS (SELECT account_id, CAST(ts AS DATE) AS day, CAST(amount AS DOUBLE) AS amount, date_diff('day', lag(CAST(ts AS DATE)) OVER (PARTITION BY account_id ORDER BY CAST(ts AS DATE)), CAST(ts AS DATE)) AS gap FROM p WHERE k = 1),
-m AS (SELECT account_id, quantile_cont(gap, 0.5) AS median, count(*) AS n, max(day) AS last, avg(amount) AS mean, stddev_samp(amount) AS sd, count(DISTINCT amount) AS kinds FROM r GROUP BY 1 HAVING count(*) >= 3),
-f AS (SELECT *, CASE WHEN abs(median - 7) <= 3 THEN 'weekly' WHEN abs(median - 14) <= 4 THEN 'biweekly' WHEN abs(median - 30) <= 8 THEN 'monthly' WHEN abs(median - 91) <= 12 THEN 'quarterly' WHEN abs(median - 365) <= 20 THEN 'annually' END AS frequency,
- CASE WHEN abs(median - 7) <= 3 THEN 3 WHEN abs(median - 14) <= 4 THEN 4 WHEN abs(median - 30) <= 8 THEN 8 WHEN abs(median - 91) <= 12 THEN 12 ELSE 20 END AS tol FROM m),
-g AS (SELECT f.account_id, CAST(count(*) FILTER (abs(gap - median) <= tol) AS DOUBLE) / count(*) AS regularity FROM f JOIN r USING (account_id) WHERE frequency IS NOT NULL AND gap IS NOT NULL GROUP BY 1),
-c AS (SELECT *, round(CASE WHEN kinds = 1 THEN 1.0 WHEN mean = 0 THEN 0.5 ELSE greatest(0.0, 1 - sd / abs(mean)) END, 6) AS k FROM f JOIN g USING (account_id)),
-o AS (SELECT *, round(regularity * CASE WHEN k >= 0.85 THEN k ELSE 0.85 END, 3) AS confidence FROM c)
-SELECT account_id, n, frequency, CASE WHEN k >= 0.85 THEN 'fixed' ELSE 'variable' END AS amount_type, confidence, last AS last_seen FROM o
-WHERE k >= 0.30 AND confidence >= 0.50 AND date_diff('day', last, DATE '2001-08-01') <= 120""",
-    "transactions",
-)
-def w2_detect_recurring(led):
-    return schedules.detect_recurring(_streams(led), "2001-08-01").drop("stream", "next_due")
-
-
-@query(
-    """SELECT account_id, CAST(min(ts) AS DATE) AS first FROM transactions WHERE account_id % 100 = account_id AND account_id NOT IN (SELECT account_id FROM schedules WHERE account_id % 2 = 0) GROUP BY 1""",
-    "transactions schedules",
-)
-def j21_new_suggestions(led):
-    found = led.transactions.filter("account_id % 100 = account_id").groupBy("account_id").agg(F.to_date(F.min("ts")).alias("first")).withColumn("stream", F.lit("s"))
-    held = led.schedules.filter("account_id % 2 = 0").select("account_id", F.lit("s").alias("stream"))
-    return schedules.new_suggestions(found, held).drop("stream")
-
-
 def _history(led):
     """All rows of both ledgers; feed accounts are another number range."""
     part = lambda df, sign: df.select((sign * F.col("account_id")).cast("long").alias("account_id"), "ts", "description", "amount")
@@ -573,6 +539,11 @@ def j21_new_suggestions_all(led):
     return schedules.new_suggestions(found, led.schedules.select("account_id", text.grouping_key(F.col("description")).alias("stream")))
 
 
+# Earlier names of the same two jobs.
+for _name in ("w2_detect_recurring", "j21_new_suggestions"):
+    QUERIES[_name], ORACLES[_name] = QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"]
+
+
 _PROJECTED = """pr AS (SELECT payment_id, account_id, amount, CAST(CASE frequency WHEN 'weekly' THEN next_due + CAST(7 * i AS INTEGER) WHEN 'biweekly' THEN next_due + CAST(14 * i AS INTEGER) WHEN 'monthly' THEN next_due + to_months(CAST(i AS INTEGER))
  WHEN 'quarterly' THEN next_due + to_months(CAST(3 * i AS INTEGER)) ELSE next_due + to_months(CAST(12 * i AS INTEGER)) END AS DATE) AS due FROM schedules, range(60) x(i)), pd AS (SELECT payment_id, account_id, due, amount FROM pr WHERE due <= DATE '2002-07-31')"""
 
