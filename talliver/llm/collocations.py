@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talliver.llm.common import cut, discard, node_filter, passes, table
+from talliver.llm.common import FILTER_WORDS, cut, discard, node_filter, passes, table
 from talliver.llm.textkernels import LOWER, Words, mix, separator_table, slices, windows
 
 #: Piece separators, and all separators of words.
@@ -229,13 +229,26 @@ def _runs_of(batch: pa.RecordBatch, filters: list, longest: int) -> tuple[Words,
             h, at = h[use], at[use]
         h = mix(h ^ salt[at])
         if k <= len(filters):
-            use = passes(filters[k - 1].value, h.view(np.int64))
+            use = passes(filters[k - 1], h.view(np.int64))
             h, at = h[use], at[use]
         found[k] = h, at
     words.doc = text
     return words, found
 
 
+def _dense(filters: list) -> list:
+    """The filters as whole bit arrays: every word of a text is looked up."""
+    out = []
+    for shared in filters:
+        at, bits = shared.value
+        if at is not None:
+            whole = np.zeros(FILTER_WORDS, np.uint64)
+            whole[at[:-1]] = bits[:-1]
+            bits = whole
+        out.append((None, bits))
+    return out
+
+
 def _hash_counts(k: int, filters: list):
     """(h, c) of the runs of k words, summed by the task."""
 
@@ -247,10 +260,10 @@ def _hash_counts(k: int, filters: list):
         return h[at], np.add.reduceat(c, at) if len(at) else c
 
     def run(batches):
-        held, total = [], 0
+        held, total, bits = [], 0, _dense(filters)
         for whole in batches:
             for batch in slices(whole, limit=SLICE):
-                _, found = _runs_of(batch, filters, k)
+                _, found = _runs_of(batch, bits, k)
                 held.append(np.unique(found[k][0], return_counts=True))
                 total += len(held[-1][0])
                 if total > HELD:
@@ -293,10 +306,11 @@ def _shards(longest: int, filters: list, sizes: Sizes):
 
     def run(batches):
         task = TaskContext.get().partitionId() << 20
-        phrases, held, totals = {}, [], {}
+        phrases, held, totals, bits = {}, [], {}, _dense(filters)
+        seen = np.zeros(0, np.uint64)
         for whole in batches:
             for batch in slices(whole, limit=SLICE):
-                words, found = _runs_of(batch, filters, longest)
+                words, found = _runs_of(batch, bits, longest)
                 langs, low = batch.column("lang").to_pylist(), LOWER[words.raw]
                 for i, n in enumerate(words.counts().tolist()):
                     if n:
@@ -304,13 +318,16 @@ def _shards(longest: int, filters: list, sizes: Sizes):
                 for k, (h, at) in found.items():
                     unique, first, count = np.unique(h, return_index=True, return_counts=True)
                     held.append((unique, count))
-                    for x, i in zip(unique.tolist(), at[first].tolist(), strict=True):
-                        if x not in phrases:
-                            own = [low[a:b].tobytes().decode() for a, b in zip(words.start[i : i + k], words.end[i : i + k], strict=True)]
-                            phrases[x] = (langs[words.doc[i]], *own)
+                    place = np.searchsorted(seen, unique)
+                    new = np.append(seen, 0)[place] != unique
+                    new[place == len(seen)] = True
+                    for x, i in zip(unique[new].tolist(), at[first[new]].tolist(), strict=True):
+                        own = [low[a:b].tobytes().decode() for a, b in zip(words.start[i : i + k], words.end[i : i + k], strict=True)]
+                        phrases[x] = (langs[words.doc[i]], *own)
+                    seen = np.insert(seen, place[new], unique[new])
                 if len(phrases) >= sizes.shard or sum(len(x) for x, _ in held) >= HELD:
                     yield from _batches(sorted_blocks(task, phrases, held, totals), _COLUMNS, 16)
-                    phrases, held, totals, task = {}, [], {}, task + 1
+                    phrases, held, totals, task, seen = {}, [], {}, task + 1, seen[:0]
         yield from _batches(sorted_blocks(task, phrases, held, totals), _COLUMNS, 16)
 
     return run
