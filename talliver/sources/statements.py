@@ -18,7 +18,7 @@ ROLE_NAMES = {
     "credit": ("credit", "deposit", "credit amount", "deposits", "cr"),
 }
 ROLE_PARTS = {"date": ("date",), "description": ("desc", "memo", "narr"), "amount": ("amount", "amt")}
-#: Date formats that are tried in order; the first pair of each list depends on the order of day and month.
+# Date formats that are tried in order; the first pair of each list depends on the order of day and month.
 DAY_FIRST = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd MMM yyyy", "dd.MM.yyyy")
 MONTH_FIRST = ("MM/dd/yyyy", "MM-dd-yyyy", "yyyy-MM-dd", "MMM dd, yyyy", "MM.dd.yyyy")
 
