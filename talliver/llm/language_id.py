@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talliver.llm.common import table
-from talliver.llm.textkernels import ALNUM, Words, mix, slices
+from talliver.llm.textkernels import ALNUM, Words, mix, slices, trim
 
 #: Texts of the sample: of each label, and in all; bytes of their texts in all (a text of over a 64th of that is not taken).
 PER_LABEL, MAX_SAMPLE, SAMPLE_BYTES = 250, 4000, 64 << 20
@@ -347,7 +347,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         raise ValueError(f"labelled rows exist, but no text of them has at most {SAMPLE_BYTES} bytes")
     sample = rows.filter(F.col("draw").isin(taken)).select("id", "text", "lang").dropDuplicates(["id", "text", "lang"]).collect() if taken else []
     sample.sort(key=lambda r: (r["lang"], r["id"] is None, r["id"], r["text"]))
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    model = fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    del sample
+    trim()  # the driver lives on with the model alone
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

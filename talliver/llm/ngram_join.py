@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from talliver.llm.common import cut, discard, node_filter, passes, table
 from talliver.llm.graph import connected_components
-from talliver.llm.textkernels import SPACE, Words, sequence_hash, slices, windows
+from talliver.llm.textkernels import SPACE, Words, sequence_hash, slices, trim, windows
 
 #: Order of posted shingles only: at most so many frequent shingles are ranked, and so often a task must see one.
 FREQUENT, SEEN = 500_000, 3
@@ -488,6 +488,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens = often["node"].to_numpy().view(np.uint64)
     by = np.argsort(tokens)
     order = spark.sparkContext.broadcast((tokens[by], often["c"].to_numpy()[by]))
+    del often, tokens, by
+    trim()
 
     posted = texts.mapInArrow(_tokens(k, num, den, order), "token long")
     shared = cut(posted.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")

@@ -502,6 +502,23 @@ def test_pipeline_stages_on_odd_tables(spark):
         assert stage(spark, empty, "/root/testdata/sf0.001").collect() == []
 
 
+def test_pipeline_stages_take_whole_texts_in_small_batches(spark):
+    """What a stage returns is run by its caller, and still no batch that meets Python has more rows or bytes than the stage set."""
+    import pyarrow as pa
+
+    session = spark.newSession()
+    texts = session.range(6000, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, F.concat(F.lit("a text "), F.repeat(F.lit("of words "), 600))).otherwise("short").alias("text"))
+    docs = texts.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    found = corpus_pipeline.secret_scan(session, docs, "").mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in found) == 6000
+    assert max(r["rows"] for r in found) <= 1000 and max(r["bytes"] for r in found) < 3 << 20
+
+
 def secret_scan_is_clean(text):
     import re
 
