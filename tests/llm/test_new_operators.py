@@ -4,10 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from talliver.llm import collocations, line_dedup, resampling
+from talliver.llm import collocations, common, line_dedup, resampling
 from tests.llm import brute
 
 KIND = "doc_id long, text string, lang string, key string, h long, keeps int, rank int, score int, a int, words string, part int"
@@ -93,6 +94,24 @@ def test_collocations_of_few_rows(spark):
     same(collocations.collocations(few, least=1).collect(), [("en", 1, "a b", 1, 1, 1, 2, 2000)])
 
 
+def test_counts_leave_a_task_in_small_batches():
+    """What a task sends at once, and what of it lies in memory that Arrow takes, doesn't grow with its words."""
+    text = " ".join(f"w{i}" for i in range(150_000))
+    batch = pa.record_batch([pa.array([text, "w1"]), pa.array(["en", "en"])], ["text", "lang"])
+    sent = list(collocations._hash_counts(1, [])(iter([batch])))
+    assert max(x.num_rows for x in sent) <= 1 << 16
+    assert sorted(n for x in sent for n in x.column("c").to_pylist()) == [1] * 149_999 + [2]
+
+
+def test_transducers_are_read_in_small_batches(spark):
+    """Rows as large as transducers reach a task by 2 MB or so, not by thousands."""
+    large = common.cut(spark.range(0, 120, 1, 1).select(F.expr("repeat(cast(id % 10 as string), 100000)").alias("x")), "large")
+    seen = common.cut(large.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long"), "seen", collocations.SMALL)
+    found = [r["n"] for r in seen.collect()]
+    assert sum(found) >= 12_000_000 and max(found) <= 4_000_000
+    common.discard(large, seen)
+
+
 def test_exact_scores_beyond_64_bits(spark, monkeypatch):
     """Counts near 2^40: the products need more than 64 bits."""
     parts = spark.createDataFrame([("en", ["p", "q", "r"], 10**12 + 7, 10**13 + 9, [10**12 + 11, 10**12 + 9], [10**12 + 13, 10**12 + 21])], "lang string, words array<string>, a long, n long, heads array<long>, tails array<long>")
