@@ -131,28 +131,41 @@ def route_files(files: DataFrame, accounts: DataFrame) -> DataFrame:
     unless another reaches 85 % of it: ``ambiguous``.  ``none``: below that.
     Ties go to the smaller account_id.  The text holds the file's name.
 
-    Tokens meet by equal tokens, or, to be found inside longer words, by their
-    first five letters; no account is compared with a file that has neither.
+    Equal phrases of a user are one, with the two accounts that can matter; so
+    are texts with equal tokens.  Words meet tokens by equality, or, to be
+    found inside them, by the token's first five letters, once for a user's
+    distinct words; no phrase is compared with a text that has neither.
     """
-    phrases = accounts.select("user_id", "account_id", F.posexplode(F.array("name", "institution")).alias("phrase", "words"))
-    phrases = phrases.withColumn("own", tokens(F.col("words"))).filter(F.size("own") > 0).select("user_id", "account_id", "phrase", F.size("own").alias("size"), F.explode("own").alias("token"))
-    held = files.select("user_id", "file", F.explode(tokens(F.col("text"))).alias("token"))
-    share = held.join(phrases, ["user_id", "token"]).groupBy("file", "account_id", "phrase", "size").agg(F.count("*").alias("c"), F.lit(0).alias("inside"))
-    low = files.withColumn("text", F.lower("text")).filter(F.length("text") >= LONG_TOKEN)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - LONG_TOKEN + 1), lambda i: F.substring("text", i, F.lit(LONG_TOKEN))))
-    starts = low.select("user_id", "file", "text", F.explode(grams).alias("gram"))
-    long = phrases.filter(F.length("token") >= LONG_TOKEN).withColumn("gram", F.substring("token", 1, LONG_TOKEN))
-    verbatim = starts.join(long, ["user_id", "gram"]).filter(F.contains("text", "token")).groupBy("file", "account_id", "phrase", "size").agg(F.lit(0).cast("long").alias("c"), F.lit(1).alias("inside"))
-    both = share.unionByName(verbatim).groupBy("file", "account_id", "phrase", "size").agg((F.max("c") / F.col("size") + VERBATIM * F.max("inside")).alias("s"))
-    scores = both.groupBy("file", "account_id").agg(F.least(F.lit(1.0), F.round(F.max("s"), 9)).alias("score"))
-    # The best two of a file, gathered in parts: many accounts may fit one file.
-    best = scores.groupBy("file").agg(F.max_by("account_id", F.struct("score", -F.col("account_id"))).alias("account_id"), F.max("score").alias("score"))
-    second = scores.join(best.select("file", F.col("account_id").alias("taken")), "file").filter("account_id <> taken").groupBy("file").agg(F.max("score").alias("second"))
-    out = files.select("file").join(best, "file", "left").join(second, "file", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    phrases = accounts.select("user_id", "account_id", F.explode(F.array("name", "institution")).alias("words")).withColumn("own", F.array_sort(tokens(F.col("words")))).filter(F.size("own") > 0)
+    # The best account of a phrase is its smallest; whichever account is taken, one of the two is another, if there is any.
+    phrases = phrases.groupBy("user_id", "own").agg(F.min("account_id").alias("low"), F.max("account_id").alias("high"))
+    parts = phrases.withColumn("token", F.explode("own"))
+    named = files.select("file", "user_id", F.array_join(F.array_sort(tokens(F.col("text"))), " ").alias("held"))
+    texts = named.select("user_id", "held").distinct().withColumn("word", F.explode(F.split("held", " ")))
+    known = parts.select("user_id", "token").distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - LONG_TOKEN + 1), lambda i: F.substring("word", i, F.lit(LONG_TOKEN))))
+    starts = texts.filter(F.length("word") >= LONG_TOKEN).select("user_id", "word").distinct().withColumn("gram", F.explode(grams))
+    long = known.filter(F.length("token") >= LONG_TOKEN).withColumn("gram", F.substring("token", 1, LONG_TOKEN))
+    verbatim = starts.join(long, ["user_id", "gram"]).filter(F.contains("word", "token")).select("user_id", "word", "token", (F.col("word") == F.col("token")).cast("long").alias("c"), F.lit(1).alias("inside"))
+    short = known.filter(F.length("token") < LONG_TOKEN).select("user_id", F.col("token").alias("word"), "token", F.lit(1).cast("long").alias("c"), F.lit(0).alias("inside"))
+    hits = texts.join(verbatim.unionByName(short), ["user_id", "word"]).join(parts, ["user_id", "token"])
+    share = hits.groupBy("user_id", "held", "own", "low", "high").agg((F.sum("c") / F.size("own") + VERBATIM * F.max("inside")).alias("s"))
+    scores = share.select("user_id", "held", F.explode(F.array_distinct(F.array("low", "high"))).alias("account_id"), F.least(F.lit(1.0), F.round("s", 9)).alias("score"))
+    # The best two accounts of a text, then of a file, which may have several rows.
+    top = _best_two(scores, "user_id", "held").groupBy("user_id", "held").agg(F.collect_list(F.struct("account_id", "score")).alias("top"))
+    best = _best_two(named.join(top, ["user_id", "held"]).select("file", F.inline("top")), "file")
+    best = best.groupBy("file").agg(*[F.max(F.when(F.col("n") == n, F.col(c))).alias(name) for n, c, name in ((1, "account_id", "account_id"), (1, "score", "score"), (2, "score", "second"))])
+    out = files.select("file").join(best, "file", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     verdict = F.when(F.col("score") < ACCEPTED, "none").when(F.coalesce(F.col("second") >= RUNNER_UP * F.col("score"), F.lit(False)), "ambiguous").otherwise("routed")
     return out.withColumn("verdict", verdict).select("file", F.when(F.col("verdict") == "routed", F.col("account_id")).alias("account_id"), "score", "verdict")
 
 
+def _best_two(scores: DataFrame, *keys: str) -> DataFrame:
+    """The two accounts of each key with the highest scores, numbered in ``n``; ties go to the smaller account_id."""
+    own = scores.groupBy(*keys, "account_id").agg(F.max("score").alias("score"))
+    return own.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "account_id"))).filter("n <= 2")
+
+
 # ---- I8, I9
 
 
